@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from gridlark.llm import bpe
+from gridlark.llm import bpe, html_text, mpeg_audio
 from gridlark.llm.common import table
 
 
+def op1_mpeg_audio(spark, sf_dir):
+    return mpeg_audio.media_digests(table(spark, sf_dir, "documents"))
+
+
+def op3_html_text(spark, sf_dir):
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe}
+QUERIES = {"op1_mpeg_audio": op1_mpeg_audio, "op3_html_text": op3_html_text, "op4_byte_bpe": op4_byte_bpe}
 
 ORACLES: dict[str, str] = {}
