@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlark.llm import bpe, html_text, mpeg_audio, quality, toxicity
+from gridlark.llm import bpe, html_text, mpeg_audio, quality, secret_scan, toxicity
 from gridlark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_byte_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark, sf_dir):
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,6 +34,7 @@ QUERIES = {
     "op1_mpeg_audio": op1_mpeg_audio,
     "op3_html_text": op3_html_text,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_secret_scan": op5_secret_scan,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
 }
