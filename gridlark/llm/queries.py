@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlark.llm import bpe, decontaminate, html_text, mpeg_audio, quality, secret_scan, toxicity
+from gridlark.llm import bpe, decontaminate, html_text, line_dedup, mpeg_audio, quality, secret_scan, toxicity
 from gridlark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_secret_scan(spark, sf_dir):
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
