@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlark.llm import bpe, decontaminate, html_text, line_dedup, mpeg_audio, quality, secret_scan, toxicity
+from gridlark.llm import bpe, decontaminate, html_text, line_dedup, mpeg_audio, quality, secret_scan, simhash, toxicity, url_templates
 from gridlark.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_mpeg_audio(spark, sf_dir):
     return mpeg_audio.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark, sf_dir):
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -38,8 +42,13 @@ def op9_quality(spark, sf_dir):
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_url_templates(spark, sf_dir):
+    return url_templates.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mpeg_audio": op1_mpeg_audio,
+    "op2_simhash": op2_simhash,
     "op3_html_text": op3_html_text,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
@@ -47,6 +56,7 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
+    "op10_url_templates": op10_url_templates,
 }
 
 ORACLES = {"op7_decontaminate": decontaminate.ORACLE}
