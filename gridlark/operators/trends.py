@@ -64,7 +64,7 @@ def sen_tests(df: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["lo", "hi", "p"])
 
     got = sen(df)
-    t = tests(F.expr("transform(pts, p -> p.x)"), F.expr("transform(pts, p -> p.y)"), "_s", "_k.s")
+    t = tests.asNondeterministic()(F.expr("transform(pts, p -> p.x)"), F.expr("transform(pts, p -> p.y)"), "_s", "_k.s")
     return got.withColumn("_t", t).select("*", F.col("_t.lo").alias("slope_lo"), F.col("_t.hi").alias("slope_hi"), F.nanvl("_t.p", F.lit(None).cast("double")).alias("tau_p"))
 
 
@@ -131,7 +131,7 @@ def spearman_with_x(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataF
 
 
 def bh_rejected(df: DataFrame, p: str, q: float = 0.05) -> DataFrame:
-    """Adds rejected: Benjamini-Hochberg's step-up rule at level q; null p values are never rejected.
+    """Adds rejected: Benjamini-Hochberg's step-up rule at level q; null p values are never rejected but count as tests.
 
     The rule asks for the largest p that is at most q * rank / n: counts by p value are summed from below, so no window goes
     over single rows.

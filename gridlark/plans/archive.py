@@ -169,13 +169,18 @@ def diagnostics(spark, sf_dir):
     return D.diagnostics(c, "idx", "b")
 
 
-RULES = {
-    "negative": F.col("a") < 0, "out_of_range": F.col("d") / F.nullif(F.col("b"), F.lit(0.0)) > 0.9, "subset": F.col("d") > F.col("b"), "month": ~F.col("month").between(1, 12), "late": F.col("year") > 2000,
-}
+def rules():
+    return {
+        "negative": F.col("a") < 0,
+        "out_of_range": F.col("d") / F.nullif(F.col("b"), F.lit(0.0)) > 0.9,
+        "subset": F.col("d") > F.col("b"),
+        "month": ~F.col("month").between(1, 12),
+        "late": F.col("year") > 2000,
+    }
 
 
 def validate_rules(spark, sf_dir):
-    return D.violations(cube(spark, sf_dir), RULES)
+    return D.violations(cube(spark, sf_dir), rules())
 
 
 def bounding(spark, sf_dir):

@@ -86,12 +86,12 @@ MONTHLY = DAILY + """, monthly AS (SELECT CAST(year(day) AS INT) AS year, CAST(m
 
 
 def yearly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annual matrix of the full years: revenue by cell and year, in thousands."""
+    """Annual matrix of the full years: root of the revenue by cell and year."""
     c = cube(spark, sf_dir)
-    return c.where("year between 1995 and 2000").groupBy("cell", "year").agg(F.sum("a").alias("v"))
+    return c.where("year between 1995 and 2000").groupBy("cell", "year").agg(F.sqrt(F.sum("a")).alias("v"))
 
 
-YEARLY = CUBE + ", yearly AS (SELECT cell, year, sum(a) AS v FROM cube WHERE year BETWEEN 1995 AND 2000 GROUP BY ALL)"
+YEARLY = CUBE + ", yearly AS (SELECT cell, year, sqrt(sum(a)) AS v FROM cube WHERE year BETWEEN 1995 AND 2000 GROUP BY ALL)"
 
 
 def as_text(queries: dict, oracles: dict, dates: dict[str, tuple[str, ...]]) -> None:
