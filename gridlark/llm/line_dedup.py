@@ -4,7 +4,8 @@ Lines (blank ones aside) are equal if their trimmed texts are, and linked if the
 have at least `MIN_CHARS` characters. Every long distinct line is split into EDITS + 1 segments of even length; two lines
 within EDITS edits must share one of the shorter line's segments at nearly its place. The index holds (length, segment
 number, segment) of each line; a line probes it, for each length up to EDITS below its own, with the substrings whose place is
-possible (multi-match-aware selection). Candidate pairs are verified by a banded bit-parallel edit distance. Classes are
+possible (multi-match-aware selection). Candidate pairs of which too few pieces agree are dropped; the rest are verified by a
+banded bit-parallel edit distance on what is left between their common start and end. Classes are
 connected components of links, and the first line of a class, by document and place, stays.
 
 Only 64-bit hashes travel in the join; a pair's texts are fetched for verification by reading the documents again.
@@ -23,6 +24,8 @@ from gridlark.llm.common import components, dropped, text_of, written
 
 EDITS = 2
 MIN_CHARS = 20
+#: Pieces of a line in the test that precedes verification.
+PIECES = 16
 #: A side is broadcast up to so many rows, else joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -52,7 +55,7 @@ def index_keys(edits: int) -> Column:
 
 
 def probe_keys(edits: int, min_chars: int) -> Column:
-    """array<long>: hashes of every substring that may be a segment of a line that is shorter by 0 to `edits` characters.
+    """array<long>: hashes of every substring that may be a segment of a line that is shorter by 0 to `edits` characters, or null.
 
     Segment k (from 0) of the shorter line may move by at most k places to the left view and by edits - k to the right
     view; both views must hold.
@@ -67,14 +70,14 @@ def probe_keys(edits: int, min_chars: int) -> Column:
                 keys.append(
                     f"if(n - {less} >= {min_chars} and {at} >= 0 and {at} + {size} <= n, xxhash64(n - {less}, {k}, substring(_line, {at} + 1, {size})), null)"
                 )
-    return F.expr(f"array_compact(array({', '.join(keys)}))")
+    return F.expr(f"array({', '.join(keys)})")
 
 
 def candidates(distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(a, b) with a < b: hashes of distinct lines that share a segment."""
     index = distinct.select(F.explode(index_keys(edits)).alias("key"), "h")
     probes = distinct.select(F.explode(probe_keys(edits, min_chars)).alias("key"), F.col("h").alias("g"))
-    return index.join(probes, "key").where("h <> g").select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
+    return index.join(probes.where("key is not null"), "key").where("h <> g").select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
 
 
 def within(a: str, b: str, edits: int) -> Column:
@@ -107,6 +110,30 @@ def within(a: str, b: str, edits: int) -> Column:
     """)
 
 
+def plausible(a: str, b: str, edits: int, pieces: int = PIECES) -> Column:
+    """True for all pairs within `edits` edits, and for few others: all but `edits` of a's pieces are in b, nearly at their place.
+
+    An edit spoils one piece at most and moves the others by one character at most.
+    """
+    found = []
+    for k in range(pieces):
+        start = f"(char_length({a}) * {k} div {pieces})"
+        size = f"(char_length({a}) * {k + 1} div {pieces} - {start})"
+        low = f"greatest(0, {start} - {edits})"
+        found.append(f"if(contains(substring({b}, cast({low} + 1 as int), cast({start} + {size} + {edits} - {low} as int)), substring({a}, cast({start} + 1 as int), cast({size} as int))), 1, 0)")
+    return F.expr(" + ".join(found)) >= pieces - edits
+
+
+def core(a: str, b: str, pieces: int = PIECES) -> tuple[Column, Column, Column, Column]:
+    """(head, tail, a's rest, b's rest): both strings without a common start and a common end, whole pieces of the shorter one; their edit distance is the same."""
+    n = f"least(char_length({a}), char_length({b}))"
+    step = lambda k: f"cast({n} * {k} div {pieces} as int)"
+    head = f"greatest(0, {', '.join(f'if(left({a}, {step(k)}) = left({b}, {step(k)}), {step(k)}, 0)' for k in range(1, pieces))})"
+    tail = f"greatest(0, {', '.join(f'if(right({a}, {step(k)}) = right({b}, {step(k)}), {step(k)}, 0)' for k in range(1, pieces))})"
+    cut = lambda s: F.expr(f"substring({s}, head + 1, char_length({s}) - head - least(tail, {n} - head))")
+    return F.expr(head).alias("head"), F.expr(tail).alias("tail"), cut(a), cut(b)
+
+
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
@@ -119,7 +146,11 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_co
     ids = bounded(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     texts = written(long_lines.select("_line", F.xxhash64("_line").alias("h")).join(ids, "h", "left_semi").distinct(), "line-texts")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("_line").alias("_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("_line").alias("_b")), "b")
-    out = written(both.repartition("a", "b").where(within("_a", "_b", edits) <= edits).select("a", "b"), "line-links")
+    head, tail, core_a, core_b = core("_a", "_b")
+    likely = both.where(plausible("_a", "_b", edits)).select("a", "b", "_a", "_b", head, tail)
+    cores = written(likely.select("a", "b", core_a.alias("_a"), core_b.alias("_b")), "line-cores")
+    out = written(cores.repartition("a", "b").where(within("_a", "_b", edits) <= edits).select("a", "b"), "line-links")
+    dropped(cores)
     dropped(pairs)
     dropped(texts)
     return out

@@ -185,13 +185,16 @@ def frames_of(data: bytes) -> dict:
         while good[k]:
             picked.append(k)
             k = nxt[k]
-        if stops[k] <= end:  # the last of a chain: whole, though nothing follows it
+        inner = np.searchsorted(confirmed, k, side="right")
+        if not sure[k] and inner < len(confirmed) and starts[confirmed[inner]] < stops[k]:
+            cursor = starts[k]  # a confirmed header stands inside: this one was chance
+        elif stops[k] <= end:  # the last of a chain: whole, though nothing follows it
             picked.append(k)
             cursor = stops[k]
         else:
             out["truncated"] += 1
             cursor = starts[k] + 4
-        later = confirmed[np.searchsorted(at[confirmed], cursor) :]
+        later = confirmed[np.searchsorted(at[confirmed], max(cursor, starts[k] + 1)) :]
         k = int(later[0]) if len(later) else None
     out["skipped"] += max(0, end - cursor)
     picked = np.asarray(picked, dtype=np.int64)
