@@ -4,7 +4,8 @@ Lines (blank ones aside) are equal if their trimmed texts are, and linked if the
 have at least `MIN_CHARS` characters. Every long distinct line is split into EDITS + 1 segments of even length; two lines
 within EDITS edits must share one of the shorter line's segments at nearly its place. The index holds (length, segment
 number, segment) of each line; a line probes it, for each length up to EDITS below its own, with the substrings whose place is
-possible (multi-match-aware selection). Candidate pairs of which too few pieces agree are dropped; the rest are verified by a
+possible (multi-match-aware selection). Pairs of segments that many lines share are sifted by the parity of their characters
+inside the join. Candidate pairs of which too few pieces agree are dropped; the rest are verified by a
 banded bit-parallel edit distance on what is left between their common start and end. Classes are
 connected components of links, and the first line of a class, by document and place, stays.
 
@@ -26,6 +27,8 @@ EDITS = 2
 MIN_CHARS = 20
 #: Pieces of a line in the test that precedes verification.
 PIECES = 16
+#: Lines of one segment from which on their pairs are sifted by characters before they leave the join.
+CROWD = 16
 #: A side is broadcast up to so many rows, else joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -45,20 +48,20 @@ def _segment_bounds(k: int, edits: int) -> tuple[str, str]:
     return start, size
 
 
-def index_keys(edits: int) -> Column:
-    """array<long>: hashes of (length, segment number, segment) of column _line; n is its length."""
+def index_keys(edits: int) -> list[str]:
+    """SQL for the hashes of (length, segment number, segment) of column _line; n is its length."""
     keys = []
     for k in range(edits + 1):
         start, size = (x.replace("l ", "n ") for x in _segment_bounds(k, edits))
         keys.append(f"xxhash64(n, {k}, substring(_line, {start} + 1, {size}))")
-    return F.expr(f"array({', '.join(keys)})")
+    return keys
 
 
-def probe_keys(edits: int, min_chars: int) -> Column:
-    """array<long>: hashes of every substring that may be a segment of a line that is shorter by 0 to `edits` characters, or null.
+def probe_keys(edits: int, min_chars: int) -> list[str]:
+    """SQL for the hashes of every other substring that may be a segment of a line that is shorter by 0 to `edits` characters, or null.
 
     Segment k (from 0) of the shorter line may move by at most k places to the left view and by edits - k to the right
-    view; both views must hold.
+    view; both views must hold. A line's own segments are left out: they are its index keys, which probe too.
     """
     keys = []
     for less in range(edits + 1):
@@ -66,18 +69,60 @@ def probe_keys(edits: int, min_chars: int) -> Column:
             start, size = (x.replace("l ", f"(n - {less}) ") for x in _segment_bounds(k, edits))
             low, high = max(-k, less - (edits - k)), min(k, less + (edits - k))
             for move in range(low, high + 1):
+                if less == move == 0:
+                    continue
                 at = f"({start} + {move})"
                 keys.append(
                     f"if(n - {less} >= {min_chars} and {at} >= 0 and {at} + {size} <= n, xxhash64(n - {less}, {k}, substring(_line, {at} + 1, {size})), null)"
                 )
-    return F.expr(f"array({', '.join(keys)})")
+    return keys
 
 
-def candidates(distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(a, b) with a < b: hashes of distinct lines that share a segment."""
-    index = distinct.select(F.explode(index_keys(edits)).alias("key"), "h")
-    probes = distinct.select(F.explode(probe_keys(edits, min_chars)).alias("key"), F.col("h").alias("g"))
-    return index.join(probes.where("key is not null"), "key").where("h <> g").select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
+def keyed(long_lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(h, own, other): one row for each distinct line, with its index keys and its further probes, written to the shared folder.
+
+    Keys are made where lines are read, so that hashes are shuffled and no texts.
+    """
+    own, other = index_keys(edits), probe_keys(edits, min_chars)
+    columns = [F.expr(sql).alias(f"k{i}") for i, sql in enumerate(own + other)]
+    rows = long_lines.select(F.xxhash64("_line").alias("h"), "_line", F.char_length("_line").alias("n")).select("h", *columns)
+    distinct = rows.groupBy("h").agg(*[F.max(f"k{i}").alias(f"k{i}") for i in range(len(columns))])
+    names = [f"k{i}" for i in range(len(columns))]
+    return written(distinct.select("h", F.array(*names[: len(own)]).alias("own"), F.array(*names[len(own) :]).alias("other")), "line-keys")
+
+
+def sketched(lines_of: DataFrame) -> DataFrame:
+    """(h, letters, pairs): for each distinct line, which characters and which neighbouring characters it has an odd number of times, each as 64 hashed bits."""
+    parity = "aggregate({}, 0L, (s, c) -> s ^ shiftleft(1L, cast(pmod(xxhash64(c), 64) as int)))"
+    letters = F.expr(parity.format("split(_line, '')"))
+    pairs = F.expr(parity.format("transform(sequence(1, greatest(1, char_length(_line) - 1)), i -> substring(_line, i, 2))"))
+    return lines_of.select("h", letters.alias("letters"), pairs.alias("pairs")).groupBy("h").agg(F.max("letters").alias("letters"), F.max("pairs").alias("pairs"))
+
+
+def candidates(long_lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(a, b) with a < b: hashes of distinct lines that share a segment; written to the shared folder.
+
+    Where more than CROWD lines have one segment, their pairs must also have nearly the same characters: an edit changes the
+    parity of at most two characters and of at most four neighbouring pairs, so no pair within `edits` edits is lost.
+    """
+    keys = keyed(long_lines, edits, min_chars)
+    index = keys.select(F.explode("own").alias("key"), "h")
+    probes = keys.select(F.explode(F.array_compact(F.concat("own", "other"))).alias("key"), F.col("h").alias("g"))
+    crowds = bounded(written(index.groupBy("key").count().where(f"count > {CROWD}").select("key"), "line-crowds"))
+    pair = [F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")]
+    plain = index.join(crowds, "key", "left_anti").join(probes.join(crowds, "key", "left_anti"), "key").where("h <> g").select(*pair)
+    crowd_index = written(index.join(crowds, "key", "left_semi"), "line-crowd-index")
+    crowd_probes = written(probes.join(crowds, "key", "left_semi"), "line-crowd-probes")
+    members = bounded(written(crowd_index.select("h").union(crowd_probes.select("g")).distinct(), "line-crowd-members"))
+    seen = written(sketched(long_lines.select("_line", F.xxhash64("_line").alias("h")).join(members, "h", "left_semi")), "line-sketches")
+    x = crowd_index.join(bounded(seen), "h")
+    y = crowd_probes.join(bounded(seen.withColumnsRenamed({"h": "g", "letters": "letters_", "pairs": "pairs_"})), "g")
+    alike = (F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_"))) <= 2 * edits) & (F.bit_count(F.col("pairs").bitwiseXOR(F.col("pairs_"))) <= 4 * edits)
+    close = x.join(y, (x["key"] == y["key"]) & (F.col("h") != F.col("g")) & alike).select(*pair)
+    out = written(plain.union(close).distinct(), "line-pairs")
+    for done in (keys, crowd_index, crowd_probes, seen):
+        dropped(done)
+    return out
 
 
 def within(a: str, b: str, edits: int) -> Column:
@@ -141,8 +186,7 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): hashes of distinct lines at most `edits` edits apart, a < b; written to the shared folder."""
     long_lines = lines(docs, id_col, text_col).where(F.char_length("_line") >= min_chars).select("_line")
-    distinct = long_lines.distinct().select("_line", F.char_length("_line").alias("n"), F.xxhash64("_line").alias("h"))
-    pairs = written(candidates(distinct, edits, min_chars), "line-pairs")
+    pairs = candidates(long_lines, edits, min_chars)
     ids = bounded(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     texts = written(long_lines.select("_line", F.xxhash64("_line").alias("h")).join(ids, "h", "left_semi").distinct(), "line-texts")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("_line").alias("_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("_line").alias("_b")), "b")
