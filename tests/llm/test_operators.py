@@ -277,7 +277,9 @@ def test_banded_distance_and_filter(spark):
         assert (r.d <= 2) == (true <= 2) == (r.e <= 2) and (true > 2 or r.d == r.e == true) and (r.p or true > 2)
 
 
-def test_line_classes(spark, awkward, nothing):
+@pytest.mark.parametrize("crowd", [line_dedup.CROWD, 1])
+def test_line_classes(spark, awkward, nothing, monkeypatch, crowd):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)  # 1: nearly all pairs are sifted by characters first
     rng = random.Random(8)
     base = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(15, 45))).strip() for _ in range(40)]
     docs = [(k, "\n".join(mutated(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 4])) for _ in range(4))) for k in range(60)]
