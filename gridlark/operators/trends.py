@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlark.functions import tests_of_significance as S
 from gridlark.functions.columns import finite, ratio
@@ -53,19 +54,25 @@ def _ties(values: np.ndarray) -> list[int]:
 def sen_tests(df: DataFrame) -> DataFrame:
     """sen() with the 95 % bounds of the slope and the p of tau: tail probabilities have no built-in, so one Arrow pass adds them."""
 
-    @F.pandas_udf("lo double, hi double, p double")
-    def tests(xs: pd.Series, ys: pd.Series, slopes: pd.Series, s: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y, sl, k in zip(xs, ys, slopes, s):
-            tx, ty = _ties(np.asarray(x)), _ties(np.asarray(y))
-            lo, hi = S.sen_bounds(len(x), len(sl), tx, ty) if len(sl) else (0, -1)
-            ok = 0 <= lo <= hi
-            rows.append((float(sl[lo]) if ok else None, float(sl[hi]) if ok else None, S.kendall_two_sided(k, len(x), tx, ty)))
-        return pd.DataFrame(rows, columns=["lo", "hi", "p"])
-
     got = sen(df)
-    t = tests.asNondeterministic()(F.expr("transform(pts, p -> p.x)"), F.expr("transform(pts, p -> p.y)"), "_s", "_k.s")
-    return got.withColumn("_t", t).select("*", F.col("_t.lo").alias("slope_lo"), F.col("_t.hi").alias("slope_hi"), F.nanvl("_t.p", F.lit(None).cast("double")).alias("tau_p"))
+    keep = [c for c in got.columns if c not in ("pts", "_s", "_k")]
+    rows = got.select(*keep, F.expr("transform(pts, p -> p.x)").alias("_x"), F.expr("transform(pts, p -> p.y)").alias("_y"), "_s", F.col("_k.s").alias("_sum"))
+
+    def tests(frames):
+        for f in frames:
+            bounds = []
+            for x, y, slopes, k in zip(f["_x"], f["_y"], f["_s"], f["_sum"]):
+                tx, ty = _ties(np.asarray(x)), _ties(np.asarray(y))
+                lo, hi = S.sen_bounds(len(x), len(slopes), tx, ty) if len(slopes) else (0, -1)
+                ok = 0 <= lo <= hi
+                bounds.append((float(slopes[lo]) if ok else None, float(slopes[hi]) if ok else None, S.kendall_two_sided(k, len(x), tx, ty)))
+            out = f[keep].reset_index(drop=True)
+            out[["slope_lo", "slope_hi", "tau_p"]] = pd.DataFrame(bounds, columns=["slope_lo", "slope_hi", "tau_p"], dtype="float64")
+            yield out
+
+    schema = T.StructType([*got.select(*keep).schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("slope_lo", "slope_hi", "tau_p"))])
+    found = rows.mapInPandas(tests, schema)
+    return found.select(*keep, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("slope_lo", "slope_hi", "tau_p")])
 
 
 def pair_slopes_join(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
