@@ -217,6 +217,8 @@ def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_
         .select("_id", "_no", F.coalesce("root", "_h").alias("_class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
     first = every.groupBy("_class").agg(F.min(F.struct("_id", "_no")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    # Written, so that beyond the broadcast bound the adaptive skew join can split a class that a large share of all lines is in.
+    first = bounded(written(first, "line-firsts"))
     out = every.join(first, "_class", "left").select(
         F.col("_id").alias(id_col),
         F.col("_no").alias("line_no"),
