@@ -6,7 +6,7 @@ fingerprints differ in at most `BITS` places are linked, and components of links
 Every distinct fingerprint gets its Hamming distances to `PIVOTS` reference fingerprints once. Distances to one reference
 differ by no more than the distance of the two fingerprints (triangle inequality), so a pair whose largest coordinate
 difference exceeds BITS is discarded without looking at it; survivors are verified on the fingerprints. Distances from random
-references crowd around 32, so they cannot say by themselves which rows must meet; rows meet where two of six blocks of bits
+references crowd around 32, so they cannot say by themselves which rows must meet: blocks, not pivots, find the pairs. Rows meet where two of six blocks of bits
 are equal, which holds for every pair with at most four differing places.
 
 Groups of copies cost no pairs: equal fingerprints count once; fingerprints alike outside one hexadecimal digit are linked
@@ -54,21 +54,27 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return out
 
 
-def fingerprint(text: str, width: int = WIDTH) -> int:
-    """The unsigned fingerprint of a whole text."""
+def shingle_hashes(text: str, width: int = WIDTH) -> list[int]:
+    """The unsigned hash of every run of `width` words of a whole text, of all its words if it has fewer; none without words."""
     import xxhash
 
     words = text.encode().lower().split()  # bytes: only A-Z is lowered, and only ASCII blanks part words
     if not words:
-        return 0
+        return []
     whole = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [digest(whole, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = (ends - [len(w) + 1 for w in words])[: len(words) - width + 1].tolist()
-        hashes = [digest(whole[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
+        return [digest(whole, SEED)]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = (ends - [len(w) + 1 for w in words])[: len(words) - width + 1].tolist()
+    return [digest(whole[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: str, width: int = WIDTH) -> int:
+    """The unsigned fingerprint of a whole text."""
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
     seen = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ _BIT_OF_BYTE
     return int.from_bytes(np.packbits(2 * seen.ravel() > len(hashes), bitorder="little").tobytes(), "little")
