@@ -70,3 +70,25 @@ def test_near_copies_awkward(spark):
     rows = [(None, "x y z"), (4, "x y z"), (4, "X  y z"), (None, "alone"), (5, None), (6, "")]
     got = near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(None, 4), (4, 4), (4, 4), (None, None), (5, 5), (6, 5)], key=str)
+
+
+def test_rows_of_one_id(spark, tmp_path):
+    docs = lambda rows: spark.createDataFrame([(i, t, len(t), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars long, extra long")
+    texts = lambda out: sorted((r.extra, r.text) for r in out.collect())
+
+    for one in (3, None):
+        got = corpus_pipeline.drop_lines(spark, docs([(one, "x\nz"), (one, "w\nx"), (one, "v")]), "")
+        assert got.columns == ["doc_id", "text", "n_chars", "extra"] and all(r.n_chars == len(r.text) for r in got.collect())
+        both = dict(texts(got))
+        # Either row may count as the earlier one of equal ids; every line stays once.
+        assert sorted("\n".join(both.values()).split("\n")) == ["v", "w", "x", "z"] and both[0].endswith("z") and both[1].startswith("w")
+
+    got = texts(corpus_pipeline.one_of_copies(spark, docs([(7, "one text here"), (7, "one text here"), (None, "one text here"), (7, "another"), (None, "n"), (None, "n")]), ""))
+    assert sorted(t for _, t in got) == ["another", "n", "one text here"]
+    assert [k for k, t in got if t == "one text here"][0] in (0, 1)
+
+    item = "q1 q2 q3 q4 q5 q6 q7"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"a {item} b"), (None, "clean"), (2, "q1 q2 q3 q4 q5 q6"), (2, "x q3 q4 q5 q6 q7"), (9, item), (9, "clean too")]
+    # Neither row of id 2 has 80 % of the item's three shingles, only both together.
+    assert [k for k, _ in texts(corpus_pipeline.drop_leaks(spark, docs(rows), str(tmp_path)))] == [1, 2, 3, 5]
