@@ -1,13 +1,14 @@
 """URL filters: host and path rules first, then a path-template tree for each host.
 
 Path segments are first generalised by their form (numbers, hexadecimal strings, dates). Then the tree is grown level by
-level: at each node the segments that are too many or too rare to be names become a wildcard, and so do branches whose share
-of labelled rejections doesn't differ from the rest of the node's by a two-proportion test. Labels are the verdicts of the
+level: at each node the segments that are too rare to be names become a wildcard, and so do branches whose share of labelled
+rejections doesn't differ from the rest of the node's by a two-proportion test; neither a node's number of segments nor its
+depth matters. Labels are the verdicts of the
 rules. A template is rejected if its smoothed share of rejected labels is at least `REJECT`; the share is smoothed towards
 that of the same template on all hosts, and that one towards the share of all labelled urls.
 
 Cases: a null url, or one without "://", has an empty host and path and no segments; repeated urls count each time; paths
-deeper than `DEPTH` keep their first segments and one wildcard for the rest; without any label the method allows; extra
+of any depth count whole, one round a level until each is alone in its node; without any label the method allows; extra
 columns of the input are ignored; an empty table gives an empty table.
 """
 
@@ -28,8 +29,6 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-DEPTH = 8
-NAMES = 32  # a node with more different segments has a variable there
 RARE = 3  # a segment seen fewer times isn't a name
 Z = 1.96
 WEIGHT = 8.0  # pseudo-counts of each smoothing step
@@ -58,16 +57,15 @@ def ruled(host: str, path: str, rules=RULES) -> tuple[Column, Column]:
 
 
 def segments(path: str) -> Column:
-    """array<string>: the path's segments by form; DEPTH of them at most, the rest as one wildcard."""
+    """array<string>: the path's segments by form."""
     parts = F.filter(F.split(F.lower(F.col(path)), "/"), lambda s: s != "")
-    shaped = F.transform(
+    return F.transform(
         parts,
         lambda s: F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit("{date}"))
         .when(s.rlike(r"^\d+(\.[a-z]{2,5})?$"), F.lit("{n}"))
         .when(s.rlike(r"^[0-9a-f-]{12,}(\.[a-z]{2,5})?$"), F.lit("{hex}"))
         .otherwise(F.regexp_replace(s, r"\d+", "{n}")),
     )
-    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("**")))).otherwise(shaped)
 
 
 def templates(labelled: DataFrame) -> DataFrame:
@@ -75,12 +73,16 @@ def templates(labelled: DataFrame) -> DataFrame:
     base = labelled.groupBy("host", "segs").agg(
         F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("bad"), F.count_if(F.col("verdict") == "allow").alias("good")
     )
-    base = written(base.withColumn("template", F.lit("")), "url-paths")
-    depth = base.agg(F.max(F.size("segs"))).first()[0] or 0  # DEPTH + 1 at most
-    for level in range(depth):
+    size = F.size("segs")
+    base = written(base.withColumn("template", F.lit("")).withColumn("final", size == 0), "url-paths")
+    levels, level = [base.written_to], 0
+    active = base.where("not final")
+    while not active.isEmpty():
         seg = F.get("segs", F.lit(level))
-        kids = base.where(F.size("segs") > level).groupBy("host", "template", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
-        node = kids.groupBy("host", "template").agg(F.count("*").alias("names"), F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
+        kids = active.groupBy("host", "template", seg.alias("seg")).agg(F.count("*").alias("paths"), *[F.sum(c).alias(c) for c in ("n", "bad", "good")])
+        node = kids.groupBy("host", "template").agg(
+            F.count("*").alias("names"), F.sum("paths").alias("all_paths"), F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good")
+        )
         at = kids.join(node, ["host", "template"])
         mine, others = F.col("bad") + F.col("good"), F.col("all_bad") + F.col("all_good") - F.col("bad") - F.col("good")
         pooled = (F.col("all_bad") + 1) / (F.col("all_bad") + F.col("all_good") + 2)
@@ -88,11 +90,17 @@ def templates(labelled: DataFrame) -> DataFrame:
         z = F.abs(gap) / F.sqrt(pooled * (1 - pooled) * (1 / F.nullif(mine, F.lit(0)) + 1 / F.nullif(others, F.lit(0))))
         apart = F.coalesce(z >= Z, F.lit(False))
         unlabelled = (F.col("all_bad") + F.col("all_good")) == 0
-        literal = (F.col("n") >= RARE) & (F.col("names") <= NAMES) & (apart | unlabelled | (F.col("names") == 1))
-        choice = at.select("host", "template", "seg", F.when(literal, F.col("seg")).otherwise(F.lit("*")).alias("name"))
-        grown = base.withColumn("seg", F.coalesce(seg, F.lit(""))).join(choice, ["host", "template", "seg"], "left")
-        base = grown.withColumn("template", F.when(F.col("name").isNotNull(), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template"))).drop("seg", "name")
-    return base
+        literal = (F.col("n") >= RARE) & (apart | unlabelled | (F.col("names") == 1))
+        choice = at.select("host", "template", "seg", F.when(literal, F.col("seg")).otherwise(F.lit("*")).alias("name"), (F.col("all_paths") == 1).alias("alone"))
+        grown = active.drop("final").withColumn("seg", seg).join(choice, ["host", "template", "seg"])
+        # A path alone in its node is the only name of every node below: the rest is all literal or all wildcards.
+        rest = F.when(F.col("n") >= RARE, F.array_join(F.slice("segs", F.lit(level + 1), size), "/")).otherwise(F.array_join(F.array_repeat(F.lit("*"), size - level), "/"))
+        name = F.concat("template", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.col("name")))
+        final = F.col("alone") | (size == level + 1)
+        grown = written(grown.select("host", "segs", "n", "bad", "good", name.alias("template"), final.alias("final")), "url-paths")
+        levels.append(grown.written_to)
+        active, level = grown.where("not final"), level + 1
+    return labelled.sparkSession.read.schema(base.schema).parquet(*levels).where("final").drop("final")
 
 
 def verdicts(base: DataFrame) -> DataFrame:

@@ -438,3 +438,26 @@ def test_url_templates_learn(spark):
         if r.host.endswith("net") and r.path.count("/") == 2:
             assert r.verdict == ("block" if r.path.startswith("/de/") else "allow")
             assert r.template.endswith("{n}")
+
+
+def test_url_templates_of_wide_and_deep_nodes(spark):
+    """A node's number of segments and a path's depth decide nothing: a blocked branch among many, and one below the ninth level."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    wide = [f"http://wide.com/{s}/{letters[k % 26]}{letters[k // 26]}" for s in ("de", "fr") for k in range(60)]
+    wide += [f"http://wide.com/section{a}{b}/{c}" for a in letters for b in "xyz" for c in "pqr"] + [f"http://wide.com/slug{a}{b}" for a in letters for b in letters]
+    top = "/".join(f"level{c}" for c in letters[:10])
+    deep = [f"http://deep.net/{top}/{branch}/{letters[k]}{letters[j]}" for branch in ("bad", "good") for k in range(26) for j in range(2)]
+    long = ["http://long.net/" + "x/" * 14 + c for c in ("", "y")]
+    rules = (("com", "/de/", "block"), ("com", "/fr/", "allow"), ("deep.net", f"/{top}/bad/a", "block"), ("deep.net", f"/{top}/bad/b", "block"), ("deep.net", f"/{top}/good/a", "allow"), ("deep.net", f"/{top}/good/b", "allow"))
+    rules += tuple(("deep.net", f"/{top}/{b}/{c}", v) for b, v in (("bad", "block"), ("good", "allow")) for c in letters[2:20])
+    urls = wide + deep + long
+    got = url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        if r.host == "wide.com":
+            assert r.template.startswith(f"/{r.path.split('/')[1]}/" if r.path.startswith(("/de/", "/fr/")) else "/*")
+        elif r.host == "deep.net":
+            branch = r.path.split("/")[11]
+            assert r.template.startswith(f"/{top}/{branch}/") and r.verdict == ("block" if branch == "bad" else "allow")
+        else:
+            assert r.template == "/*" * len(r.path.strip("/").split("/"))
