@@ -6,7 +6,7 @@ The best container is kept together with the siblings that look like more of the
 notices, adverts, forms, scripts and comment threads never count.
 
 Cases: a null, empty or text-free page gives an empty string; broken markup (unclosed or stray tags) is repaired as
-browsers do for paragraphs and lists; pages without a scored paragraph fall back to the body; equal pages give equal rows;
+browsers do for paragraphs, lists and cells, within skipped parts too, and unknown declarations are comments; pages without a scored paragraph fall back to the body; equal pages give equal rows;
 extra columns of the input are ignored; an empty table gives an empty table.
 """
 
@@ -41,17 +41,21 @@ BOILER = re.compile(
 )
 ARTICLE = re.compile(r"(^|[\s_-])(article|body|content|entry|hentry|main|page|post|story|text|blog)($|[\s_-])", re.I)
 BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+SEALED = frozenset("iframe noscript template object select textarea svg math".split())  # inner end tags close nothing outside
+HEAD = frozenset("title meta link base basefont bgsound noframes script style noscript template".split())
+LONG_REFERENCE = re.compile(r"&#[0-9]{4000,};?")  # more digits than int() takes; no such character
 PARAGRAPH = frozenset("p pre td blockquote li dd".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "score", "n_text", "n_link")
+    __slots__ = ("tag", "attrs", "parent", "kids", "score", "n_text", "n_link", "off")
 
-    def __init__(self, tag: str, attrs: dict, parent: Node | None):
+    def __init__(self, tag: str, attrs: dict, parent: Node | None, off: bool = False):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.kids: list = []
         self.score = 0.0
         self.n_text = self.n_link = 0
+        self.off = off  # in a part that never counts
 
 
 def is_boiler(tag: str, attrs: dict) -> bool:
@@ -73,7 +77,9 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", {}, None)
-        self.skip: list[str] = []  # open elements from the outermost one that never counts
+
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)  # as browsers do; the base class raises for unknown ones
 
     def _close_to(self, tags, scope) -> None:
         n = self.at
@@ -81,27 +87,28 @@ class _Tree(HTMLParser):
             if n.tag in tags:
                 self.at = n.parent
                 return
+            # An item inside a skipped part is none of the list around that part.
+            if n.off and not n.parent.off and not tags & {"td", "th", "p"} and n.tag in BLOCK | SEALED and n.tag not in ("div", "p", "address"):
+                return
             n = n.parent
 
     def handle_starttag(self, tag, attrs):
-        if self.skip:
-            if tag not in VOID:
-                self.skip.append(tag)
-            return
+        if self.at.tag == "head" and tag not in HEAD:
+            self.at = self.at.parent
         if tag in CLOSES_P:
             self._close_to({"p"}, SCOPE)
         if tag in PEERS:
             self._close_to(PEERS[tag], {"ul", "ol", "dl", "table", "select"})
-        attrs = dict(attrs)
-        if is_boiler(tag, attrs):
+        off = self.at.off
+        attrs = {} if off else dict(attrs)
+        if not off and is_boiler(tag, attrs):
             self.at.kids.append(Node("#gap" if tag in BLOCK else "#skip", {}, self.at))
-            if tag not in VOID:
-                self.skip = [tag]
-            return
-        if tag in ("html", "body") and (tag == "html" or any(isinstance(k, Node) and k.tag == "body" for k in self.root.kids)):
+            off, attrs = True, {}
+        elif tag in ("html", "body") and (tag == "html" or off or any(isinstance(k, Node) and k.tag == "body" for k in self.root.kids)):
             return
-        node = Node(tag, attrs, self.at)
-        self.at.kids.append(node)
+        node = Node(tag, attrs, self.at, off)
+        if not off:
+            self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
 
@@ -112,13 +119,6 @@ class _Tree(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if self.skip:
-            if tag in self.skip:
-                while self.skip and self.skip.pop() != tag:
-                    pass
-            elif tag in ("body", "html", "article", "main", "section", "div") and not {tag} & {*self.skip}:
-                pass
-            return
         n = self.at
         while n.parent is not None:
             if n.tag == tag:
@@ -126,10 +126,14 @@ class _Tree(HTMLParser):
                 return
             if n.tag in ("td", "th", "table", "article", "main", "body") and tag not in ("table", "tr", "article", "main", "body", "html"):
                 return
+            if n.tag in SEALED and tag not in ("body", "html"):
+                return
+            if n.off and not n.parent.off and n.tag in BLOCK and tag not in BLOCK:
+                return
             n = n.parent
 
     def handle_data(self, data):
-        if not self.skip and data:
+        if not self.at.off and data:
             self.at.kids.append(data)
 
 
@@ -269,11 +273,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = _Tree()
-    try:
-        tree.feed(html)
-        tree.close()
-    except (AssertionError, ValueError):  # markup declarations that the parser gives up on; what was read so far counts
-        pass
+    tree.feed(LONG_REFERENCE.sub("\ufffd", html))
+    tree.close()
     order = _measure(tree.root)
     best = best_container(tree.root, order)
     return "\n".join(blocks(kept_parts(best) if best is not None else [tree.root]))

@@ -176,6 +176,42 @@ def test_main_text(spark):
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got) and [r.text for r in got if r.page_id == 1] == [want]
 
 
+@pytest.mark.parametrize("mark", ["<![0]>", "<![ y>", "<![foo bar]>", "<![if x>", "<![0]", "<!x>", "<![CDATA[x]]>", "&#" + "9" * 5000 + ";"])
+def test_main_text_after_odd_marks(mark):
+    text = "The article, which goes on, and on, after it."
+    got = html_text.main_text(f"<body><div><p>First, a paragraph, with commas.</p>{mark}<p>{text}</p></div>")
+    assert text in got and "First" in got
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div><p class=notice>GONE<p>{}</p></div>",
+        "<ul><li class=share>GONE<li>{}</ul>",
+        "<table><tr><td class=sidebar>GONE<td>{}</table>",
+        "<table><tr><td class=sidebar>GONE<p>GONE</p></tr><tr><td>{}</tr></table>",
+        "<div><div><nav>GONE<a>GONE</a></div><p>{}</p></div>",
+        "<div><div><form>GONE<p>GONE</div><p>{}</p></div>",
+        "<div><nav><ul><li>GONE<li>GONE</ul><b>GONE</span></nav><p>{}</p></div>",
+        "<ul><li><nav>GONE<li>GONE</nav>{}</ul>",
+        "<div><span><nav>GONE</span>GONE</nav><p>{}</p></span></div>",
+        "<div><noscript>GONE</div>GONE</noscript><p>{}</p></div>",
+        "<head><title>GONE</title><p>{}</p>",
+        "<head><title>GONE</title><body><p>{}</p>",
+    ],
+)
+def test_main_text_skipped_parts_end(page):
+    text = "The article, which goes on, and on, after a part that never counts."
+    assert html_text.main_text(page.format(text)) == text
+
+
+def test_main_text_reads_any_markup():
+    rng = random.Random(8)
+    parts = ["<![", "<!", "<!--", "-->", "]]>", "]>", ">", "<", "</", "<p>", "</p>", "<div class=ad>", "</div>", "<script>", "</script>", "<a href='", "&#", "&#x", "x", " ", '"', "=", "<?", "[if", "doctype", "<td>", "<li>", "/>"]
+    for _ in range(3000):
+        html_text.main_text("".join(rng.choice(parts) for _ in range(30)))
+
+
 # ---- 4: tokens -----------------------------------------------------------------------------------------------------------
 
 
