@@ -4,12 +4,14 @@ Every word enters as its own hashed vector next to the pooled vectors of its cha
 seen still carry their parts. A document is cut into windows that overlap by half; each window goes through the network
 both ways, attention pools the states, and the document takes its highest window.
 
-Training uses at most `TRAIN_DOCS` labelled documents of at most `TRAIN_WORDS` words each, drawn by the hash of the id; of a
-document's windows the highest ones learn its label. Scoring covers every window of every document.
+Training uses at most `TRAIN_DOCS` labelled documents, half of either label, and of each half as many as have `TRAIN_CHARS`
+characters in all, both in the order of the id's hash; of a document's windows the highest ones learn its label. Scoring covers
+every window of every document. Runs of letters and digits longer than `LONGEST`, as in scripts without blanks, enter as
+overlapping pieces, so that no character is left out.
 
 Cases: null, empty and wordless texts get the score of a window without words; without labels of both kinds every score is
 0; several label rows of one id count as their maximum; equal texts get equal scores; extra columns of the input are
-ignored; an empty table gives an empty table.
+ignored; of the rows that share a labelled id the least text is the one to learn from; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import held_out, text_of
 
 WINDOW, STRIDE = 32, 16
-TRAIN_DOCS, TRAIN_WORDS = 2400, 3000
+TRAIN_DOCS, TRAIN_CHARS = 2400, 6_000_000
+EARLY = 3  # rounds in which a document learns from windows drawn at random
+LONGEST, SHARED = 24, 8  # characters of a piece of a long run, and those that it shares with the next one
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
 DIM, HIDDEN = 6, 8
 GRAMS = (3, 4, 6, 8)
@@ -37,7 +41,10 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    words = _WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [p for w in words for p in ((w,) if len(w) <= LONGEST else (w[k : k + LONGEST] for k in range(0, len(w) - SHARED, LONGEST - SHARED)))]
 
 
 def windows_of(n: int) -> list[int]:
@@ -49,7 +56,7 @@ def windows_of(n: int) -> list[int]:
 
 def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character sequences of GRAMS bytes of each word with its ends marked: (ids, number for each word)."""
-    raw = [b"<" + w.encode()[:96] + b">" for w in words]
+    raw = [b"<" + w.encode() + b">" for w in words]
     sizes = np.array([len(r) for r in raw])
     flat = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint32) + 1
     ends = np.repeat(np.cumsum(sizes), sizes)
@@ -221,26 +228,15 @@ class ToxicityModel:
         return _sigmoid(out)
 
 
-def _odds(ids_by_doc: list[np.ndarray], labels: np.ndarray, rows: int, seen: np.ndarray) -> np.ndarray:
-    """Smoothed log odds of label 1 for each table row, shrunk to zero where few documents have it."""
-    pos, neg = np.zeros(rows), np.zeros(rows)
-    for ids, y in zip(ids_by_doc, labels):
-        (pos if y else neg)[np.unique(ids)] += 1
-    n_pos, n_neg = max(1, labels.sum()), max(1, len(labels) - labels.sum())
-    raw = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
-    return np.clip(raw * (pos + neg) / (pos + neg + 15), -3, 3).astype(np.float32)
-
-
 def train_numpy(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7) -> ToxicityModel:
     """Fits the network on whole labelled texts; in each round the highest windows of a document learn its label."""
     labels = np.asarray(labels)
     if not len(labels) or labels.min() == labels.max():
         return ToxicityModel({})
     rng = np.random.default_rng(seed)
-    split = [words_of(t) for t in texts]
-    types = list(dict.fromkeys(w for ws in split for w in ws))
-    index = {w: k for k, w in enumerate(types)}
-    docs = [np.array([index[w] for w in ws], dtype=np.int64) for ws in split]
+    index: dict[str, int] = {}
+    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], dtype=np.int32) for t in texts]
+    types = list(index)
     wid = word_ids(types)
     gids, gsizes = gram_ids(types)
     gstart = np.concatenate([[0], np.cumsum(gsizes)])
@@ -252,9 +248,6 @@ def train_numpy(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int
         "wo": rng.normal(0, 0.3, 2 * HIDDEN), "bo": np.zeros(1),
     }
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    p["word"][:, 0] = _odds([wid[d] for d in docs], labels, WORD_ROWS, wid)
-    grams_of_doc = [gids[np.concatenate([np.arange(gstart[w], gstart[w + 1]) for w in np.unique(d)])] if len(d) else gids[:0] for d in docs]
-    p["gram"][:, 0] = _odds(grams_of_doc, labels, GRAM_ROWS, gids) / 2
     model = ToxicityModel(p)
     wins, owner, size = [], [], []
     for k, d in enumerate(docs):
@@ -263,20 +256,19 @@ def train_numpy(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int
             wins.append(np.pad(part, (0, WINDOW - len(part))))
             owner.append(k)
             size.append(len(part))
-    wins, owner, size = np.array(wins), np.array(owner), np.array(size)
+    wins, owner, size = np.array(wins, dtype=np.int32), np.array(owner), np.array(size)
     mask = np.arange(WINDOW) < size[:, None]
-    hint = p["word"][wid, 0] + _pool_grams(p["gram"][:, :1], gids, gsizes)[:, 0]
-    rank = np.where(mask, hint[wins], -9).max(1)
+    rank = rng.random(len(wins))  # as long as the network knows nothing, any windows will do
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for epoch in range(epochs):
-        if epoch >= 3:
+        if epoch >= EARLY:
             rows = model.projected(types)
             rank = np.concatenate([model._logits(rows, wins[k : k + BATCH], mask[k : k + BATCH]) for k in range(0, len(wins), BATCH)])
         order = np.lexsort((-rank, owner))
         place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         y_all = labels[owner[order]]
-        pick = order[np.where(y_all == 1, place < 1, place < 3)]
+        pick = order[np.where(y_all == 1, place < (1 if epoch >= EARLY else 4), place < 3)]
         extra = rng.choice(len(wins), min(len(wins), 800), replace=False)
         pick = np.concatenate([pick, extra[labels[owner[extra]] == 0]])
         pick = rng.permutation(pick)
@@ -285,7 +277,7 @@ def train_numpy(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int
         for k in range(0, len(pick), 256):
             step += 1
             _learn(p, moments, step, wins[pick[k : k + 256]], mask[pick[k : k + 256]], y[k : k + 256], weight[k : k + 256].astype(np.float32), wid, gids, gsizes, gstart, 0.01 * (1 - epoch / epochs) + 0.001, rng)
-    # The documents' own highest windows set the offset, so that 0.5 splits them best.
+    # The documents' own highest windows set the offset, so that 0.5 splits them best; of equal cuts a low one, in favour of recall.
     got = np.full(len(docs), float(p["bo"][0]))
     rows = model.projected(types)
     top = np.full(len(docs), -np.inf)
@@ -298,7 +290,7 @@ def train_numpy(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int
         hit, wrong = len(pos) - np.searchsorted(pos, cuts), len(neg) - np.searchsorted(neg, cuts)
         f1 = 2 * hit / np.maximum(1, hit + wrong + len(pos))
         best = np.flatnonzero(f1 >= f1.max() - 1e-9)
-        p["bo"] = (p["bo"] - np.float32(cuts[best[len(best) // 2]])).astype(np.float32)
+        p["bo"] = (p["bo"] - np.float32(cuts[best[len(best) // 4]])).astype(np.float32)
     return model
 
 
@@ -359,20 +351,18 @@ def _learn(p, moments, step, wins, mask, y, weight, wid, gids, gsizes, gstart, r
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Collects the bounded sample, all positive rows first up to half of it, and fits on the driver."""
+    """Collects the bounded sample and fits on the driver."""
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
         .groupBy(F.col("doc_id").alias("_id"))
         .agg(F.max("toxic").cast("int").alias("_label"))
     )
     drawn = [known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS // 2) for y in (0, 1)]
-    rows = (
-        docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-        .where(F.char_length("_text") <= 8 * TRAIN_WORDS)
-        .join(F.broadcast(drawn[0].union(drawn[1])), "_id")
-        .toPandas()
-        .sort_values(["_id", "_text"], kind="stable")
-    )
+    found = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(drawn[0].union(drawn[1])), "_id")
+    # An id may repeat in any number of rows: its least text counts, so that the sample stays bounded.
+    rows = found.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
+    so_far = F.sum(F.char_length("_text")).over(Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id"))  # TRAIN_DOCS rows
+    rows = rows.withColumn("_chars", so_far).where(F.col("_chars") <= TRAIN_CHARS).orderBy("_id").select("_text", "_label").toPandas()
     return train_numpy(rows["_text"].to_list(), rows["_label"].to_numpy())
 
 
