@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from contextlib import contextmanager
 
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = f"/tmp/checkpoints/{uuid.uuid4().hex}"
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir() or own
@@ -44,6 +47,20 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: A table of short rows is broadcast up to so many of them, else joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df to be broadcast if it has at most `most` rows, else as it is; of a written table only the footers are read for that."""
+    n = df.count() if hasattr(df, "written_to") else df.limit(most + 1).count()
+    if n > most:
+        return df
+    out = F.broadcast(df)
+    out.written_to = getattr(df, "written_to", None)
+    return out
+
+
 @contextmanager
 def settings(spark: SparkSession, **conf: str):
     """Session settings for the jobs started inside the block, put back afterwards."""

@@ -19,12 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import dropped, text_of, written
+from gridlark.llm.common import bounded, text_of, written
 
 WIDTH = 5
 SHARE = 0.8
-#: A side is broadcast up to so many rows, else joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def words(col: str) -> Column:
@@ -79,11 +77,6 @@ def _hash_of_string(col: str) -> Column:
     return F.expr(f"case size({split}) {cases} end")
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df to be broadcast if it has at most `most` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def search(docs: DataFrame, sketch: DataFrame, widths: list[int]) -> DataFrame:
     """Candidate pairs (_id, item): the document holds a kept value and is large enough for the item's partition."""
     found = None
@@ -108,7 +101,7 @@ def contained(
     if not widths:
         return docs.sparkSession.createDataFrame([], schema)
     rows = docs.select(F.col(id_col).alias("_id"), words(text_col).alias("_w"))
-    pairs = written(search(rows, sketches(sets, share), widths), "pairs")
+    pairs = written(search(rows, written(sketches(sets, share), "item-sketches"), widths), "pairs")
     # Only candidate documents are read again as shingles, and only against their own items.
     ids = bounded(pairs.select(F.col("_id").alias("_c")).distinct())
     again = rows.join(ids, rows["_id"].eqNullSafe(ids["_c"]), "left_semi")

@@ -4,16 +4,17 @@ Lines (blank ones aside) are equal if their trimmed texts are, and linked if the
 have at least `MIN_CHARS` characters. Every long distinct line is split into EDITS + 1 segments of even length; two lines
 within EDITS edits must share one of the shorter line's segments at nearly its place. The index holds (length, segment
 number, segment) of each line; a line probes it, for each length up to EDITS below its own, with the substrings whose place is
-possible (multi-match-aware selection). Pairs of segments that many lines share are sifted by the parity of their characters
-inside the join. Candidate pairs of which too few pieces agree are dropped; the rest are verified by a
+possible (multi-match-aware selection). Lines of a segment that many lines share meet only if one of several parts of their
+neighbouring characters agrees as well. Candidate pairs of which too few pieces agree are dropped; the rest are verified by a
 banded bit-parallel edit distance on what is left between their common start and end. Classes are
 connected components of links, and the first line of a class, by document and place, stays.
 
-Only 64-bit hashes travel in the join; a pair's texts are fetched for verification by reading the documents again.
+Only 64-bit hashes travel in the join; a pair's texts are fetched for verification by reading the documents again. Lines count
+as equal if two such hashes are.
 
 Cases: null and empty texts have no lines; blank lines belong to no class and always stay; rows that share an id (a null one
-too) are told apart by their text only, and repeats of one such row count once; extra columns of the input are ignored; an
-empty table gives an empty table; very long lines are split and compared whole.
+too) are told apart, so of each class exactly one line of one row stays, of equal ids that of any one row; extra columns of the
+input are ignored; an empty table gives an empty table; very long lines are split and compared whole.
 """
 
 from __future__ import annotations
@@ -21,16 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import components, dropped, text_of, written
+from gridlark.llm.common import bounded, components, dropped, text_of, written
 
 EDITS = 2
 MIN_CHARS = 20
 #: Pieces of a line in the test that precedes verification.
 PIECES = 16
-#: Lines of one segment from which on their pairs are sifted by characters before they leave the join.
+#: Lines of one segment from which on they must agree in a part of their characters as well.
 CROWD = 16
-#: A side is broadcast up to so many rows, else joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,19 +90,27 @@ def keyed(long_lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     return written(distinct.select("h", F.array(*names[: len(own)]).alias("own"), F.array(*names[len(own) :]).alias("other")), "line-keys")
 
 
-def sketched(lines_of: DataFrame) -> DataFrame:
-    """(h, letters, pairs): for each distinct line, which characters and which neighbouring characters it has an odd number of times, each as 64 hashed bits."""
+def sketched(lines_of: DataFrame, edits: int) -> DataFrame:
+    """(h, letters, pairs, parts) for each distinct line.
+
+    letters and pairs: which characters and which pairs of neighbouring ones it has an odd number of times, each as 64 hashed
+    bits. parts: the pairs are dealt to 4 edits + 1 parts by their hash; each part is the exclusive or of its pairs' hashes.
+    """
     parity = "aggregate({}, 0L, (s, c) -> s ^ shiftleft(1L, cast(pmod(xxhash64(c), 64) as int)))"
     letters = F.expr(parity.format("split(_line, '')"))
-    pairs = F.expr(parity.format("transform(sequence(1, greatest(1, char_length(_line) - 1)), i -> substring(_line, i, 2))"))
-    return lines_of.select("h", letters.alias("letters"), pairs.alias("pairs")).groupBy("h").agg(F.max("letters").alias("letters"), F.max("pairs").alias("pairs"))
+    two = "transform(sequence(1, greatest(1, char_length(_line) - 1)), i -> xxhash64(substring(_line, i, 2)))"
+    pairs = "aggregate(_two, 0L, (s, c) -> s ^ shiftleft(1L, cast(pmod(c, 64) as int)))"
+    parts = f"transform(sequence(0, {4 * edits}), k -> aggregate(filter(_two, c -> pmod(shiftright(c, 8), {4 * edits + 1}) = k), 0L, (s, c) -> s ^ c))"
+    one = lines_of.groupBy("h").agg(F.any_value("_line").alias("_line")).withColumn("_two", F.expr(two))
+    return one.select("h", letters.alias("letters"), F.expr(pairs).alias("pairs"), F.expr(parts).alias("parts"))
 
 
 def candidates(long_lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(a, b) with a < b: hashes of distinct lines that share a segment; written to the shared folder.
 
-    Where more than CROWD lines have one segment, their pairs must also have nearly the same characters: an edit changes the
-    parity of at most two characters and of at most four neighbouring pairs, so no pair within `edits` edits is lost.
+    Where more than CROWD lines have one segment, two of them meet only if one of their 4 edits + 1 parts is equal, and they must
+    have nearly the same characters: an edit changes the parity of at most two characters and of at most four neighbouring
+    pairs, and so at most four parts. No pair within `edits` edits is lost.
     """
     keys = keyed(long_lines, edits, min_chars)
     index = keys.select(F.explode("own").alias("key"), "h")
@@ -114,11 +121,13 @@ def candidates(long_lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     crowd_index = written(index.join(crowds, "key", "left_semi"), "line-crowd-index")
     crowd_probes = written(probes.join(crowds, "key", "left_semi"), "line-crowd-probes")
     members = bounded(written(crowd_index.select("h").union(crowd_probes.select("g")).distinct(), "line-crowd-members"))
-    seen = written(sketched(long_lines.select("_line", F.xxhash64("_line").alias("h")).join(members, "h", "left_semi")), "line-sketches")
-    x = crowd_index.join(bounded(seen), "h")
-    y = crowd_probes.join(bounded(seen.withColumnsRenamed({"h": "g", "letters": "letters_", "pairs": "pairs_"})), "g")
+    seen = written(sketched(long_lines.select("_line", F.xxhash64("_line").alias("h")).join(members, "h", "left_semi"), edits), "line-sketches")
+    parts = F.posexplode("parts").alias("part", "value")
+    x = crowd_index.join(bounded(seen, 100_000), "h").select("key", "h", "letters", "pairs", parts)
+    y = crowd_probes.join(bounded(seen, 100_000).withColumnRenamed("h", "g"), "g").select("key", "g", F.col("letters").alias("letters_"), F.col("pairs").alias("pairs_"), parts)
     alike = (F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_"))) <= 2 * edits) & (F.bit_count(F.col("pairs").bitwiseXOR(F.col("pairs_"))) <= 4 * edits)
-    close = x.join(y, (x["key"] == y["key"]) & (F.col("h") != F.col("g")) & alike).select(*pair)
+    same = (x["key"] == y["key"]) & (x["part"] == y["part"]) & (x["value"] == y["value"])
+    close = x.join(y, same & (F.col("h") != F.col("g")) & alike).select(*pair)
     out = written(plain.union(close).distinct(), "line-pairs")
     for done in (keys, crowd_index, crowd_probes, seen):
         dropped(done)
@@ -130,7 +139,7 @@ def within(a: str, b: str, edits: int) -> Column:
 
     A word has one bit for each of the 2 edits + 1 rows of the band; its highest bit is row j + edits in column j of the
     table. The longer string gives the rows. Down the diagonal the lowest row's cost is counted, and along the last row the
-    horizontal differences.
+    horizontal differences. Strings shorter than the band are compared by the built-in function.
     """
     rows, cols = f"if(char_length({a}) >= char_length({b}), {a}, {b})", f"if(char_length({a}) >= char_length({b}), {b}, {a})"
     top, ones = 1 << 2 * edits, (1 << 2 * edits + 1) - 1
@@ -138,7 +147,7 @@ def within(a: str, b: str, edits: int) -> Column:
     last = f"(size(s.x) - {edits})"
     at = f"cast({2 * edits - 1} - (p.j - {last}) as int)"
     return F.expr(f"""
-      if(abs(char_length({a}) - char_length({b})) > {edits}, {edits + 1}, aggregate(
+      if(abs(char_length({a}) - char_length({b})) > {edits}, {edits + 1}, if(greatest(char_length({a}), char_length({b})) < {2 * edits}, levenshtein({a}, {b}), aggregate(
         transform(split({cols}, ''), (c, j) -> named_struct('c', c, 'j', j)),
         named_struct('x', split({rows}, ''), 'vp', {ones & -(1 << edits)}L, 'vn', 0L, 'd', {edits}),
         (s, p) -> transform(transform(transform(array({match}),
@@ -151,7 +160,7 @@ def within(a: str, b: str, edits: int) -> Column:
             'd', s.d + if(p.j < {last},
               if((r.d0 & {top}L) = 0, 1, 0),
               cast((shiftright(r.hp, {at}) & 1) - (shiftright(r.hn, {at}) & 1) as int))))[0],
-        s -> s.d))
+        s -> s.d)))
     """)
 
 
@@ -179,27 +188,27 @@ def core(a: str, b: str, pieces: int = PIECES) -> tuple[Column, Column, Column,
     return F.expr(head).alias("head"), F.expr(tail).alias("tail"), cut(a), cut(b)
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): hashes of distinct lines at most `edits` edits apart, a < b; written to the shared folder."""
+    """(a, b, a2, b2): the two hashes of distinct lines at most `edits` edits apart, a < b; written to the shared folder."""
     long_lines = lines(docs, id_col, text_col).where(F.char_length("_line") >= min_chars).select("_line")
     pairs = candidates(long_lines, edits, min_chars)
     ids = bounded(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     texts = written(long_lines.select("_line", F.xxhash64("_line").alias("h")).join(ids, "h", "left_semi").distinct(), "line-texts")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("_line").alias("_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("_line").alias("_b")), "b")
     head, tail, core_a, core_b = core("_a", "_b")
-    likely = both.where(plausible("_a", "_b", edits)).select("a", "b", "_a", "_b", head, tail)
-    cores = written(likely.select("a", "b", core_a.alias("_a"), core_b.alias("_b")), "line-cores")
-    out = written(cores.repartition("a", "b").where(within("_a", "_b", edits) <= edits).select("a", "b"), "line-links")
+    likely = both.where(plausible("_a", "_b", edits)).select("a", "b", _second("_a").alias("a2"), _second("_b").alias("b2"), "_a", "_b", head, tail)
+    cores = written(likely.select("a", "b", "a2", "b2", core_a.alias("_a"), core_b.alias("_b")), "line-cores")
+    out = written(cores.repartition("a", "b").where(within("_a", "_b", edits) <= edits).select("a", "b", "a2", "b2"), "line-links")
     dropped(cores)
     dropped(pairs)
     dropped(texts)
     return out
 
 
+def _second(line: str) -> Column:
+    return F.xxhash64(F.lit(1), F.col(line))
+
+
 def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, class_doc, class_line, n_links, keep) of every line that isn't blank.
 
@@ -208,22 +217,24 @@ def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_
     """
     found = links(docs, edits, min_chars, id_col, text_col)
     member = components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = bounded(written(member.join(degree, "node").select(F.col("node").alias("_h"), "root", "n_links"), "line-classes"))
-    every = (
-        lines(docs, id_col, text_col)
-        .select("_id", "_no", F.xxhash64("_line").alias("_h"))
-        .join(linked, "_h", "left")
-        .select("_id", "_no", F.coalesce("root", "_h").alias("_class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degree = found.select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("a2").alias("h2")), F.struct(F.col("b").alias("h"), F.col("b2").alias("h2")))).alias("n"))
+    degree = degree.groupBy("n.h", "n.h2").agg(F.count("*").alias("n_links"))
+    linked = bounded(written(degree.join(member.withColumnRenamed("node", "h"), "h").select(F.col("h").alias("_h"), F.col("h2").alias("_h2"), "root", "n_links"), "line-classes"))
+    # A row number tells rows of one id apart; the lines' hashes are written with it, so that every later step has the same numbers.
+    numbered = docs.select(F.struct(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row")).alias("_id"), text_col)
+    every = written(lines(numbered, "_id", text_col).select("_id", "_no", F.xxhash64("_line").alias("_h"), _second("_line").alias("_h2")), "line-hashes")
+    every = every.join(linked, ["_h", "_h2"], "left").select(
+        "_id", "_no", F.coalesce("root", "_h").alias("_class"), F.when(F.col("root").isNull(), F.col("_h2")).otherwise(F.lit(0)).alias("_class2"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-    first = every.groupBy("_class").agg(F.min(F.struct("_id", "_no")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    first = every.groupBy("_class", "_class2").agg(F.min(F.struct("_id", "_no")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     # Written, so that beyond the broadcast bound the adaptive skew join can split a class that a large share of all lines is in.
     first = bounded(written(first, "line-firsts"))
-    out = every.join(first, "_class", "left").select(
-        F.col("_id").alias(id_col),
+    at = F.struct("_id", "_no")
+    return every.join(first, ["_class", "_class2"], "left").select(
+        F.col("_id._id").alias(id_col),
         F.col("_no").alias("line_no"),
-        F.when(F.col("_n").isNotNull(), F.col("_first._id")).otherwise(F.col("_id")).alias("class_doc"),
+        F.coalesce(F.col("_first"), at)["_id"]["_id"].alias("class_doc"),
         F.coalesce("_first._no", "_no").alias("class_line"),
         "n_links",
+        F.coalesce(F.col("_first") == at, F.lit(True)).alias("keep"),
     )
-    return out.withColumn("keep", F.col(id_col).eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_line")))
