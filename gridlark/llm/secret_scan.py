@@ -21,7 +21,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import text_of
+from gridlark.llm.common import bounded, text_of, written
 
 
 @dataclass(frozen=True)
@@ -172,7 +172,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     index_rules = tuple(r for r in rules if trigram_query(r))
     found = candidates(rows, index_rules, "_id", "_text")
     # Rows of one id share their postings: each is searched with the regexes, so sharing only costs time.
-    few = rows.where(F.col("_id").isNotNull()).join(found, "_id")
+    # The ids found are few and short: while they can be broadcast, no text is shuffled.
+    few = rows.where(F.col("_id").isNotNull()).join(bounded(written(found, "secret-candidates")), "_id")
     loose = rows.where(F.col("_id").isNull()).withColumn("kinds", F.array(*[F.lit(r.kind) for r in index_rules]))
     tagged = {r.kind: k for k, r in enumerate(rules)}
     empty = F.expr("cast(array() as array<struct<s:int,ord:int,e:int,kind:string>>)")
@@ -183,19 +184,24 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     def when(rule: Rule) -> Column:
         return F.when(F.array_contains("kinds", rule.kind), tag(rule)).otherwise(empty)
 
-    searched = few.unionByName(loose).select("_id", F.xxhash64("_text").alias("_h"), F.flatten(F.array(*[when(r) for r in index_rules])).alias("_found")).where(F.size("_found") > 0)
-    by_id = searched.groupBy("_id", "_h").agg(F.first("_found").alias("_found"))
+    searched = few.unionByName(loose).select("_id", *_hashes(), F.flatten(F.array(*[when(r) for r in index_rules])).alias("_found")).where(F.size("_found") > 0)
+    by_id = bounded(written(searched.groupBy("_id", "_h", "_h2").agg(F.first("_found").alias("_found")), "secret-spans"), 100_000)
     full = [r for r in rules if r not in index_rules]
-    direct = rows.withColumn("_h", F.xxhash64("_text")).withColumn(
+    direct = rows.select("*", *_hashes()).withColumn(
         "_full", F.flatten(F.array(*[F.when(F.col("_text").rlike(r.regex), tag(r)).otherwise(empty) for r in full])) if full else empty
-    ).select("_id", "_h", "_full")
-    keys = [direct["_id"].eqNullSafe(by_id["_id"]), direct["_h"] == by_id["_h"]]
+    ).select("_id", "_h", "_h2", "_full")
+    keys = [direct["_id"].eqNullSafe(by_id["_id"]), direct["_h"] == by_id["_h"], direct["_h2"] == by_id["_h2"]]
     both = direct.join(by_id, reduce(lambda a, b: a & b, keys), "left").select(
         direct["_id"].alias(id_col), F.array_sort(F.concat(direct["_full"], F.coalesce(by_id["_found"], empty))).alias("spans")
     )
     return both
 
 
+def _hashes() -> list[Column]:
+    """Two hashes of a text, by which rows that share an id are told apart."""
+    return [F.xxhash64("_text").alias("_h"), F.xxhash64(F.lit(1), F.col("_text")).alias("_h2")]
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
