@@ -9,7 +9,7 @@ by the hash of the id, so what is broadcast has a fixed size at any corpus size.
 
 Cases: null and empty texts get the neutral vector and the vote of their nearest neighbours like any other; without labels
 every score is `NO_LABELS`; several label rows of one id count as their maximum; rows with a null id are scored and never
-held out; equal texts get equal scores; extra columns of the input are ignored; an empty table gives an empty table.
+held out; of the rows that share a labelled id the least text is the one to learn from; equal texts get equal scores; extra columns of the input are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -80,23 +80,50 @@ def term_counts(text: str) -> np.ndarray:
     return out
 
 
+def sparse(counts: np.ndarray) -> bytes:
+    """The terms that occur, as 16-bit places and 32-bit counts: a few kilobytes where the whole row takes sixteen."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<f4").tobytes()
+
+
+def dense(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), N_TERMS), dtype=np.float32)
+    for k, row in enumerate(rows):
+        n = len(row) // 6
+        out[k, np.frombuffer(row, "<u2", n)] = np.frombuffer(row, "<f4", n, 2 * n)
+    return out
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Rows of root term frequency times idf; the character pairs and the repeats are scaled each to their own total."""
-    pairs, rest = counts[:, :-_REPEATS], counts[:, -_REPEATS:]
-    pairs = np.sqrt(pairs / np.maximum(pairs.sum(1, keepdims=True), 1))
-    rest = np.sqrt(rest / np.maximum(rest[:, -1:], 1))
-    x = np.concatenate([pairs, rest], axis=1) * idf
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
-
-
-def fit(counts: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, projection) from the counts of a labelled sample."""
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    x = weighted(counts, idf)
-    values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
+    x = np.array(counts, dtype=np.float32)
+    for part, total in ((x[:, :-_REPEATS], x[:, :-_REPEATS].sum(1, keepdims=True)), (x[:, -_REPEATS:], x[:, -1:].copy())):
+        part /= np.maximum(total, 1)
+        np.sqrt(part, out=part)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
+
+
+def fit(rows: list[bytes], rank: int = RANK, sweeps: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """(idf, projection) from the sparse counts of a labelled sample.
+
+    The leading right singular vectors come from block power iteration: the sample is read in blocks again and again, so that
+    neither it nor a square matrix of its size is ever held dense.
+    """
+    blocks = [rows[at : at + BLOCK] for at in range(0, len(rows), BLOCK)]
+    seen = sum((dense(b) > 0).sum(0) for b in blocks)
+    idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
+    wide = min(rank + 16, len(rows))
+    axes = np.linalg.qr(np.random.default_rng(5).normal(size=(N_TERMS, wide)))[0]
+    for _ in range(sweeps):
+        image = sum(x.T @ (x @ axes.astype(np.float32)) for x in (weighted(dense(b), idf) for b in blocks)).astype(np.float64)
+        axes, _ = np.linalg.qr(image)
+    small = sum((y := weighted(dense(b), idf) @ axes).T @ y for b in blocks)
+    values, turn = np.linalg.eigh((small + small.T) / 2)
     keep = np.argsort(values)[::-1][:rank]
-    keep = keep[values[keep] > 1e-9 * max(values.max(), 1e-30)]
-    return idf, (x.T @ (vectors[:, keep] / np.sqrt(values[keep]))).astype(np.float32)
+    keep = keep[values[keep] > 1e-6 * max(values.max(), 1e-30)]
+    return idf, (axes @ turn[:, keep]).astype(np.float32)
 
 
 def project(counts: np.ndarray, idf: np.ndarray, axes: np.ndarray) -> np.ndarray:
@@ -116,16 +143,16 @@ def vote(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, k: int = NE
     return out
 
 
-def _term_frame(docs: DataFrame, text_col: str):
+def _sparse_counts(text_col: str):
     @F.pandas_udf("binary")
     def counts(texts: pd.Series) -> pd.Series:
-        return pd.Series([term_counts(t).astype("<f4").tobytes() for t in texts], dtype=object)
+        return pd.Series([sparse(term_counts(t)) for t in texts], dtype=object)
 
-    return counts(text_of(text_col))
+    return counts(F.col(text_col))
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most `most` labelled rows that aren't held out, drawn by the hash of the id: (id, text, label)."""
+    """At most `most` labelled documents that aren't held out, drawn by the hash of the id, one text each: (_id, _text, _label)."""
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
         .groupBy(F.col("doc_id").alias("_id"))
@@ -133,7 +160,9 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: s
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(most)
     )
-    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(known), "_id")
+    found = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(known), "_id")  # `most` rows
+    # An id may repeat in any number of rows: its least text counts, so that the sample stays bounded.
+    return found.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
 
 
 class QualityModel:
@@ -153,24 +182,23 @@ class QualityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Fits on bounded samples: term counts of FIT_DOCS rows and projected vectors of VOTERS rows come to the driver."""
-    some = sampled(docs, labels, label, FIT_DOCS, id_col, text_col).select("_id", _term_frame(docs, "_text").alias("c")).toPandas()
+    """Fits on bounded samples: sparse term counts of FIT_DOCS rows and projected vectors of VOTERS rows come to the driver."""
+    some = sampled(docs, labels, label, FIT_DOCS, id_col, text_col).select("_id", _sparse_counts("_text").alias("c")).orderBy("_id").toPandas()
     if not len(some):
         return QualityModel(np.ones(N_TERMS, np.float32), np.zeros((N_TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    some = some.sort_values("_id", kind="stable")
-    idf, axes = fit(np.stack([np.frombuffer(c, dtype="<f4") for c in some["c"]]))
+    idf, axes = fit(some["c"].to_list())
     shipped = docs.sparkSession.sparkContext.broadcast((idf, axes))
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary")
     def vectors(texts: pd.Series) -> pd.Series:
         rows = []
         for at in range(0, len(texts), BLOCK):
-            rows += list(project(np.stack([term_counts(t) for t in texts.iloc[at : at + BLOCK]]), *shipped.value))
+            rows += [v.astype("<f4").tobytes() for v in project(np.stack([term_counts(t) for t in texts.iloc[at : at + BLOCK]]), *shipped.value)]
         return pd.Series(rows, dtype=object)
 
-    known = sampled(docs, labels, label, VOTERS, id_col, text_col).select("_id", "_label", vectors("_text").alias("v")).toPandas()
-    known = known.sort_values("_id", kind="stable")
-    return QualityModel(idf, axes, np.stack(known["v"].to_list()).astype(np.float32), known["_label"].to_numpy(np.float64))
+    known = sampled(docs, labels, label, VOTERS, id_col, text_col).select("_id", "_label", vectors("_text").alias("v")).orderBy("_id").toPandas()
+    shipped.destroy()
+    return QualityModel(idf, axes, np.frombuffer(b"".join(known["v"]), "<f4").reshape(len(known), axes.shape[1]), known["_label"].to_numpy(np.float64))
 
 
 def scores(docs: DataFrame, model: QualityModel, text_col: str = "text"):

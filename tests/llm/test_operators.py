@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import re
 import zlib
 
@@ -205,6 +206,37 @@ def test_main_text_skipped_parts_end(page):
     assert html_text.main_text(page.format(text)) == text
 
 
+PARAGRAPHS = [f"Paragraph {k}, which has words, and commas, and goes on for long enough, so that it is scored." for k in range(8)]
+
+
+@pytest.mark.parametrize(
+    "name", ["page has-sidebar", "content with-sidebar", "post no-sidebar", "layout header-fixed", "story-share", "legal-news article", "search-results"]
+)
+def test_main_text_in_oddly_named_wrappers(name):
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    side = "<div class=sidebar><p>GONE, a text at the side, which is long enough, too.</p></div>"
+    page = f"<body><nav><a>GONE</a></nav><div class='{name}'>{body}{side}</div><div class='comments'>{body * 3}</div><footer>GONE</footer></body>"
+    assert html_text.main_text(page) == "\n".join(PARAGRAPHS)
+
+
+def test_main_text_parts_that_stay_or_go():
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    links = "<ul><li><a href=1>One</a><li><a href=2>Two</a></ul>"
+    assert html_text.main_text(f"<article>{body}<h2>Sources</h2>{links}</article>") == "\n".join([*PARAGRAPHS, "Sources", "One", "Two"])
+    assert html_text.main_text(f"<div>{links}{body}{links}</div>") == "\n".join(PARAGRAPHS)
+    assert html_text.main_text(f"<form id=whole><div class=menu>{links}</div><div>{body}</div></form>") == "\n".join(PARAGRAPHS)
+    short = "A short article, of one line only, in all."
+    assert html_text.main_text(f"<div><p>{short}</p></div><div id=comments>{body}</div><div class=sidebar>{body}</div><aside>{body}</aside>") == short
+    assert html_text.main_text(f"<article><p>{short}</p></article><div class=big-widget>{body}</div>") == short
+
+
+def test_main_text_deep_pages():
+    for piece in ("<div>some text, with commas, enough to be scored ", "<ul><li><a href=x>x</a>", "<li><b>", "<table><tr><td>"):
+        began = time.time()
+        html_text.main_text(piece * 20000)
+        assert time.time() - began < 10
+
+
 def test_main_text_reads_any_markup():
     rng = random.Random(8)
     parts = ["<![", "<!", "<!--", "-->", "]]>", "]>", ">", "<", "</", "<p>", "</p>", "<div class=ad>", "</div>", "<script>", "</script>", "<a href='", "&#", "&#x", "x", " ", '"', "=", "<?", "[if", "doctype", "<td>", "<li>", "/>"]
@@ -334,6 +366,17 @@ def test_line_classes(spark, awkward, nothing, monkeypatch, crowd):
     assert all(r.keep for r in got if r.doc_id == 4) and not any(r.keep for r in got if r.doc_id == 5) and line_dedup.classes(nothing).count() == 0
 
 
+def test_lines_of_repeated_rows(spark):
+    """Of each class one line of one row stays, also where rows share an id or are alike in all."""
+    long_line = "a line that is long enough to be linked"
+    docs = [(1, f"x\n{long_line}\nx"), (1, f"x\n{long_line}\nx"), (2, f"{long_line}s\ny"), (2, "y\nz"), (None, "z"), (None, "z\nq")]
+    got = line_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string").withColumn("_row", F.lit(0)).withColumn("h", F.lit(0))).collect()
+    assert len(got) == 13
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.line_no) for r in got if r.keep)
+    assert len(kept) == 5 and kept[2:] == [(1, 0), (1, 1), (2, kept[4][1])] and kept[0][0] == kept[1][0] == -1
+    assert {r.class_doc for r in got if r.doc_id == 2 and r.n_links == 1} == {1}
+
+
 # ---- 7: benchmark --------------------------------------------------------------------------------------------------------
 
 
@@ -391,6 +434,49 @@ def test_toxicity_learns(spark, awkward, nothing):
     assert toxicity.score_documents(nothing, lab).count() == 0
 
 
+def test_toxicity_forward():
+    """Scores against the network written out word by word."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(1, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (1, 5, 31, 32, 33, 50, 100)]
+    model = toxicity.train_numpy(texts + ["zz " + t for t in texts], np.array([0] * 7 + [1] * 7), epochs=1)
+    p, h = {k: v.astype(float) for k, v in model.p.items()}, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(xs, w, b, u):
+        s, out = np.zeros(h), []
+        for x in xs:
+            a, c = x @ w + b, s @ u
+            z, r = sig(a[:h] + c[:h]), sig(a[h : 2 * h] + c[h : 2 * h])
+            s = (1 - z) * np.tanh(a[2 * h :] + r * c[2 * h :]) + z * s
+            out.append(s)
+        return out
+
+    def slow(text):
+        ws, best = toxicity.words_of(text), -np.inf
+        for at in toxicity.windows_of(len(ws)):
+            part = ws[at : at + toxicity.WINDOW]
+            xs = []
+            for w in part:
+                ids, _ = toxicity.gram_ids([w])
+                grams = p["gram"][ids].sum(0) / np.sqrt(max(1, len(ids)))
+                xs.append(np.concatenate([p["word"][toxicity.word_ids([w])[0]], grams]))
+            both = [np.concatenate(x) for x in zip(states(xs, p["wf"], p["bf"], p["uf"]), states(xs[::-1], p["wb"], p["bb"], p["ub"])[::-1])]
+            e = np.array([np.tanh(s @ p["wa"] + p["ba"]) @ p["va"] for s in both])
+            a = np.exp(e) / np.exp(e).sum()
+            best = max(best, float((a @ np.array(both)) @ p["wo"] + p["bo"][0]))
+        return sig(best)
+
+    assert model.score(texts) == pytest.approx([slow(t) for t in texts], abs=1e-4)
+    # No character of a long run is left out.
+    run = "a" * 100 + "b" + "a" * 50 + "c"
+    assert max(map(len, toxicity.words_of(run))) <= toxicity.LONGEST and {"b", "c"} <= set("".join(toxicity.words_of(run)))
+    for n in range(1, 200):
+        text = "".join(rng.choice(list("xyz"), n))
+        pieces = toxicity.words_of(text)
+        assert pieces[0] + "".join(w[toxicity.SHARED :] for w in pieces[1:]) == text
+
+
 def test_toxicity_gradients():
     """The whole way back against finite differences."""
     rng = np.random.default_rng(0)
