@@ -5,6 +5,9 @@ first header that a second one confirms, follows the chain of frame lengths, and
 whenever the chain breaks. `store_payload` writes bytes losslessly into the ancillary data of a silent layer III stream, one
 192-byte unit a frame, with a checksum in each frame, an Info table in front and an ID3 tag at either end.
 
+Checksums are verified in all three layers. Samples that an encoder's delay and padding fields tell to drop don't count in the
+duration. Free-format frames (no bit rate in the header) aren't followed: they count as skipped bytes.
+
 Cases: null and empty bytes have no frames, zero duration and no offsets; bytes without a confirmed header likewise, all of
 them counted as skipped; a cut last frame is counted as truncated and has no offset; equal bytes give equal rows; extra
 columns of the input are ignored; an empty table gives an empty table.
@@ -35,6 +38,11 @@ BITRATES = {
 RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 25: (11025, 12000, 8000)}
 VERSION_OF_BITS = {0: 25, 2: 2, 3: 1}
 
+#: Bits of a layer II allocation field by subband, as (bits, subbands) runs: tables a to d of version 1, and that of version 2.
+ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "lsf": ((4, 4), (3, 7), (2, 19)),
+}
+
 UNIT = 192
 _FRAME = 240  # bytes of a frame at 80 kbit/s and 48 kHz
 _HEADER = bytes((0xFF, 0xFA, 0x64, 0xC0))  # version 1, layer III, checksum present, 80 kbit/s, 48 kHz, mono
@@ -136,8 +144,8 @@ def _side_bytes(second: int, fourth: int) -> int:
     return (17 if mono else 32) if second >> 3 & 3 == 3 else (9 if mono else 17)
 
 
-def _vbr(frame: bytes) -> tuple[str, int, int, list[int]] | None:
-    """A Xing, Info or VBRI table in the first frame."""
+def _vbr(frame: bytes) -> tuple[str, int, int, list[int], int] | None:
+    """A Xing, Info or VBRI table in the first frame: (kind, frames, bytes, seek table, samples to drop at both ends)."""
     if 4 - (frame[1] >> 1 & 3) == 3:
         for at in (4 + _side_bytes(frame[1], frame[3]) + 2 * (not frame[1] & 1), 4 + _side_bytes(frame[1], frame[3])):
             kind = frame[at : at + 4]
@@ -148,15 +156,53 @@ def _vbr(frame: bytes) -> tuple[str, int, int, list[int]] | None:
                 if flags & 2:
                     size, at = _int(frame[at : at + 4]), at + 4
                 if flags & 4:
-                    toc = list(frame[at : at + 100])
-                return kind.decode(), n, size, toc
+                    toc, at = list(frame[at : at + 100]), at + 100
+                encoder = frame[at + 4 * bool(flags & 8) :][:24]  # nine bytes of name, then fields; delay and padding have twelve bits each
+                gap = _int(encoder[21:24]) if len(encoder) == 24 and encoder[:4] in (b"LAME", b"Lavf", b"Lavc") else 0
+                return kind.decode(), n, size, toc, (gap >> 12) + (gap & 0xFFF)
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
         n, width, scale = _int(frame[54:56]), _int(frame[58:60]), _int(frame[56:58])
         toc = [_int(frame[62 + k * width : 62 + (k + 1) * width]) * scale for k in range(n)] if width else []
-        return "VBRI", _int(frame[50:54]), _int(frame[46:50]), toc
+        return "VBRI", _int(frame[50:54]), _int(frame[46:50]), toc, 0
     return None
 
 
+def _protected(frame: bytes) -> int:
+    """Bits after the checksum that it covers, in layer I the allocation, in layer II the allocation and the scale factor selection."""
+    layer, mode = 4 - (frame[1] >> 1 & 3), frame[3] >> 6
+    n_channels, bound = (1 if mode == 3 else 2), (4 * ((frame[3] >> 4 & 3) + 1) if mode == 1 else 32)
+    if layer == 1:
+        return 4 * (32 if n_channels == 1 else 32 + bound)
+    version, third = VERSION_OF_BITS[frame[1] >> 3 & 3], frame[2]
+    if version == 1:
+        each, hertz = BITRATES[(1, 2)][third >> 4] // n_channels, RATES[1][third >> 2 & 3]
+        name = ("d" if hertz == 32000 else "c") if each <= 48 else "a" if hertz == 48000 or each <= 80 else "b"
+    else:
+        name = "lsf"
+    widths = [bits for bits, n in ALLOCATION[name] for _ in range(n)]
+    bits, size = int.from_bytes(frame[6:], "big"), 8 * (len(frame) - 6)
+    at = used = 0
+    for band, width in enumerate(widths):
+        fields = n_channels if band < bound else 1
+        for _ in range(fields):
+            if bits >> max(size - at - width, 0) & (1 << width) - 1:
+                used += n_channels // fields
+            at += width
+    return at + 2 * used
+
+
+def crc_of(frame: bytes, n_bits: int) -> int:
+    """The checksum over the header's last two bytes and n_bits bits behind the checksum's own place."""
+    state = 0xFFFF
+    whole = frame[2:4] + frame[6 : 6 + n_bits // 8]
+    for byte in whole:
+        state = (state << 8 & 0xFFFF) ^ int(_CRC[state >> 8 ^ byte])
+    for k in range(n_bits % 8):
+        top = state >> 15 ^ (frame[6 + n_bits // 8] >> 7 - k & 1)
+        state = (state << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return state
+
+
 def frames_of(data: bytes) -> dict:
     """Offsets, lengths and header codes of all whole frames, and what was skipped between them."""
     first, end, tags = _tags(data)
@@ -217,10 +263,17 @@ def parse(data: bytes | None) -> dict:
             cols = np.concatenate([np.array([2, 3]), np.arange(6, 6 + n)])
             want = buf[pos + 4].astype(np.uint16) << np.uint16(8) | buf[pos + 5]
             checked, bad = checked + len(pos), bad + int((crc16(buf[pos[:, None] + cols]) != want).sum())
+    for k in np.flatnonzero((code & 0x0100 == 0) & (4 - (code >> 9 & 3) < 3)) if len(at) else ():
+        frame = data[at[k] : at[k] + length[k]]
+        n_bits = _protected(frame)
+        if 6 + (n_bits + 7) // 8 <= len(frame):
+            checked, bad = checked + 1, bad + (crc_of(frame, n_bits) != _int(frame[4:6]))
     table = _vbr(data[at[0] : at[0] + length[0]]) if len(at) else None
     audio = slice(1, None) if table else slice(None)
     samples, rates = _SAMPLES[code[audio]], _HERTZ[code[audio]]
     spent = sum((Fraction(int(samples[rates == r].sum()), int(r)) for r in np.unique(rates)), Fraction(0))
+    dropped = min(table[4], int(samples.sum())) if table and len(rates) else 0
+    spent -= Fraction(dropped, int(rates[0])) if dropped else 0
     return {
         "n_frames": len(samples), "n_samples": int(samples.sum()), "sample_rate": int(rates[0]) if len(rates) else 0,
         "channels": (1 if data[at[0] + 3] >> 6 == 3 else 2) if len(at) else 0,
@@ -297,7 +350,7 @@ def stored(df: DataFrame, text_col: str = "text"):
 
 _DIGEST = (
     "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, n_frames long, duration_s double, last_offset long"
+    "feature string, n_frames long, duration_num long, duration_den long, duration_s double, frame_offsets array<long>"
 )
 
 
@@ -308,7 +361,7 @@ def _digest(text: str) -> tuple:
     back = load_payload(media, p)
     return (
         len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(),
-        feature(p), p["n_frames"], p["duration_s"], p["frame_offsets"][-1],
+        feature(p), p["n_frames"], p["duration_num"], p["duration_den"], p["duration_s"], p["frame_offsets"],
     )
 
 

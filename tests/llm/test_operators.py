@@ -64,6 +64,56 @@ def test_audio_resync_and_damage():
     assert mpeg_audio.parse(b"\xff" * 1000)["n_frames"] == 0 and mpeg_audio.parse(None)["n_frames"] == 0
 
 
+def slow_crc(bits):
+    state = 0xFFFF
+    for bit in bits:
+        state = (state << 1 & 0xFFFF) ^ (0x8005 if state >> 15 ^ bit else 0)
+    return state
+
+
+def bits_of(data):
+    return [byte >> k & 1 for byte in data for k in range(7, -1, -1)]
+
+
+def test_crc_of_layers_one_and_two():
+    """Streams with checksums made bit by bit from the standard's layout, whole and damaged."""
+    rng = random.Random(2)
+    # second, third and fourth header byte, bytes of a frame, allocation widths of each subband, subbands with a field for each channel
+    cases = [
+        (0xFE, 0xC4, 0x00, 384, [4] * 32, 32, 2), (0xFE, 0xC4, 0xC0, 384, [4] * 32, 32, 1), (0xFE, 0xC4, 0x50, 384, [4] * 32, 8, 2),
+        (0xFC, 0xA4, 0x00, 576, [4] * 11 + [3] * 12 + [2] * 4, 32, 2), (0xFC, 0x24, 0xC0, 144, [4] * 2 + [3] * 6, 32, 1), (0xFC, 0x80, 0x60, 417, [4] * 11 + [3] * 12 + [2] * 4, 12, 2),
+        (0xF4, 0x84, 0xC0, 384, [4] * 4 + [3] * 7 + [2] * 19, 32, 1),
+    ]
+    for second, third, fourth, size, widths, bound, channels in cases:
+        code = second << 8 | third
+        assert mpeg_audio._LENGTH[code] == size, (hex(code), mpeg_audio._LENGTH[code])
+        frames = []
+        for _ in range(3):
+            body = bytearray(rng.randrange(128) for _ in range(size - 6))
+            bits = bits_of(body)
+            at = used = 0
+            for band, width in enumerate(widths):
+                for _ in range(channels if band < bound else 1):
+                    used += (channels if band >= bound else 1) * any(bits[at : at + width])
+                    at += width
+            covered = at + (2 * used if second & 6 == 4 else 0)
+            check = slow_crc(bits_of(bytes([third, fourth])) + bits[:covered])
+            frames.append(bytes([0xFF, second, third, fourth]) + check.to_bytes(2, "big") + bytes(body))
+        p = mpeg_audio.parse(b"".join(frames))
+        assert (p["n_frames"], p["crc_checked"], p["crc_bad"]) == (3, 3, 0)
+        hurt = bytearray(b"".join(frames))
+        hurt[size + 6] ^= 0x10
+        assert mpeg_audio.parse(bytes(hurt))["crc_bad"] == 1
+
+
+def test_encoder_delay():
+    media = mpeg_audio.store_payload(b"A" * 192 * 10)
+    at = media.index(b"Info") + 8 + 4 + 4 + 100
+    field = b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    p = mpeg_audio.parse(media[:at] + field + media[at + len(field) :])
+    assert p["duration_num"] * 48000 == p["duration_den"] * (10 * 1152 - 1576)
+
+
 def test_crc_by_bits():
     def slow(data):
         state = 0xFFFF
