@@ -6,11 +6,12 @@ fingerprints differ in at most `BITS` places are linked, and components of links
 Every distinct fingerprint gets its Hamming distances to `PIVOTS` reference fingerprints once. Distances to one reference
 differ by no more than the distance of the two fingerprints (triangle inequality), so a pair whose largest coordinate
 difference exceeds BITS is discarded without looking at it; survivors are verified on the fingerprints. Distances from random
-references crowd around 32, so they cannot say by themselves which rows must meet: blocks, not pivots, find the pairs. Rows meet where two of six blocks of bits
-are equal, which holds for every pair with at most four differing places.
+references crowd around 32, so they cannot say by themselves which rows must meet: blocks of bits bring rows together, and the
+tables sift them. Of BITS + r blocks at least r are equal in every pair with at most BITS differing places; r grows with the
+logarithm of the number of fingerprints, so that a bucket holds a few rows at any size.
 
-Groups of copies cost no pairs: equal fingerprints count once; fingerprints alike outside one hexadecimal digit are linked
-for sure, at most 16 to a group; rows already in one component are never compared with each other, because in each bucket
+Groups of copies cost no pairs: equal fingerprints count once; fingerprints alike outside one hexadecimal digit, at most 16 to
+a group, are compared with the smallest of them first, through the same tables; rows already in one component are never compared with each other, because in each bucket
 only the rows outside its largest component are compared, with those of other components.
 
 Cases: a null text counts as empty; texts without words have fingerprint zero and are linked like any other; repeats of an id
@@ -20,6 +21,7 @@ extra columns of the input are ignored; an empty table gives an empty table; lon
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +35,6 @@ BITS = 4
 PIVOTS = 16
 WIDTH = 4
 SEED = 42
-_BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 _MASK = (1 << 64) - 1
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -107,27 +108,38 @@ def _near(a: str, b: str, bits: int) -> Column:
     return out & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= bits)
 
 
-def sure_links(fps: DataFrame) -> DataFrame:
-    """(a, b): fingerprints that are alike outside one hexadecimal digit, each with the smallest of them; a group has 16 at most."""
+def sure_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b): of fingerprints that are alike outside one hexadecimal digit, at most 16 to a group, each with the smallest of them."""
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(_MASK ^ 15 << 4 * k))).alias("rest")) for k in range(16)])
     groups = fps.select("fp", F.explode(keys).alias("key")).groupBy("key").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    return groups.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b").distinct()
+    pairs = groups.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b").distinct()
+    both = pairs.select(*[F.struct(F.col(c).alias("fp"), pivot_table(c).alias("p")).alias(n) for c, n in (("a", "x"), ("b", "y"))])
+    return both.where(_near("x", "y", bits)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
-def block_keys(fp: str) -> Column:
-    """Fifteen bucket keys: two blocks' bits, and which two."""
+def equal_blocks(n: int, bits: int = BITS) -> int:
+    """How many equal blocks make a key: the fewest whose bits tell about n fingerprints apart, at most half of all blocks' bits."""
+    r = 2
+    while r < bits and 64 * r // (bits + r) < math.log2(max(n, 2)) - 2:
+        r += 1
+    return r
+
+
+def block_keys(fp: str, equal: int, bits: int = BITS) -> Column:
+    """Bucket keys: for each choice of `equal` of the bits + equal blocks, those blocks' bits and which they are."""
+    n = bits + equal
+    edges = [64 * k // n for k in range(n + 1)]
     keys = []
-    for n, pair in enumerate(combinations(_BLOCKS, 2)):
-        mask = sum((1 << size) - 1 << at for at, size in pair)
-        keys.append(F.xxhash64(F.lit(n), F.col(fp).bitwiseAND(F.lit(signed(mask)))))
+    for k, some in enumerate(combinations(range(n), equal)):
+        mask = sum((1 << edges[i + 1]) - (1 << edges[i]) for i in some)
+        keys.append(F.xxhash64(F.lit(k), F.col(fp).bitwiseAND(F.lit(signed(mask)))))
     return F.array(*keys)
 
 
-def far_links(known: DataFrame, bits: int = BITS) -> DataFrame:
+def far_links(known: DataFrame, bits: int = BITS, equal: int | None = None) -> DataFrame:
     """(a, b): components, out of the column root, that hold fingerprints of at most `bits` differing places."""
-    if bits > 4:
-        raise ValueError("two equal blocks of six are certain only up to four differing places")
-    rows = known.select("fp", "root", pivot_table("fp").alias("p"), F.explode(block_keys("fp")).alias("key"))
+    keys = block_keys("fp", equal or equal_blocks(known.count(), bits), bits)
+    rows = known.select("fp", "root", pivot_table("fp").alias("p"), F.explode(keys).alias("key"))
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = (
         sizes.groupBy("key")
@@ -145,11 +157,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """(id, fingerprint, component_id) of every row."""
     rows = written(docs.select(F.col(id_col).alias("_id"), fingerprints(docs, text_col, width).alias("fp")), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("_id").alias("first"))
-    sure = components(sure_links(fps.select("fp"))) if bits >= 4 else None
+    sure = components(sure_links(fps.select("fp"), bits)) if bits >= 4 else None
     known = fps.select("fp", "first", F.col("fp").alias("root"))
     if sure is not None:
         known = fps.join(sure.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    known = written(known, "known")
+    known = written(known, "known")  # so that counting it reads no data
     far = components(far_links(known, bits))
     placed = known.join(far.select(F.col("node").alias("root"), F.col("root").alias("_far")), "root", "left").select(
         "fp", "first", F.coalesce("_far", "root").alias("root")

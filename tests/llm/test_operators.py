@@ -177,7 +177,9 @@ def test_simhash_groups(spark, awkward, nothing):
     assert simhash.groups(nothing).count() == 0
 
 
-def test_simhash_links_on_clusters(spark):
+@pytest.mark.parametrize("equal", [None, 3, 4])
+def test_simhash_links_on_clusters(spark, equal):
+    assert [simhash.equal_blocks(n) for n in (0, 10**6, 10**8, 10**10)] == [2, 2, 3, 4]
     rng, fps = random.Random(5), set()
     for _ in range(25):
         centre = rng.getrandbits(64)
@@ -190,7 +192,7 @@ def test_simhash_links_on_clusters(spark):
     df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
     sure = components(simhash.sure_links(df)).withColumnRenamed("node", "fp")
     known = df.join(sure, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    far = components(simhash.far_links(known)).select(F.col("node").alias("root"), F.col("root").alias("z"))
+    far = components(simhash.far_links(known, equal=equal)).select(F.col("node").alias("root"), F.col("root").alias("z"))
     got = {r.fp: r.r for r in known.join(far, "root", "left").select("fp", F.coalesce("z", "root").alias("r")).collect()}
     want = slow_groups(fps, lambda a, b: (a ^ b).bit_count() <= 4)
     assert all((got[simhash.signed(a)] == got[simhash.signed(b)]) == (want[a] == want[b]) for a, b in itertools.combinations(fps, 2))
