@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridlark.llm import near_copies, simhash
+from gridlark.llm import bpe, near_copies, quality, simhash
 
 
 def sets_of(text, width=5):
@@ -92,3 +92,40 @@ def test_rows_of_one_id(spark, tmp_path):
     rows = [(None, f"a {item} b"), (None, "clean"), (2, "q1 q2 q3 q4 q5 q6"), (2, "x q3 q4 q5 q6 q7"), (9, item), (9, "clean too")]
     # Neither row of id 2 has 80 % of the item's three shingles, only both together.
     assert [k for k, _ in texts(corpus_pipeline.drop_leaks(spark, docs(rows), str(tmp_path)))] == [1, 2, 3, 5]
+
+
+def test_stages_keep_clashing_columns_and_empty_tables(spark, tmp_path):
+    """Columns named like the stages' own stay as they are; empty tables, nulls and empty texts go through every stage."""
+    names = ["_row", "_key", "_gone", "_id", "h", "at", "key", "item_id", "keep", "component_id"]
+    rows = [(1, "same line\nx", 11, *range(10)), (2, "same line\ny", 11, *range(10)), (None, None, None, *range(10)), (3, "", 0, *range(10)), (4, "z " * 3000, 6000, *range(10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    spark.createDataFrame([(1, "q1 q2 q3")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for df in (docs, docs.where("1 = 0")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, str(tmp_path))
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            assert all(tuple(r)[3:] == tuple(range(10)) for r in got), name
+            if name in ("quality", "leaks"):
+                assert len(got) == df.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() == df.count()
+
+
+def test_quality_and_tokens_by_row(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bdlmnrst") + rng.choice("aeiou") for _ in range(2))
+    rows, labels = [], []
+    for k in range(200):
+        text = " ".join(word() + ("###" if k % 3 == 0 else "") for _ in range(60))
+        rows.append((k, text, len(text)))
+        labels.append((k, int(k % 3 > 0), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lab.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = sorted(r.doc_id for r in corpus_pipeline.keep_good(spark, docs, str(tmp_path)).collect())
+    assert kept == sorted(r.doc_id for r in quality.score_documents(docs, lab).collect() if r.score >= quality.THRESHOLD)
+    assert sum(k % 3 > 0 for k in kept) > 120 and sum(k % 3 == 0 for k in kept) < 10
+    enc = bpe.encoder(bpe.rank_bytes(), bpe.split_pattern())
+    got = {r.doc_id: r.n_tokens for r in corpus_pipeline.encode(spark, docs.limit(20), "").collect()}
+    assert got == {k: len(enc.encode_ordinary(t)) for k, t, _ in rows if k in got} and len(got) == 20
