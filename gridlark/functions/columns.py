@@ -12,8 +12,9 @@ SURFACE, QUALITY, MODEL = (3, 0b11), (8, 0b1111), (13, 0b11)
 LAND, EVENT_MODEL, BEST, PERMISSIVE = 0, 1, (0,), (0, 11)
 SCALE = 0.001
 
-#: product.AyyyyDDD.hHHvVV.collection.production.hdf
-NAME = r"^([A-Z0-9]+)\.A(\d{4})(\d{3})\.h(\d{2})v(\d{2})\.(\d{3})\.(\d{13})\.hdf$"
+#: product.AyyyyDDD.hHHvVV.collection.production, with or without its ending
+NAME = r"^({0})\.A(\d{{4}})(\d{{3}})\.h(\d{{2}})v(\d{{2}})\.(\d{{3}})\.(\d{{13}})(?:\.hdf)?$"
+PRODUCT = "MCD19A2"
 
 
 def bits(word: Column, field: tuple[int, int]) -> Column:
@@ -76,16 +77,28 @@ def months(spark: SparkSession, first: str, last: str) -> DataFrame:
     return spark.range(1).select(every.alias("month")).select("month", F.last_day("month").alias("last_day"), F.date_format("month", "yyyy-MM").alias("label"))
 
 
-def parsed_name(name: str) -> Column:
-    """struct(year, doy, h, v, collection, production, tile, day) of a file name or of a url that ends with one; others raise."""
-    base = F.substring_index(F.col(name), "/", -1)
-    part = lambda k: F.regexp_extract(base, NAME, k)
+def parsed_name(name: str, product: str = PRODUCT) -> Column:
+    """struct(year, doy, h, v, collection, production, tile, day) of a product's file name, bare name, or url that ends with one; others raise."""
+    base, pattern = F.substring_index(F.col(name), "/", -1), NAME.format(product)
+    part = lambda k: F.regexp_extract(base, pattern, k)
     number = lambda k, kind="int": F.nullif(part(k), F.lit("")).cast(kind)
     fields = F.struct(
         number(2).alias("year"), number(3).alias("doy"), number(4).alias("h"), number(5).alias("v"), part(6).alias("collection"),
         number(7, "long").alias("production"), F.concat(F.lit("h"), part(4), F.lit("v"), part(5)).alias("tile"), date_of_day(number(2), number(3)).alias("day"),
     )
-    return F.when(base.rlike(NAME), fields).otherwise(F.raise_error(F.concat(F.lit("not a granule name: "), F.coalesce(base, F.lit("null")))))
+    return F.when(base.rlike(pattern), fields).otherwise(F.raise_error(F.concat(F.lit("not a granule name: "), F.coalesce(base, F.lit("null")))))
+
+
+def nested_name(record: str, link: str) -> Column:
+    """The name in a nested record, or where it has none the last part of a link."""
+    return F.coalesce(F.nullif(F.col(record), F.lit("")), F.substring_index(F.col(link), "/", -1))
+
+
+def month_list(spark: SparkSession, labels: Iterable[str]) -> DataFrame:
+    """(month DATE, last_day DATE, label) of the listed 'YYYY-MM', in the order given and each once."""
+    rows = [(k, m) for k, m in enumerate(dict.fromkeys(labels))]
+    listed = spark.createDataFrame(rows, "at int, label string").withColumn("month", F.to_date(F.concat("label", F.lit("-01"))))
+    return listed.orderBy("at").select("month", F.last_day("month").alias("last_day"), "label")
 
 
 def titled(text: Column) -> Column:

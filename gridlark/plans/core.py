@@ -108,9 +108,9 @@ def exact_dedup(spark, sf_dir):
 
 
 def _names(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 500")
-    name = F.format_string("MCD00A1.A%04d%03d.h%02dv%02d.061.%013d.hdf", F.lit(2020) + (F.col("event_id") % 4).cast("int"), (F.col("event_id") % 365 + 1).cast("int"), (F.col("event_id") % 36).cast("int"), (F.col("user_id") % 18).cast("int"), F.lit(2024000000000) + F.col("event_id"))
-    return e.select("event_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("https://host/path/"), name)).otherwise(name).alias("name"))
+    e = table(spark, sf_dir, "events")
+    name = F.format_string("MCD19A2.A%04d%03d.h%02dv%02d.061.%013d", F.lit(2020) + (F.col("event_id") % 4).cast("int"), (F.col("event_id") % 365 + 1).cast("int"), (F.col("event_id") % 36).cast("int"), (F.col("user_id") % 18).cast("int"), F.lit(2024000000000) + F.col("event_id"))
+    return e.select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("https://host/path/"), name, F.lit(".hdf"))).when(F.col("event_id") % 3 == 1, F.concat(name, F.lit(".hdf"))).otherwise(name).alias("name"))
 
 
 def name_parse(spark, sf_dir):
@@ -120,7 +120,7 @@ def name_parse(spark, sf_dir):
 NAMES = """SELECT event_id, CAST(2020 + event_id % 4 AS INT) AS year, CAST(event_id % 365 + 1 AS INT) AS doy, CAST(event_id % 36 AS INT) AS h,
   CAST(user_id % 18 AS INT) AS v, '061' AS collection, 2024000000000 + event_id AS production,
   'h' || lpad(CAST(event_id % 36 AS VARCHAR), 2, '0') || 'v' || lpad(CAST(user_id % 18 AS VARCHAR), 2, '0') AS tile,
-  make_date(2020 + event_id % 4, 1, 1) + CAST(event_id % 365 AS INT) AS day FROM events WHERE event_id < 500"""
+  make_date(2020 + event_id % 4, 1, 1) + CAST(event_id % 365 AS INT) AS day FROM events"""
 
 
 def month_range(spark, sf_dir):
@@ -128,12 +128,12 @@ def month_range(spark, sf_dir):
 
 
 def doy_date(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 1000").select((F.lit(1996) + (F.col("event_id") % 30).cast("int")).alias("year"), (F.col("event_id") % 365 + 1).cast("int").alias("doy"))
+    e = table(spark, sf_dir, "events").select((F.lit(1996) + (F.col("event_id") % 30).cast("int")).alias("year"), (F.col("event_id") % 365 + 1).cast("int").alias("doy"))
     return e.distinct().select("year", "doy", C.date_of_day(F.col("year"), F.col("doy")).alias("day"))
 
 
 def stamps(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 200")
+    e = table(spark, sf_dir, "events")
     text = F.when(F.col("event_id") % 7 == 0, F.lit("none")).otherwise(F.date_format("ts", "yyyyDDD HHmm"))
     return e.select("event_id", F.to_date(C.stamp(text)).alias("day"), F.coalesce(F.hour(C.stamp(text)), F.lit(-1)).alias("hour"))
 
@@ -196,8 +196,8 @@ ORACLES = {
     "exact_dedup": "SELECT event_type || '-' || user_id AS name, min(event_id) AS seq FROM events GROUP BY ALL",
     "name_parse": NAMES,
     "month_range": "SELECT CAST(m AS DATE) AS month, last_day(m) AS last_day, strftime(m, '%Y-%m') AS label FROM (SELECT unnest(generate_series(DATE '2000-02-01', DATE '2025-07-01', INTERVAL 1 MONTH)) AS m)",
-    "doy_date": "SELECT DISTINCT CAST(1996 + event_id % 30 AS INT) AS year, CAST(event_id % 365 + 1 AS INT) AS doy, make_date(1996 + event_id % 30, 1, 1) + CAST(event_id % 365 AS INT) AS day FROM events WHERE event_id < 1000",
-    "stamps": "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(ts AS DATE) END AS day, CAST(CASE WHEN event_id % 7 <> 0 THEN hour(ts) ELSE -1 END AS INT) AS hour FROM events WHERE event_id < 200",
+    "doy_date": "SELECT DISTINCT CAST(1996 + event_id % 30 AS INT) AS year, CAST(event_id % 365 + 1 AS INT) AS doy, make_date(1996 + event_id % 30, 1, 1) + CAST(event_id % 365 AS INT) AS day FROM events",
+    "stamps": "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(ts AS DATE) END AS day, CAST(CASE WHEN event_id % 7 <> 0 THEN hour(ts) ELSE -1 END AS INT) AS hour FROM events",
     "json_metadata_sum": """WITH k AS (SELECT event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)
 SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, round(sum(k * CAST(CASE k % 3 WHEN 0 THEN 1.0 / 1024 WHEN 1 THEN 1 ELSE 1024 END AS DOUBLE)), 6) AS megabytes FROM k GROUP BY ALL""",
     "labels_normalised": """WITH l AS (SELECT trim(lower(split_part(o_orderpriority, '-', -1))) AS s FROM orders)
