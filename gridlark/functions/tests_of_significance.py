@@ -38,7 +38,7 @@ def t_two_sided(t: float, df: float) -> float:
 
 
 @lru_cache(maxsize=64)
-def _inversions(n: int) -> tuple[int, ...]:
+def inversions(n: int) -> tuple[int, ...]:
     """Number of permutations of n with k inversions, for each k."""
     counts = np.array([1], dtype=object)
     for size in range(2, n + 1):
@@ -53,8 +53,8 @@ def kendall_two_sided(s: float, n: int, x_ties: list[int], y_ties: list[int], ex
     pairs = n * (n - 1) // 2
     if not x_ties and not y_ties and (n <= exact_up_to or min((pairs - s) / 2, (pairs + s) / 2) <= 1):
         down = int(round((pairs - abs(s)) / 2))
-        total = sum(_inversions(n))
-        return float(min(1.0, 2 * sum(_inversions(n)[: down + 1]) / total))
+        total = sum(inversions(n))
+        return float(min(1.0, 2 * sum(inversions(n)[: down + 1]) / total))
     f = lambda ts, g: sum(g(t) for t in ts)
     v0 = n * (n - 1) * (2 * n + 5)
     vt, vu = (f(ts, lambda t: t * (t - 1) * (2 * t + 5)) for ts in (x_ties, y_ties))

@@ -26,31 +26,28 @@ def binned_pairs(points: DataFrame, shapes: DataFrame, bin_size: float) -> DataF
     return near.where("x between x0 and x1 and y between y0 and y1").drop("_bx", "_by", "x0", "x1", "y0", "y1")
 
 
-def inside(x: np.ndarray, y: np.ndarray, rings: Sequence[np.ndarray], edge: bool) -> np.ndarray:
-    """Even-odd ray casting; points on an edge count as inside if edge is true."""
-    odd, on = np.zeros(len(x), bool), np.zeros(len(x), bool)
-    for ring in rings:
-        for (x0, y0), (x1, y1) in zip(ring, np.roll(ring, -1, axis=0)):
-            cross = (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)
-            span = (np.minimum(x0, x1) <= x) & (x <= np.maximum(x0, x1)) & (np.minimum(y0, y1) <= y) & (y <= np.maximum(y0, y1))
-            on |= (np.abs(cross) <= 1e-12) & span
-            if y0 != y1:
-                odd ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
-    return odd & ~on | (on if edge else False)
+def repaired(shapes: DataFrame) -> DataFrame:
+    """Shapes without points that repeat the one before and without rings of fewer than three points; those left with none go."""
+    fresh = "filter(r, (p, i) -> i = 0 or p <> get(r, i - 1))"
+    kept = F.expr(f"filter(transform(rings, r -> {fresh}), r -> size(array_distinct(r)) > 2)")
+    return shapes.withColumn("rings", kept).where(F.size("rings") > 0)
+
+
+def inside(x: str, y: str, rings: str, edge: bool) -> Column:
+    """Even-odd ray casting over all edges of the rings, without leaving the JVM; points on an edge count as inside if edge is true."""
+    edges = f"flatten(transform(filter({rings}, r -> size(r) > 2), r -> transform(r, (p, i) -> named_struct('a', p, 'b', get(r, (i + 1) % size(r))))))"
+    on = (
+        f"exists({edges}, e -> abs((e.b.x - e.a.x) * ({y} - e.a.y) - (e.b.y - e.a.y) * ({x} - e.a.x)) <= 1e-12D"
+        f" and {x} between least(e.a.x, e.b.x) and greatest(e.a.x, e.b.x) and {y} between least(e.a.y, e.b.y) and greatest(e.a.y, e.b.y))"
+    )
+    crossed = f"(e.a.y > {y}) <> (e.b.y > {y}) and {x} < (e.b.x - e.a.x) * ({y} - e.a.y) / nullif(e.b.y - e.a.y, 0D) + e.a.x"
+    odd = f"size(filter({edges}, e -> coalesce({crossed}, false))) % 2 = 1"
+    return F.expr(f"({odd}) or ({on})" if edge else f"({odd}) and not ({on})")
 
 
 def point_in_polygon(points: DataFrame, shapes: DataFrame, bin_size: float = 1.0, edge: bool = True) -> DataFrame:
     """(points' columns, shapes' columns) of every hit. points: x, y; shapes: rings ARRAY<ARRAY<STRUCT<x, y>>>."""
-
-    @F.pandas_udf("boolean")
-    def hit(xs: pd.Series, ys: pd.Series, rings: pd.Series) -> pd.Series:
-        out = np.zeros(len(xs), bool)
-        x, y = xs.to_numpy(float), ys.to_numpy(float)
-        for k, shape in enumerate(rings):
-            out[k] = inside(x[k : k + 1], y[k : k + 1], [np.array([(p["x"], p["y"]) for p in ring], dtype=float) for ring in shape if len(ring) > 2], edge)[0]
-        return pd.Series(out)
-
-    return binned_pairs(points, shapes, bin_size).where(hit("x", "y", "rings"))
+    return binned_pairs(points, shapes, bin_size).where(inside("x", "y", "rings", edge))
 
 
 def shoelace_area(ring: str) -> Column:

@@ -223,4 +223,4 @@ def strided(df: DataFrame, order: str, step: int) -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement, the same ones for the same seed however the rows are partitioned."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)

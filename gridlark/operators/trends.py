@@ -6,6 +6,7 @@ take pair_slopes_join instead, whose pairs are rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -101,18 +102,40 @@ def ols(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return got.withColumn("p", p("r2", "n"))
 
 
-def log_line(df: DataFrame, x: str, y: str, rate: Column) -> Column:
-    """Exponential line of a log rate through the geometric mean: its value at x, for use as a window column."""
-    every = W.partitionBy(F.lit(0))
-    return F.exp(F.avg(F.ln(y)).over(every) + rate * (F.col(x) - F.avg(x).over(every)))
+def log_line(df: DataFrame, x: str, y: str, rate: Column) -> DataFrame:
+    """Adds line: the exponential line of a log rate through the geometric mean."""
+    mean = df.agg(F.avg(F.ln(y)).alias("_ln"), F.avg(x).alias("_mid"))
+    return df.crossJoin(F.broadcast(mean)).withColumn("line", F.exp(F.col("_ln") + rate * (F.col(x) - F.col("_mid")))).drop("_ln", "_mid")  # one row
+
+
+#: Ranges into which values are dealt for ranks over a whole table.
+RANGES = 256
+
+
+def ranked_values(df: DataFrame, value: str) -> DataFrame:
+    """(value, n, upto): how often each different value occurs, and how many rows have it or a smaller one; nulls are left out.
+
+    Values are dealt to ranges by approximate percentiles, counts are summed within each range, and the totals of the ranges
+    below, at most RANGES rows, are added; no window holds more than one range.
+    """
+    some = df.where(F.col(value).isNotNull())
+    cuts = some.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"))
+    counts = some.groupBy(F.col(value)).agg(F.count("*").alias("n")).crossJoin(F.broadcast(cuts))  # one row
+    counts = counts.select(value, "n", F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_range"))
+    totals = counts.groupBy("_range").agg(F.sum("n").alias("_n"))
+    below = totals.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_below"))  # RANGES rows
+    inside = counts.withColumn("_upto", F.sum("n").over(W.partitionBy("_range").orderBy(value)))
+    return inside.join(F.broadcast(below), "_range").select(value, "n", (F.col("_below") + F.col("_upto")).alias("upto"))
 
 
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, Pearson, Spearman and log10 Pearson (offset: half of the smallest positive value of each) of the finite pairs."""
     ok = df.where(finite(F.col(a)) & finite(F.col(b))).select(F.col(a).alias("a"), F.col(b).alias("b"))
     off = ok.agg(*[F.coalesce(F.min(F.when(F.col(c) > 0, F.col(c))) / 2, F.lit(1.0)).alias(f"o{c}") for c in "ab"])
-    ranked = ok.crossJoin(F.broadcast(off)).withColumn("_g", F.lit(0))
-    ranked = ranked.withColumn("ra", mid_rank("a", ["_g"])).withColumn("rb", mid_rank("b", ["_g"]))
+    ranked = ok.crossJoin(F.broadcast(off))  # one row
+    for c in "ab":
+        mid = F.col("upto") - (F.col("n") - 1) / 2
+        ranked = ranked.join(ranked_values(ok, c).select(c, mid.alias(f"r{c}")), c)
     n = F.count("*")
     r = lambda x, y: F.when(n >= 3, F.corr(x, y))
     return ranked.agg(
@@ -131,6 +154,16 @@ def with_p(df: DataFrame, r: str, n: str, name: str) -> DataFrame:
     return df.withColumn(name, p(r, n))
 
 
+def with_t_p(df: DataFrame, t: str, degrees: str, name: str) -> DataFrame:
+    """The two-sided p of Student's t with any number of degrees of freedom."""
+
+    @F.pandas_udf("double")
+    def p(ts: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([S.t_two_sided(x, k) if x == x and k == k and k > 0 else None for x, k in zip(ts, ns)], dtype="float64")
+
+    return df.withColumn(name, p(t, degrees))
+
+
 def spearman_with_x(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation of y with x by key; null for constant series."""
     ranked = df.withColumn("_r", mid_rank(y, keys))
@@ -140,72 +173,82 @@ def spearman_with_x(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataF
 def bh_rejected(df: DataFrame, p: str, q: float = 0.05) -> DataFrame:
     """Adds rejected: Benjamini-Hochberg's step-up rule at level q; null p values are never rejected but count as tests.
 
-    The rule asks for the largest p that is at most q * rank / n: counts by p value are summed from below, so no window goes
-    over single rows.
+    The rule asks for the largest p that is at most q * rank / n, and of equal p values the last rank counts.
     """
-    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
-    ranks = counts.withColumn("_k", F.sum("_c").over(W.orderBy("_p")))  # one row for each different p
     total = df.agg(F.count("*").alias("_n"))
-    cut = ranks.crossJoin(F.broadcast(total)).where(F.col("_p") <= q * F.col("_k") / F.col("_n")).agg(F.max("_p").alias("_cut"))
+    ranks = ranked_values(df.select(F.col(p).alias("_p")), "_p").crossJoin(F.broadcast(total))  # one row
+    cut = ranks.where(F.col("_p") <= q * F.col("upto") / F.col("_n")).agg(F.max("_p").alias("_cut"))
     return df.crossJoin(F.broadcast(cut)).withColumn("rejected", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
-def permutations(x: Sequence[float], n_perm: int, seed: int) -> np.ndarray:
-    z = np.asarray(x, dtype=float)
-    z = (z - z.mean()) / z.std()
-    rng = np.random.default_rng(seed)
-    return np.array([rng.permutation(z) for _ in range(n_perm)])
+def shuffles(xs: Sequence[float], n_perm: int, seed: int = 0) -> np.ndarray:
+    """n_perm orders of the points: in order k, points are sorted by the md5 of 'seed:k:place', which any engine can make."""
+    places = range(len(xs))
+    keys = lambda k: [hashlib.md5(f"{seed}:{k}:{i}".encode()).hexdigest() for i in places]
+    return np.array([sorted(places, key=keys(k).__getitem__) for k in range(1, n_perm + 1)], dtype=np.int64).reshape(n_perm, len(xs))
+
+
+def _doubled_ranks(ys: np.ndarray) -> np.ndarray:
+    """Twice the middle ranks within each row, less their mean: whole numbers that add up to nothing."""
+    below = (ys[:, None, :] < ys[:, :, None]).sum(2)
+    upto = (ys[:, None, :] <= ys[:, :, None]).sum(2)
+    return (below + upto - ys.shape[1]).astype(np.float64)
 
 
 def field_test(df: DataFrame, key: str, n_perm: int = 2000, alpha: float = 0.05, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Permutation test of a trend map. df: (key, pts) series that share one x axis.
+    """Permutation test of a trend map. df: (key, pts) series that share one x axis (else an error).
+
+    A cell's score is the sum of its centred ranks times the centred x, both whole numbers where x is, so that permuted scores
+    are compared without rounding; rho is the score over its largest value. A cell is significant in one order if its score
+    reaches the 1 - alpha quantile of its own scores in all orders.
 
-    Returns the cells (key, rho, p_cell, live) and one row for the field. A cell's null needs all permutations of that cell
-    (one matrix product for a block of cells); the field's null is a sum over cells for each permutation, so every task
-    returns its n_perm partial counts and one groupBy adds them. The permutations are a fixed small matrix in the closure.
+    Returns the cells (key, rho, p_cell, live) and one row for the field. A cell's scores in all orders are one row of a matrix
+    product; of the field, every task returns its counts for each order, and one groupBy adds them.
     """
-    xs = [p["x"] for p in df.select("pts").first()["pts"]]
-    perms = permutations(xs, n_perm, seed)
-    z = (np.asarray(xs) - np.mean(xs)) / np.std(xs)
-
-    def ranks(y: np.ndarray) -> np.ndarray:
-        out = np.empty_like(y)
-        for k, row in enumerate(y):
-            values, place, count = np.unique(row, return_inverse=True, return_counts=True)
-            out[k] = (np.cumsum(count) - (count - 1) / 2)[place]
-        return out
-
-    def blocks(batches: Iterator[pd.DataFrame], partial: bool) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n_perm + 1, 2))
-        n_live = 0
-        for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.iloc[at : at + 512]
-                r = ranks(np.stack([np.asarray(v, dtype=float) for v in part["y"]]))
-                sd = r.std(1)
-                live = sd > 0
-                rz = np.where(live[:, None], (r - r.mean(1, keepdims=True)) / np.where(live, sd, 1)[:, None], 0)
-                obs, null = np.round(rz @ z / len(z), 12), np.round(rz @ perms.T / len(z), 12)
-                if not partial:
-                    p = (1 + (np.abs(null) >= np.abs(obs)[:, None]).sum(1)) / (n_perm + 1)
-                    yield pd.DataFrame({key: part[key], "rho": np.where(live, obs, np.nan), "p_cell": np.where(live, p, np.nan), "live": live})
-                    continue
-                crit = np.quantile(np.abs(null), 1 - alpha, axis=1)
-                every = np.column_stack([obs, null])[live]
-                total[:, 0] += (np.abs(every) >= crit[live, None]).sum(0)
-                total[:, 1] += (every > 0).sum(0)
-                n_live += int(live.sum())
-        if partial:
-            yield pd.DataFrame({"perm": np.arange(n_perm + 1), "sig": total[:, 0], "up": total[:, 1], "cells": n_live})
+    axes = df.select(F.expr("transform(pts, p -> p.x)").alias("x")).agg(F.min("x").alias("least"), F.max("x").alias("most")).first()
+    if axes.least != axes.most:
+        raise ValueError("the series don't share one x axis")
+    xs = np.asarray(axes.least or [], dtype=float)
+    wide = xs * len(xs) - xs.sum()
+    dealt = np.vstack([wide, wide[shuffles(xs, n_perm, seed)]])  # row 0: as observed
+
+    def scores(frame: pd.DataFrame) -> Iterator[tuple[pd.Series, np.ndarray, np.ndarray]]:
+        for at in range(0, len(frame), 256):
+            part = frame.iloc[at : at + 256]
+            ranks = _doubled_ranks(np.array(part["y"].to_list(), dtype=float).reshape(len(part), len(xs)))
+            yield part[key], ranks, ranks @ dealt.T
+
+    def by_cell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for names, ranks, got in scores(frame):
+                largest = np.sqrt((ranks**2).sum(1) * (wide**2).sum())
+                size = np.abs(got)
+                reached = np.array([n_perm - np.searchsorted(np.sort(row[1:]), row[0]) for row in size])
+                live = largest > 0
+                rho = np.divide(got[:, 0], largest, out=np.full(len(got), np.nan), where=live)
+                yield pd.DataFrame({key: names.to_numpy(), "rho": rho, "p_cell": np.where(live, (1 + reached) / (1 + n_perm), np.nan), "live": live})
+
+    def by_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hits, ups, cells = np.zeros(n_perm + 1, dtype=np.int64), np.zeros(n_perm + 1, dtype=np.int64), 0
+        for frame in frames:
+            for _, ranks, got in scores(frame):
+                got = got[np.abs(ranks).sum(1) > 0]
+                if len(got) and n_perm:
+                    bar = np.quantile(np.abs(got[:, 1:]), 1 - alpha, axis=1)
+                    hits += (np.abs(got) >= bar[:, None]).sum(0)
+                ups += (got > 0).sum(0)
+                cells += len(got)
+        yield pd.DataFrame({"perm": np.arange(n_perm + 1), "hits": hits, "ups": ups, "cells": cells})
 
     ys = df.select(key, F.expr("transform(pts, p -> p.y)").alias("y"))
-    kind = df.schema[key].dataType.simpleString()
-    cells = ys.mapInPandas(lambda it: blocks(it, False), f"{key} {kind}, rho double, p_cell double, live boolean")
-    sums = ys.mapInPandas(lambda it: blocks(it, True), "perm long, sig double, up double, cells long").groupBy("perm").agg(F.sum("sig").alias("sig"), F.sum("up").alias("up"), F.sum("cells").alias("n"))
-    seen = sums.where("perm = 0").select(ratio("sig", "n").alias("o_sig"), ratio("up", "n").alias("o_up"), F.col("n").alias("n_cells"))
-    null = sums.where("perm > 0").select(ratio("sig", "n").alias("s"), ratio("up", "n").alias("u")).crossJoin(F.broadcast(seen))
-    p = lambda c, o: (1 + F.count_if(F.col(c) >= F.col(o))) / F.lit(n_perm + 1)
-    field = null.groupBy("o_sig", "o_up", "n_cells").agg(
-        F.percentile("s", 0.95).alias("null_significant_p95"), p("s", "o_sig").alias("significant_p"), F.percentile("u", 0.95).alias("null_up_p95"), p("u", "o_up").alias("up_p")
-    )
-    return cells, field.withColumnsRenamed({"o_sig": "significant", "o_up": "up"})
+    cells = ys.mapInPandas(by_cell, f"{key} {df.schema[key].dataType.simpleString()}, rho double, p_cell double, live boolean")
+    orders = ys.mapInPandas(by_order, "perm long, hits long, ups long, cells long").groupBy("perm").agg(*[F.sum(c).alias(c) for c in ("hits", "ups", "cells")])
+    seen = orders.where("perm = 0").select(F.col("hits").alias("o_hits"), F.col("ups").alias("o_ups"), F.col("cells").alias("n_cells"))
+    null = orders.where("perm > 0").crossJoin(F.broadcast(seen))  # one row
+    share = lambda c: ratio(c, "n_cells")
+    above = lambda c, o: (1 + F.count_if(F.col(c) >= F.col(o))) / F.lit(n_perm + 1)
+    field = null.groupBy("n_cells", share("o_hits").alias("significant"), share("o_ups").alias("up")).agg(
+        F.percentile(share("hits"), 0.95).alias("null_significant_p95"), above("hits", "o_hits").alias("significant_p"),
+        F.percentile(share("ups"), 0.95).alias("null_up_p95"), above("ups", "o_ups").alias("up_p"),
+    )
+    return cells.select(key, F.nanvl("rho", F.lit(None).cast("double")).alias("rho"), F.nanvl("p_cell", F.lit(None).cast("double")).alias("p_cell"), "live"), field

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridlark.functions import columns as C
 from gridlark.functions import grid as G
+from gridlark.functions.tests_of_significance import inversions
 from gridlark.operators import daily as D
 from gridlark.operators import spatial as S
 from gridlark.operators import tables as T
@@ -87,11 +88,11 @@ def bh_fdr(spark, sf_dir):
 
 
 def field_cells(spark, sf_dir):
-    return rounded(X.field_test(_series(spark, sf_dir), "cell", n_perm=500)[0], "rho", "p_cell")
+    return rounded(X.field_test(_series(spark, sf_dir), "cell")[0], "rho", "p_cell")
 
 
 def field_test(spark, sf_dir):
-    return rounded(X.field_test(_series(spark, sf_dir), "cell", n_perm=500)[1], "significant", "up", "null_significant_p95", "significant_p", "null_up_p95", "up_p")
+    return rounded(X.field_test(_series(spark, sf_dir), "cell")[1], "significant", "up", "null_significant_p95", "significant_p", "null_up_p95", "up_p")
 
 
 def spatial_summary(spark, sf_dir):
@@ -102,24 +103,9 @@ def spatial_summary(spark, sf_dir):
     return t.agg(F.count("*").alias("cells"), share(F.col("slope") > 0).alias("rising"), share(up & raw).alias("significant_up"), share(~up & raw).alias("significant_down"), share(up & F.col("rejected")).alias("fdr_up"), r6(F.median("slope")).alias("median_slope"), r6(F.percentile("slope", 0.9)).alias("p90_slope"), F.max_by("cell", F.struct("slope", -F.col("cell"))).alias("steepest"))
 
 
-def robustness(spark, sf_dir):
-    """The trend of the domain series under several windows and screens."""
-    a = _annual(spark, sf_dir).select("year", F.col("mean_value").alias("v"))
-    cells = yearly_cells(spark, sf_dir)
-    equal = cells.groupBy("year").agg(F.avg("v").alias("v"))
-    choices = {"weighted": a, "without_two": a.where(~F.col("year").isin(1997, 1998)), "short": a.where("year >= 1997"), "equal_cells": equal}
-    out = None
-    for name, df in choices.items():
-        part = df.select(F.lit(name).alias("choice"), "year", "v")
-        out = part if out is None else out.unionByName(part)
-    means = out.groupBy("choice").agg(F.avg("v").alias("mean"))
-    t = X.sen(X.series(out, ["choice"], "year", "v")).join(means, "choice")
-    return rounded(t.select("choice", "mean", "slope", "tau", "n"), "mean", "slope", "tau")
-
-
 def log_line(spark, sf_dir):
     a = _annual(spark, sf_dir).select("year", F.col("a").alias("v"))
-    return a.select("year", r6(X.log_line(a, "year", "v", F.lit(0.05))).alias("line"))
+    return rounded(X.log_line(a, "year", "v", F.lit(0.05)).select("year", "line"), "line")
 
 
 def slope_band(spark, sf_dir):
@@ -188,7 +174,7 @@ def grid_remap_weighted(spark, sf_dir):
 
 def _boxes(spark, sf_dir):
     """Rectangles around some suppliers, as polygons."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey < 40")
+    s = table(spark, sf_dir, "supplier")
     x, y = F.lit(-124.0) + F.col("s_suppkey") * 1.37, F.lit(25.0) + (F.col("s_suppkey") * 7 % 20)
     w, h = 1.0 + F.col("s_suppkey") % 5, 0.5 + F.col("s_suppkey") % 3
     pt = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
@@ -232,7 +218,7 @@ def seeded_sample(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     sen_slope, sen_slope_join, kendall_tau, sen_with_tests, spearman_time, log_trend, growth_decomposition, ols, ols_p, correlations, correlations_p, bh_fdr, field_cells, field_test,
-    spatial_summary, robustness, log_line, slope_band, albers_forward, albers_inverse, cell_index, target_grid, sinusoidal, grid_remap_weighted, point_in_polygon, covered_area, polygon_sizes,
+    spatial_summary, log_line, slope_band, albers_forward, albers_inverse, cell_index, target_grid, sinusoidal, grid_remap_weighted, point_in_polygon, covered_area, polygon_sizes,
     masked_smooth, hexbins, seeded_sample,
 )}
 
@@ -241,9 +227,47 @@ PAIRS = "p AS (SELECT a.{0} AS k, a.year AS x0, b.year AS x1, a.v AS y0, b.v AS
 ANN = f"""WITH {CUBE}, ann AS (SELECT year, sum(a) AS a, sum(d) / sum(b) AS fraction, sum(c) / sum(b) AS flag_index, sum(a) / sum(b) AS mean_value, sum(c) / sum(d) AS intensity,
   (sum(a) - sum(c)) / (sum(b) - sum(d)) AS background FROM cube WHERE {SPAN} GROUP BY year)"""
 BOXES = """boxes AS (SELECT s_suppkey AS shape, CAST(-124.0 AS DOUBLE) + s_suppkey * CAST(1.37 AS DOUBLE) AS x, CAST(25 + s_suppkey * 7 % 20 AS DOUBLE) AS y, 1 + s_suppkey % 5 AS w, CAST(0.5 AS DOUBLE) + s_suppkey % 3 AS h
-  FROM supplier WHERE s_suppkey < 40), hits AS (SELECT id, shape, lat FROM places JOIN boxes ON lon BETWEEN x AND x + w AND lat BETWEEN y AND y + h)"""
+  FROM supplier), hits AS (SELECT id, shape, lat FROM places JOIN boxes ON lon BETWEEN x AND x + w AND lat BETWEEN y AND y + h)"""
+
+#: Numbers of permutations of n points with k inversions, from the rule in tests_of_significance, for the exact p of tau.
+_EXACT = "inv(n, k, c) AS (VALUES " + ", ".join(f"({n}, {k}, {c})" for n in range(2, 9) for k, c in enumerate(inversions(n))) + ")"
+#: Bounds of the slope and the exact p of tau, of series k without ties: after p, from the table of pairs.
+TESTS = _EXACT + """, s AS (SELECT k, list_sort(list((y1 - y0) / (x1 - x0))) AS s, median((y1 - y0) / (x1 - x0)) AS slope, sum(sign(y1 - y0)) AS g,
+  CAST(count(*) AS INT) AS m, CAST((1 + sqrt(1 + 8 * count(*))) / 2 AS INT) AS n FROM p GROUP BY k),
+b AS (SELECT *, CAST(1.959963984540054 AS DOUBLE) * sqrt(n * (n - 1) * (2 * n + 5) / CAST(18 AS DOUBLE)) AS w FROM s),
+t AS (SELECT k, slope, n, g / m AS tau, s[greatest(CAST(round((m - w) / 2) AS INT), 0) + 1] AS lo, s[least(CAST(round((m + w) / 2) AS INT), m)] AS hi,
+  (SELECT least(1, 2 * CAST(sum(c) FILTER (inv.k <= (m - abs(g)) / 2) AS DOUBLE) / CAST(sum(c) AS DOUBLE)) FROM inv WHERE inv.n = b.n) AS tau_p FROM b)"""
+#: Student's two-sided p of a whole number f of degrees of freedom at t: the finite sums for even and for odd ones.
+_SUM = "list_sum(list_transform(range(0, CAST({n} AS BIGINT)), lambda k: exp({c}) * pow({f} / ({f} + {t} * {t}), k)))"
+_EVEN = "1 - {t} / sqrt({f} + {t} * {t}) * " + _SUM.replace("{n}", "{f} / 2").replace("{c}", "lgamma(k + 0.5) - lgamma(k + 1)") + " / sqrt(pi())"
+_ODD = "1 - 2 / pi() * (atan({t} / sqrt({f})) + {t} * sqrt({f}) / ({f} + {t} * {t}) * coalesce(" + _SUM.replace("{n}", "({f} - 1) / 2").replace("{c}", "lgamma(k + 1) - lgamma(k + 1.5)") + " * sqrt(pi()) / 2, 0))"
+T_P = f"greatest(CAST(0 AS DOUBLE), CASE WHEN {{f}} % 2 = 0 THEN {_EVEN} ELSE {_ODD} END)"
+PERMUTED = f"""WITH {YEARLY}, pt AS (SELECT cell, year, v, row_number() OVER (PARTITION BY cell ORDER BY year) - 1 AS i, 2 * rank() OVER (PARTITION BY cell ORDER BY v) + count(*) OVER (PARTITION BY cell, v) - 1 - count(*) OVER (PARTITION BY cell) - 1 AS r FROM yearly),
+ax AS (SELECT DISTINCT i, year FROM pt), od AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY md5('0:' || k || ':' || i)) - 1 AS j FROM range(1, 2001) t(k), ax UNION ALL SELECT 0, i, i FROM ax),
+dl AS (SELECT k, j AS i, count(*) OVER (PARTITION BY k) * year - sum(year) OVER (PARTITION BY k) AS x FROM od JOIN ax USING (i)),
+sc AS (SELECT cell, k, sum(r * x) AS s, sum(r * r) AS rr, sum(x * x) AS xx FROM pt JOIN dl USING (i) GROUP BY ALL), lv AS (SELECT *, rr > 0 AS live FROM sc)"""
 
 ORACLES = {
+    "sen_with_tests": f"{Y}, {PAIRS.format('cell', 'yearly')}, {TESTS} SELECT k AS cell, round(slope, 6) AS slope, round(lo, 6) AS slope_lo, round(hi, 6) AS slope_hi, round(tau, 6) AS tau, round(tau_p, 6) AS tau_p FROM t",
+    "spatial_summary": f"""{Y}, {PAIRS.format('cell', 'yearly')}, {TESTS}, o AS (SELECT *, row_number() OVER (ORDER BY tau_p) AS i, count(*) OVER () AS c FROM t), q AS (SELECT max(tau_p) AS cut FROM o WHERE tau_p <= CAST(0.05 AS DOUBLE) * i / c)
+SELECT count(*) AS cells, round(avg(CAST(slope > 0 AS DOUBLE)), 6) AS rising, round(avg(CAST(tau > 0 AND tau_p < 0.05 AS DOUBLE)), 6) AS significant_up, round(avg(CAST(NOT tau > 0 AND tau_p < 0.05 AS DOUBLE)), 6) AS significant_down,
+  round(avg(CAST(tau > 0 AND coalesce(tau_p <= cut, false) AS DOUBLE)), 6) AS fdr_up, round(median(slope), 6) AS median_slope, round(quantile_cont(slope, 0.9), 6) AS p90_slope, arg_max(k, slope) AS steepest FROM t, q""",
+    "slope_band": f"""{ANN}, z AS (SELECT 1 AS s, year, a AS v FROM ann), {PAIRS.format('s', 'z')}, {TESTS}, m AS (SELECT median(v) - any_value(slope) * median(year) + any_value(slope) * avg(year) AS base, avg(year) AS mid FROM z, t)
+SELECT year, round(base + slope * (year - mid), 6) AS fit, round(base + lo * (year - mid), 6) AS low, round(base + hi * (year - mid), 6) AS high FROM z, t, m""",
+    "ols_p": f"""{Y}, o AS (SELECT cell, regr_r2(v, year) AS r2, CAST(count(*) - 2 AS DOUBLE) AS f FROM yearly GROUP BY cell), h AS (SELECT *, sqrt(r2 * f / (1 - r2)) AS t FROM o) SELECT cell, round({T_P.format(t='t', f='f')}, 6) AS p FROM h""",
+    "correlations_p": f"""WITH {CUBE}, m AS (SELECT sum(b) AS a, CASE WHEN month % 4 <> 0 THEN sum(d) END AS b FROM cube GROUP BY year, month), ok AS (SELECT * FROM m WHERE b IS NOT NULL),
+r AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM ok),
+c AS (SELECT count(*) AS n, CAST(count(*) - 2 AS DOUBLE) AS f, abs(corr(a, b)) AS p, abs(corr(ra, rb)) AS s FROM r), h AS (SELECT n, f, p * sqrt(f / (1 - p * p)) AS tp, s * sqrt(f / (1 - s * s)) AS ts FROM c)
+SELECT n, round({T_P.format(t='tp', f='f')}, 6) AS pearson_p, round({T_P.format(t='ts', f='f')}, 6) AS spearman_p FROM h""",
+    "field_cells": f"""{PERMUTED} SELECT cell, round(max(s) FILTER (k = 0) / sqrt(any_value(CAST(rr AS DOUBLE)) * any_value(CAST(xx AS DOUBLE))), 6) AS rho, round((1 + count(*) FILTER (k > 0 AND abs(s) >= abs(o))) / CAST(2001 AS DOUBLE), 6) AS p_cell, any_value(live) AS live
+FROM lv JOIN (SELECT cell, s AS o FROM lv WHERE k = 0) USING (cell) GROUP BY cell""",
+    "field_test": f"""{PERMUTED}, bar AS (SELECT cell, quantile_cont(CAST(abs(s) AS DOUBLE), 0.95) AS bar FROM lv WHERE live AND k > 0 GROUP BY cell),
+f AS (SELECT k, count(*) AS n, count(*) FILTER (abs(s) >= bar) AS h, count(*) FILTER (s > 0) AS u FROM lv JOIN bar USING (cell) GROUP BY k), o AS (SELECT n AS n_cells, h AS oh, u AS ou FROM f WHERE k = 0)
+SELECT n_cells, round(oh / CAST(n_cells AS DOUBLE), 6) AS significant, round(ou / CAST(n_cells AS DOUBLE), 6) AS up, round(quantile_cont(h / CAST(n AS DOUBLE), 0.95), 6) AS null_significant_p95, round((1 + count(*) FILTER (h >= oh)) / CAST(2001 AS DOUBLE), 6) AS significant_p,
+  round(quantile_cont(u / CAST(n AS DOUBLE), 0.95), 6) AS null_up_p95, round((1 + count(*) FILTER (u >= ou)) / CAST(2001 AS DOUBLE), 6) AS up_p FROM f, o WHERE k > 0 GROUP BY ALL""",
+    "sinusoidal": f"""WITH s AS (SELECT r.i * 100 AS row, CAST(c.i * 100 AS INT) AS col FROM range(12) r(i), range(12) c(i)), y AS (SELECT row, col, (pi() / 2 - (4 + (row + 0.5) / 1200) * pi() / 18) AS lat, (-pi() + (9 + (col + 0.5) / 1200) * pi() / 18) AS x FROM s)
+SELECT row, col, round(degrees(x / cos(lat)), 6) AS lon, round(degrees(lat), 6) AS lat FROM y""",
+    "seeded_sample": "SELECT c_custkey FROM customer ORDER BY md5(c_custkey || ':0'), c_custkey LIMIT 100",
     "sen_slope": f"""{Y}, {PAIRS.format('cell', 'yearly')}, s AS (SELECT k AS cell, median((y1 - y0) / (x1 - x0)) AS slope FROM p GROUP BY k), m AS (SELECT cell, median(year) AS mx, median(v) AS my, count(*) AS n FROM yearly GROUP BY cell)
 SELECT cell, round(slope, 6) AS slope, round(my - slope * mx, 6) AS intercept, n FROM s JOIN m USING (cell)""",
     "sen_slope_join": f"{Y}, {PAIRS.format('cell', 'yearly')} SELECT k AS cell, round(median((y1 - y0) / (x1 - x0)), 6) AS slope FROM p GROUP BY k",
@@ -263,10 +287,6 @@ SELECT count(*) AS n, round(corr(a, b), 6) AS pearson_r, round(corr(ra, rb), 6)
     "bh_fdr": """WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 11 <> 0 THEN pow(CAST(c_custkey % 997 AS DOUBLE) / 997, 3) END AS p FROM customer),
 k AS (SELECT p, row_number() OVER (ORDER BY p) AS k, (SELECT count(*) FROM t) AS n FROM t WHERE p IS NOT NULL), c AS (SELECT max(p) AS cut FROM k WHERE p <= 0.05 * k / n)
 SELECT c_custkey, coalesce(p <= cut, false) AS rejected FROM t, c""",
-    "robustness": f"""{ANN}, e AS (SELECT year, avg(v) AS v FROM (SELECT cell, year, sqrt(sum(a)) AS v FROM cube WHERE {SPAN} GROUP BY ALL) GROUP BY year),
-u AS (SELECT 'weighted' AS c, year, mean_value AS v FROM ann UNION ALL SELECT 'without_two', year, mean_value FROM ann WHERE year NOT IN (1997, 1998) UNION ALL SELECT 'short', year, mean_value FROM ann WHERE year >= 1997 UNION ALL SELECT 'equal_cells', year, v FROM e),
-{PAIRS.format('c', 'u')}, m AS (SELECT c, avg(v) AS mean, count(*) AS n FROM u GROUP BY c)
-SELECT c AS choice, round(any_value(mean), 6) AS mean, round(median((y1 - y0) / (x1 - x0)), 6) AS slope, round(sum(sign(y1 - y0)) / nullif(sqrt(CAST(count(*) AS DOUBLE) * sum(abs(sign(y1 - y0)))), 0), 6) AS tau, any_value(n) AS n FROM p JOIN m ON m.c = p.k GROUP BY c""",
     "log_line": f"{ANN} SELECT year, round(exp(avg(ln(a)) OVER () + CAST(0.05 AS DOUBLE) * (year - avg(year) OVER ())), 6) AS line FROM ann",
     "albers_forward": f"WITH {PLACES}, {ALBERS} SELECT id, round(x, 3) AS x, round(y, 3) AS y FROM cells",
     "albers_inverse": f"WITH {PLACES} SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM places",

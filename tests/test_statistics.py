@@ -52,26 +52,35 @@ def test_field_test(spark):
     df = X.series(spark.createDataFrame(rows, "cell int, x double, y double"), ["cell"], "x", "y")
     cells, field = X.field_test(df.repartition(3), "cell", n_perm=200)
     got = {r.cell: r for r in cells.collect()}
-    perms = X.permutations(range(8), 200, 0)
-    z = (np.arange(8) - 3.5) / np.arange(8).std()
+    x, orders = np.arange(8), X.shuffles(range(8), 200)
+    assert sorted(orders[0]) == list(range(8)) and len({tuple(o) for o in orders}) > 190
+    rho = lambda v, order: float(spearman(v, x[order]))
+    spearman = lambda v, w: np.corrcoef([(v < i).sum() + (v <= i).sum() for i in v], w)[0, 1]
     live, sig, up = [], [], []
     for c in range(40):
-        r = np.argsort(np.argsort(y[c])) if c else np.zeros(8)
-        if r.std() == 0:
-            assert not got[c].live and got[c].p_cell is None
+        if len(set(y[c])) == 1:
+            assert not got[c].live and got[c].p_cell is None and got[c].rho is None
             continue
-        rz = (r - r.mean()) / r.std()
-        obs, null = round(rz @ z / 8, 12), np.round(perms @ rz / 8, 12)
-        assert got[c].p_cell == pytest.approx((1 + (abs(null) >= abs(obs)).sum()) / 201)
-        crit = np.quantile(abs(null), 0.95)
-        sig.append(abs(np.append(obs, null)) >= crit)
-        up.append(np.append(obs, null) > 0)
+        scores = np.round([rho(y[c], range(8)), *(rho(y[c], o) for o in orders)], 9)
+        assert got[c].rho == pytest.approx(scores[0], abs=1e-8)
+        assert got[c].p_cell == pytest.approx((1 + (abs(scores[1:]) >= abs(scores[0])).sum()) / 201)
+        sig.append(abs(scores) >= np.quantile(abs(scores[1:]), 0.95) - 1e-9)
+        up.append(scores > 0)
     share, ups = np.mean(sig, axis=0), np.mean(up, axis=0)
     f = field.first()
     assert f.n_cells == 39 and f.significant == pytest.approx(share[0]) and f.up == pytest.approx(ups[0])
     assert f.significant_p == pytest.approx((1 + (share[1:] >= share[0]).sum()) / 201)
     assert f.up_p == pytest.approx((1 + (ups[1:] >= ups[0]).sum()) / 201)
     assert f.null_significant_p95 == pytest.approx(np.quantile(share[1:], 0.95))
+    with pytest.raises(ValueError):
+        X.field_test(df.unionByName(df.select("cell", F.expr("slice(pts, 1, 7)").alias("pts"))), "cell", n_perm=10)
+
+
+def test_ranked_values(spark):
+    values = [None if k % 13 == 0 else float(k * k % 97) for k in range(3000)] + [5.0] * 2000
+    got = {r.v: (r.n, r.upto) for r in X.ranked_values(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()}
+    some = sorted(v for v in values if v is not None)
+    assert got == {v: (some.count(v), sum(w <= v for w in some)) for v in set(some)}
 
 
 def test_correlations_and_trend(spark):
