@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from gridlark.operators import daily as D
 from gridlark.plans.core import _SUM, COLLAPSE, SUMS, pixels
-from gridlark.plans.inputs import OBS, rounded
+from gridlark.plans.inputs import OBS, rounded, table
 from gridlark.sources import store
 
 
 def scratch(spark) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, or under the warehouse where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
+    """A folder that driver and executors share: under spark.checkpoint.dir, or in local mode under the warehouse where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{top or spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
 
 
 def partials_on_disk(spark, sf_dir):
@@ -36,16 +39,20 @@ def manifest_collate(spark, sf_dir):
 
 
 def checksum_verify(spark, sf_dir):
+    """Files by market segment against a list in which one has another content and one isn't there."""
     path = scratch(spark)
-    spark.range(3).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("value")).repartition(3, "value").write.text(path)
-    found = store.checksums(spark, path)
-    listed = found.select("name", F.when(F.length("name") > 0, F.col("sha256")).alias("sha256")).unionByName(spark.range(1).select(F.lit("absent").alias("name"), F.lit("0").alias("sha256")))
-    return store.verified(found, listed).groupBy("state").agg((F.count("*") > 0).alias("seen"))
+    segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment")).distinct()
+    segments.select(F.col("segment").alias("value"), "segment").repartition("segment").write.partitionBy("segment").text(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0")
+    found = files.select(F.regexp_extract("path", "segment=([^/]+)/", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    text = F.when(F.col("segment") == "BUILDING", F.lit("changed")).otherwise(F.col("segment"))
+    listed = segments.select(F.col("segment").alias("name"), F.sha2(F.concat(text, F.lit("\n")).cast("binary"), 256).alias("sha256"))
+    return store.verified(found, listed.unionByName(spark.range(1).select(F.lit("absent").alias("name"), F.lit("0").alias("sha256"))))
 
 
 QUERIES = {f.__name__: f for f in (partials_on_disk, manifest_collate, checksum_verify)}
 ORACLES = {
     "partials_on_disk": f"WITH {OBS}, {COLLAPSE} SELECT cell, {_SUM} FROM px GROUP BY cell",
     "manifest_collate": "SELECT * FROM (VALUES ('2001-01', 'complete', CAST(31 AS BIGINT)), ('2001-02', 'complete', 28)) t(month, status, days)",
-    "checksum_verify": "SELECT * FROM (VALUES ('ok', true), ('missing', true)) t(state, seen)",
+    "checksum_verify": "SELECT c_mktsegment AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'differs' ELSE 'ok' END AS state FROM customer GROUP BY ALL UNION ALL SELECT 'absent', 'missing'",
 }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +76,66 @@ def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     ok = F.col("_corrupt").isNull() & F.col("rings").isNotNull() & (F.size("rings") > 0)
     rejects = raw.groupBy(F.when(F.col("_corrupt").isNotNull(), "unreadable").when(ok, "kept").otherwise("no geometry").alias("state")).agg(F.count("*").alias("n"))
     return raw.where(ok).drop("_corrupt"), rejects
+
+
+def optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The JSON lines under a path, or no rows where the path doesn't exist."""
+    return spark.read.schema(schema).json(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, where = _file_system(spark, path)
+    return system.exists(where)
+
+
+def is_finished(spark: SparkSession, path: str) -> bool:
+    """Whether an output has the marker that Spark's writers leave when all is written."""
+    return _exists(spark, f"{path}/_SUCCESS")
+
+
+def unmark(spark: SparkSession, path: str) -> None:
+    """Takes an output's marker away, so that the next run makes it anew."""
+    system, where = _file_system(spark, f"{path}/_SUCCESS")
+    system.delete(where, False)
+
+
+def write_properties(spark: SparkSession, path: str, properties: dict[str, str]) -> None:
+    """What a table is and where it comes from, in a small table beside it."""
+    spark.createDataFrame(list(properties.items()), "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}-properties")
+
+
+def read_properties(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("name string, value string").json(f"{path}-properties")
+
+
+#: Big-endian 16-bit words of a binary record: planes (0: one flat plane), rows, columns, then the raw values and the quality words.
+_HEAD = 3
+
+
+def granule_shapes(files: DataFrame) -> DataFrame:
+    """(name, planes, rows, cols, length) from the heads of binary records (path, content) alone."""
+    word = lambda k: F.conv(F.hex(F.substring("content", 2 * k + 1, 2)), 16, 10).cast("int")
+    return files.select(F.substring_index("path", "/", -1).alias("name"), word(0).alias("planes"), word(1).alias("rows"), word(2).alias("cols"), F.octet_length("content").cast("long").alias("length"))
+
+
+def granule_pixels(files: DataFrame) -> DataFrame:
+    """(name, obs, row, col, raw, quality) of every pixel of binary records; a flat plane is one observation, a wrong size raises."""
+
+    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                words = np.frombuffer(content, dtype=">i2").astype(np.int32)
+                planes, rows, cols = (int(x) for x in words[:_HEAD])
+                n = max(planes, 1) * rows * cols
+                if len(words) != _HEAD + 2 * n:
+                    raise ValueError(f"{path}: {len(words) - _HEAD} words, not two arrays of {max(planes, 1)} x {rows} x {cols}")
+                at = np.unravel_index(np.arange(n), (max(planes, 1), rows, cols))
+                raw, quality = words[_HEAD : _HEAD + n], words[_HEAD + n :] & 0xFFFF
+                yield pd.DataFrame({"name": path.rsplit("/", 1)[-1], "obs": at[0], "row": at[1], "col": at[2], "raw": raw, "quality": quality})
+
+    return files.select("path", "content").mapInPandas(explode, "name string, obs int, row int, col int, raw int, quality int")

@@ -31,3 +31,8 @@ def daily_partials(
 def windowed_sums(stream: DataFrame, ts: str, value: str, key: str, late: str = "1 day", size: str = "1 day") -> DataFrame:
     """Sums by key and calendar day of a stream; observations later than `late` are left out."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), key).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+
+
+def latest_versions(stream: DataFrame, keys: Sequence[str], version: str, seq: str) -> DataFrame:
+    """Of each key the row with the highest version, of equal ones the first, kept as state and sent anew when it changes."""
+    return stream.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), F.struct(F.col(version), -F.col(seq))).alias("_r")).select(*keys, "_r.*")

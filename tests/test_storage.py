@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridlark.operators import daily as D
 from gridlark.sources import store
-from gridlark.streaming.partials import daily_partials
+from gridlark.streaming.partials import daily_partials, latest_versions, windowed_sums
 
 
 def sums(spark, day, value):
@@ -58,3 +58,15 @@ def test_stream_of_partials(spark, tmp_path):
     q = daily_partials(spark, str(tmp_path / "in"), schema, lambda df: df, str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(60)
     assert D.accumulate(store.read_partials(spark, str(tmp_path / "out")), ["cell"]).first().a == 6
+
+
+def test_stream_state(spark, tmp_path):
+    rows = [("a", 1, 1, 2.0), ("a", 3, 2, 4.0), ("a", 3, 3, 8.0), ("b", 2, 4, 1.0)]
+    df = spark.createDataFrame(rows, "k string, version int, seq int, v double").withColumn("ts", F.timestamp_seconds(F.col("seq") * 40000))
+    df.repartition(2).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    found = {"latest": latest_versions(stream, ["k"], "version", "seq").select("k", "version", "seq"), "sums": windowed_sums(stream, "ts", "v", "k").select("k", "w.start", "total", "n")}
+    for name, result in found.items():
+        result.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.table("latest").collect())) == [("a", 3, 2), ("b", 2, 4)]
+    assert sorted((r.k, r.total, r.n) for r in spark.table("sums").collect()) == [("a", 6.0, 2), ("a", 8.0, 1), ("b", 1.0, 1)]
