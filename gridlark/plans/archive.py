@@ -30,12 +30,14 @@ def annual_median(spark, sf_dir):
 
 
 def month_spine_zero_fill(spark, sf_dir):
-    m = monthly(spark, sf_dir).where("month % 5 <> 0")
+    """Months with too few days count as not there; all that aren't become zero."""
+    m = monthly(spark, sf_dir).where("n_days >= 25")
     return rounded(T.filled_months(m, ["value_days", "n_days"], 1995, 2001), "value_days")
 
 
 def day_spine_conditional_fill(spark, sf_dir):
-    d = daily(spark, sf_dir).where("dayofmonth(day) % 3 <> 0")
+    """Days without a value are absent, and filled up as the series' rules tell."""
+    d = daily(spark, sf_dir).where("value > 0")
     return rounded(T.filled_days(d, "day", ["total"], {"value": 1997}, "1996-01-01", "1998-12-31"), "total", "value")
 
 
@@ -274,15 +276,19 @@ CHANGE = f"""{Q}, w AS (SELECT cell, sum(CASE WHEN year BETWEEN 1995 AND 1997 TH
 ch AS (SELECT cell, 100 * d0 / nullif(b0, 0) AS early_pct, 100 * d1 / nullif(b1, 0) AS late_pct, 100 * d1 / nullif(b1, 0) - 100 * d0 / nullif(b0, 0) AS change_pp FROM w WHERE b0 >= 2000 AND b1 >= 2000)"""
 
 ORACLES = {
+    "greedy_peaks": f"""{M}, m AS (SELECT make_date(year, month, 1) AS day, round(value_days, 6) AS v FROM monthly), p1 AS (SELECT * FROM m ORDER BY v DESC, day LIMIT 1),
+p2 AS (SELECT m.* FROM m, p1 WHERE abs(date_diff('day', p1.day, m.day)) >= 183 ORDER BY m.v DESC, m.day LIMIT 1),
+p3 AS (SELECT m.* FROM m, p1, p2 WHERE abs(date_diff('day', p1.day, m.day)) >= 183 AND abs(date_diff('day', p2.day, m.day)) >= 183 ORDER BY m.v DESC, m.day LIMIT 1)
+SELECT CAST(1 AS INT) AS rank, day, v AS value FROM p1 UNION ALL SELECT 2, day, v FROM p2 UNION ALL SELECT 3, day, v FROM p3""",
     "monthly_area": f"{M} SELECT year, month, round(value_days, 6) AS value_days, n_days, round(total_days, 6) AS total_days, round(mean_daily, 6) AS mean_daily FROM monthly",
     "annual_peak": f"""{M} SELECT year, round(sum(value_days), 6) AS value_days, CAST(sum(n_days) AS BIGINT) AS n_days, round(max(value_days), 6) AS peak_value,
   CAST(arg_max(month, value_days) AS INT) AS peak_month, round(sum(value_days) / CASE WHEN year % 4 = 0 THEN 366 ELSE 365 END, 6) AS mean_daily FROM monthly GROUP BY year""",
     "annual_median": f"{M}, {FULL.format('monthly')}, y AS (SELECT year, sum(value_days) AS v FROM monthly WHERE year IN (SELECT year FROM full_years) GROUP BY year) SELECT round(median(v), 6) AS median_value, count(*) AS n FROM y",
     "month_spine_zero_fill": f"""{M}, spine AS (SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month FROM range(1995, 2002) a(y), range(1, 13) b(m))
-SELECT year, month, round(coalesce(value_days, 0), 6) AS value_days, coalesce(n_days, 0) AS n_days FROM spine LEFT JOIN (SELECT * FROM monthly WHERE month % 5 <> 0) USING (year, month)""",
+SELECT year, month, round(coalesce(value_days, 0), 6) AS value_days, coalesce(n_days, 0) AS n_days FROM spine LEFT JOIN (SELECT * FROM monthly WHERE n_days >= 25) USING (year, month)""",
     "day_spine_conditional_fill": f"""WITH {DAILY}, spine AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS day)
 SELECT day, round(coalesce(total, 0), 6) AS total, round(CASE WHEN year(day) >= 1997 THEN coalesce(value, 0) ELSE value END, 6) AS value
-FROM spine LEFT JOIN (SELECT * FROM daily WHERE day(day) % 3 <> 0) USING (day)""",
+FROM spine LEFT JOIN (SELECT * FROM daily WHERE value > 0) USING (day)""",
     "missing_months": f"{M} SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month FROM range(1995, 2002) a(y), range(1, 13) b(m) WHERE (y, m) NOT IN (SELECT (year, month) FROM monthly)",
     "climatology_quartiles": f"{M} SELECT month, round(median(value_days), 6) AS median, round(quantile_cont(value_days, 0.25), 6) AS q25, round(quantile_cont(value_days, 0.75), 6) AS q75 FROM monthly GROUP BY month",
     "year_coverage": f"{M} SELECT year, count(DISTINCT month) AS months, min(month) AS first, max(month) AS last, count(DISTINCT month) < 12 AS partial, min(month) || '-' || max(month) AS span FROM monthly GROUP BY year",
