@@ -59,4 +59,4 @@ QUERIES = {
     "op10_url_templates": op10_url_templates,
 }
 
-ORACLES = {"op7_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op5_secret_scan": secret_scan.ORACLE, "op7_decontaminate": decontaminate.ORACLE}

@@ -211,3 +211,22 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = F.filter("spans", lambda x: x["ord"] < len(BASE))
     counts = [F.expr(f"cast(size(filter(spans, x -> x.ord = {k})) as long)").alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
     return scan(docs, RULES, id_col, text_col).select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _sql_of(k: int, rule: Rule) -> str:
+    regex = (("(?i)" if rule.ignore_case else "") + rule.regex).replace("'", "''")
+    return (
+        f"SELECT doc_id, {k} AS ord, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(t, '{regex}', 0) AS m, "
+        f"regexp_extract_all(t, '{regex}', {rule.group}) AS g, string_split_regex(t, '{regex}') AS p FROM d WHERE regexp_matches(t, '{regex}')"
+    )
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS ({" UNION ALL ".join(_sql_of(k, r) for k, r in enumerate(RULES))}),
+y AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM x),
+z AS (SELECT doc_id, ord, kind, m[i] AS m, coalesce(list_sum(list_transform(p[1:i], lambda v: length(v))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) AS s FROM y WHERE length(g[i]) >= least),
+w AS (SELECT doc_id, ord, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS span FROM z),
+a AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY s, ord) FILTER (ord < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY s, ord) AS spans FROM w GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)
+"""
