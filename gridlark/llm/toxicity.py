@@ -294,8 +294,8 @@ def train_numpy(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int
     return model
 
 
-def _learn(p, moments, step, wins, mask, y, weight, wid, gids, gsizes, gstart, rate, rng):
-    """One Adam step on a batch of windows."""
+def _gradients(p, wins, mask, y, weight, wid, gids, gsizes, gstart, rng):
+    """(loss, gradients of the weights, of the word rows and of the character rows) of a batch of windows; rows as (name, ids, gradient)."""
     types, places = np.unique(wins, return_inverse=True)
     places = places.reshape(wins.shape)
     sizes = gsizes[types]
@@ -313,7 +313,9 @@ def _learn(p, moments, step, wins, mask, y, weight, wid, gids, gsizes, gstart, r
     a = np.exp(e - e.max(0)) * m
     a = a / np.maximum(a.sum(0), 1e-12)
     pooled = (a[:, :, None] * h).sum(0)
-    d = (_sigmoid(pooled @ p["wo"] + p["bo"]) - y) * weight / len(y)
+    out = _sigmoid(pooled @ p["wo"] + p["bo"])
+    loss = -(weight * (y * np.log(out) + (1 - y) * np.log(1 - out))).sum() / len(y)
+    d = (out - y) * weight / len(y)
     g = {"wo": pooled.T @ d, "bo": np.array([d.sum()])}
     dpool = d[:, None] * p["wo"]
     da = (h * dpool).sum(2)
@@ -332,10 +334,17 @@ def _learn(p, moments, step, wins, mask, y, weight, wid, gids, gsizes, gstart, r
     df_, db_ = drows[:, : 3 * HIDDEN], drows[:, 3 * HIDDEN :]
     g["wf"], g["wb"], g["bf"], g["bb"] = x.T @ df_, x.T @ db_, df_.sum(0), db_.sum(0)
     dx = df_ @ p["wf"].T + db_ @ p["wb"].T
-    for name, ids, grad in (
+    rows = (
         ("word", wid[types], dx[:, :DIM] * seen),
         ("gram", grams, np.repeat(dx[:, DIM:] / np.sqrt(np.maximum(sizes, 1))[:, None], sizes, axis=0)),
-    ):
+    )
+    return loss, g, rows
+
+
+def _learn(p, moments, step, wins, mask, y, weight, wid, gids, gsizes, gstart, rate, rng):
+    """One Adam step on a batch of windows."""
+    _, g, rows = _gradients(p, wins, mask, y, weight, wid, gids, gsizes, gstart, rng)
+    for name, ids, grad in rows:
         where, inv = np.unique(ids, return_inverse=True)
         total = np.zeros((len(where), DIM), dtype=np.float32)
         np.add.at(total, inv, grad)

@@ -552,6 +552,37 @@ def test_toxicity_gradients():
             assert grad[at] == pytest.approx((up - down) / (2 * step), abs=2e-3)
 
 
+def test_toxicity_gradients_of_a_whole_batch():
+    """Every weight and table row against finite differences of the loss."""
+    rng = np.random.default_rng(1)
+    types = ["ab", "abc", "xyzzy", "longerword", "b", "qrs"]
+    d, h = toxicity.DIM, toxicity.HIDDEN
+    shapes = {"wf": (2 * d, 3 * h), "wb": (2 * d, 3 * h), "bf": (3 * h,), "bb": (3 * h,), "uf": (h, 3 * h), "ub": (h, 3 * h), "wa": (2 * h, h), "ba": (h,), "va": (h,), "wo": (2 * h,), "bo": (1,)}
+    p = {k: rng.normal(0, 0.5, v) for k, v in shapes.items()} | {"word": rng.normal(0, 0.5, (toxicity.WORD_ROWS, d)), "gram": rng.normal(0, 0.5, (toxicity.GRAM_ROWS, d))}
+    wid, (gids, gsizes) = toxicity.word_ids(types), toxicity.gram_ids(types)
+    gstart = np.concatenate([[0], np.cumsum(gsizes)])
+    wins = rng.integers(0, len(types), (4, 7))
+    mask = np.arange(7) < np.array([7, 3, 5, 1])[:, None]
+    y, weight = np.array([1.0, 0.0, 1.0, 0.0]), np.array([0.5, 2.0, 1.0, 1.5])
+    run = lambda: toxicity._gradients(p, wins, mask, y, weight, wid, gids, gsizes, gstart, np.random.default_rng(9))
+    _, g, rows = run()
+    full = dict(g)
+    for name, ids, grad in rows:
+        full[name] = np.zeros_like(p[name])
+        np.add.at(full[name], ids, grad)
+    for name, grad in full.items():
+        places = np.argwhere(np.abs(grad) > 1e-4)
+        assert len(places), name
+        for at in map(tuple, places[rng.permutation(len(places))[:8]]):
+            old = p[name][at]
+            p[name][at] = old + 1e-2
+            up = run()[0]
+            p[name][at] = old - 1e-2
+            down = run()[0]
+            p[name][at] = old
+            assert grad[at] == pytest.approx((up - down) / 2e-2, abs=2e-3, rel=2e-2), name
+
+
 def test_quality_votes(spark, awkward, nothing):
     rng = np.random.default_rng(1)
     known, x = rng.normal(size=(50, 6)).astype(np.float32), rng.normal(size=(20, 6)).astype(np.float32)
