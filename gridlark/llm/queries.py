@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlark.llm import bpe, decontaminate, html_text, line_dedup, mpeg_audio, quality, secret_scan, simhash, toxicity, url_templates
+from gridlark.llm import alignment, bpe, decontaminate, filter_audit, html_text, line_dedup, mpeg_audio, ngram_join, quality, secret_scan, simhash, toxicity, url_templates
 from gridlark.llm.common import table
 
 
@@ -46,6 +46,18 @@ def op10_url_templates(spark, sf_dir):
     return url_templates.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_alignment(spark, sf_dir):
+    return alignment.link_scores(table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mpeg_audio": op1_mpeg_audio,
     "op2_simhash": op2_simhash,
@@ -57,6 +69,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_url_templates": op10_url_templates,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_alignment": op12_alignment,
+    "op13_ngram_join": op13_ngram_join,
 }
 
-ORACLES = {"op5_secret_scan": secret_scan.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op5_secret_scan": secret_scan.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
