@@ -4,10 +4,14 @@ Every word enters as its own hashed vector next to the pooled vectors of its cha
 seen still carry their parts. A document is cut into windows that overlap by half; each window goes through the network
 both ways, attention pools the states, and the document takes its highest window.
 
-Training uses at most `TRAIN_DOCS` labelled documents, half of either label, and of each half as many as have `TRAIN_CHARS`
-characters in all, both in the order of the id's hash; of a document's windows the highest ones learn its label. Scoring covers
-every window of every document. Runs of letters and digits longer than `LONGEST`, as in scripts without blanks, enter as
-overlapping pieces, so that no character is left out.
+Training uses at most `TRAIN_DOCS` labelled documents in the order of the id's hash, a third of them toxic at most, and of a
+longer text a run of `TRAIN_TEXT` characters that starts at a place drawn by the id's hash; of a document's windows the highest
+ones learn its label. Rows of words and character sequences that few of these documents use stay zero, since they tell documents
+apart and not labels. A fifth of the documents is kept back: it chooses among the rounds' averaged weights and sets the offset at
+which 0.5 parts the labels, each label counting as often as it does among all labelled documents.
+
+Scoring covers every window of every document. Runs of letters and digits longer than `LONGEST`, as in scripts without blanks,
+enter as overlapping pieces, so that no character is left out.
 
 Cases: null, empty and wordless texts get the score of a window without words; without labels of both kinds every score is
 0; several label rows of one id count as their maximum; equal texts get equal scores; extra columns of the input are
@@ -22,21 +26,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import held_out, text_of
 
-WINDOW, STRIDE = 32, 16
-TRAIN_DOCS, TRAIN_CHARS = 2400, 6_000_000
-EARLY = 3  # rounds in which a document learns from windows drawn at random
+WINDOW, STRIDE = 64, 32
+TRAIN_DOCS, TRAIN_TEXT = 2400, 12_000
+EARLY = 2  # rounds in which a document learns from windows drawn at random
+LEAST_STEPS, STEP = 600, 64  # steps of a small sample, windows of a step
+RARE = 150  # rows that fewer documents use than one in so many aren't learned
+SMOOTH, THINNED = 0.1, 0.2  # what labels are taken to be wrong, character sequences left out in a round
+KEPT_BACK, LEAST_KEPT = 5, 8  # one document in so many; fewer of a label set no offset
 LONGEST, SHARED = 24, 8  # characters of a piece of a long run, and those that it shares with the next one
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
 DIM, HIDDEN = 6, 8
 GRAMS = (3, 4, 6, 8)
 THRESHOLD = 0.5
 CACHE = 400_000  # word types that a worker remembers
-BATCH = 2048  # windows that go through the network together
+BATCH = 1024  # windows that go through the network together
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -228,8 +236,41 @@ class ToxicityModel:
         return _sigmoid(out)
 
 
-def train_numpy(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7) -> ToxicityModel:
-    """Fits the network on whole labelled texts; in each round the highest windows of a document learn its label."""
+def learned_rows(docs: list[np.ndarray], wid: np.ndarray, gids: np.ndarray, gstart: np.ndarray) -> dict[str, np.ndarray]:
+    """The rows of words and character sequences that enough documents use."""
+    words, grams = np.zeros(WORD_ROWS, dtype=np.int32), np.zeros(GRAM_ROWS, dtype=np.int32)
+    for d in docs:
+        types = np.unique(d)
+        words[np.unique(wid[types])] += 1
+        if len(types):
+            grams[np.unique(np.concatenate([gids[gstart[w] : gstart[w + 1]] for w in types]))] += 1
+    least = max(2, len(docs) // RARE)
+    return {"word": words >= least, "gram": grams >= least}
+
+
+def ranked_pairs(scores: np.ndarray, labels: np.ndarray) -> float:
+    """The share of pairs of both labels that the scores order rightly; ties count half."""
+    values, place = np.unique(scores, return_inverse=True)
+    ones, zeros = (np.bincount(place[labels == y], minlength=len(values)) for y in (1, 0))
+    return float((ones * (np.cumsum(zeros) - zeros / 2)).sum() / max(1, ones.sum() * zeros.sum()))
+
+
+def best_cut(scores: np.ndarray, labels: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> float:
+    """The cut with the highest F1, each label's rows counted by their weight; of nearly equal ones a low one, in favour of recall."""
+    cuts = np.sort(scores)
+    cuts = (cuts[1:] + cuts[:-1]) / 2
+    pos, neg = np.sort(scores[labels == 1]), np.sort(scores[labels == 0])
+    hit, wrong = weights[1] * (len(pos) - np.searchsorted(pos, cuts)), weights[0] * (len(neg) - np.searchsorted(neg, cuts))
+    f1 = 2 * hit / np.maximum(1e-9, hit + wrong + weights[1] * len(pos))
+    best = cuts[f1 >= f1.max() - 0.01]
+    return float(best[len(best) // 4])
+
+
+def train_numpy(texts: list[str], labels: np.ndarray, epochs: int = 6, seed: int = 7, weights: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
+    """Fits the network on labelled texts; in each round the highest windows of a document learn its label.
+
+    weights: how many documents a text of label 0 and one of label 1 stand for.
+    """
     labels = np.asarray(labels)
     if not len(labels) or labels.min() == labels.max():
         return ToxicityModel({})
@@ -240,15 +281,16 @@ def train_numpy(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int
     wid = word_ids(types)
     gids, gsizes = gram_ids(types)
     gstart = np.concatenate([[0], np.cumsum(gsizes)])
+    learned = learned_rows(docs, wid, gids, gstart)
     p = {
-        "word": rng.normal(0, 0.05, (WORD_ROWS, DIM)), "gram": rng.normal(0, 0.05, (GRAM_ROWS, DIM)),
+        "word": rng.normal(0, 0.05, (WORD_ROWS, DIM)) * learned["word"][:, None], "gram": rng.normal(0, 0.05, (GRAM_ROWS, DIM)) * learned["gram"][:, None],
         "wf": rng.normal(0, 0.35, (2 * DIM, 3 * HIDDEN)), "wb": rng.normal(0, 0.35, (2 * DIM, 3 * HIDDEN)),
         "bf": np.zeros(3 * HIDDEN), "bb": np.zeros(3 * HIDDEN), "uf": rng.normal(0, 0.3, (HIDDEN, 3 * HIDDEN)), "ub": rng.normal(0, 0.3, (HIDDEN, 3 * HIDDEN)),
         "wa": rng.normal(0, 0.3, (2 * HIDDEN, HIDDEN)), "ba": np.zeros(HIDDEN), "va": rng.normal(0, 0.3, HIDDEN),
         "wo": rng.normal(0, 0.3, 2 * HIDDEN), "bo": np.zeros(1),
     }
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    model = ToxicityModel(p)
+    mean = {k: v.copy() for k, v in p.items()}  # running averages of the weights
     wins, owner, size = [], [], []
     for k, d in enumerate(docs):
         for s in windows_of(len(d)) if len(d) else []:
@@ -256,42 +298,60 @@ def train_numpy(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int
             wins.append(np.pad(part, (0, WINDOW - len(part))))
             owner.append(k)
             size.append(len(part))
+    if not wins:
+        return ToxicityModel({})
     wins, owner, size = np.array(wins, dtype=np.int32), np.array(owner), np.array(size)
     mask = np.arange(WINDOW) < size[:, None]
+    kept = np.zeros(len(docs), dtype=bool)  # kept back
+    for y in (0, 1):
+        mine = rng.permutation(np.flatnonzero(labels == y))
+        kept[mine[: len(mine) // KEPT_BACK]] = True
+    judged = kept if min((labels[kept] == y).sum() for y in (0, 1)) >= LEAST_KEPT else np.ones(len(docs), dtype=bool)
+
+    def heights() -> tuple[np.ndarray, np.ndarray]:
+        """What the averaged weights say of each window and, by its highest one, of each document."""
+        model = ToxicityModel(mean)
+        rows = model.projected(types)
+        of = np.concatenate([model._logits(rows, wins[k : k + BATCH], mask[k : k + BATCH]) for k in range(0, len(wins), BATCH)])
+        top = np.full(len(docs), float(mean["bo"][0]))  # documents without words
+        top[owner] = -np.inf
+        np.maximum.at(top, owner, of)
+        return of, top
+
     rank = rng.random(len(wins))  # as long as the network knows nothing, any windows will do
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    step = 0
-    for epoch in range(epochs):
-        if epoch >= EARLY:
-            rows = model.projected(types)
-            rank = np.concatenate([model._logits(rows, wins[k : k + BATCH], mask[k : k + BATCH]) for k in range(0, len(wins), BATCH)])
+    step, epoch, best = 0, 0, (-1.0, None, 0.0)
+    while epoch < epochs or step < LEAST_STEPS:
         order = np.lexsort((-rank, owner))
         place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-        y_all = labels[owner[order]]
-        pick = order[np.where(y_all == 1, place < (1 if epoch >= EARLY else 4), place < 3)]
-        extra = rng.choice(len(wins), min(len(wins), 800), replace=False)
-        pick = np.concatenate([pick, extra[labels[owner[extra]] == 0]])
-        pick = rng.permutation(pick)
-        y = labels[owner[pick]].astype(np.float32)
-        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) ** 0.5
-        for k in range(0, len(pick), 256):
+        pick = order[place < np.where(labels[owner[order]] == 1, 4 if epoch < EARLY else 3, 3)]
+        extra = rng.choice(len(wins), min(len(wins), 400), replace=False)
+        pick = rng.permutation(np.concatenate([pick, extra[labels[owner[extra]] == 0]]))
+        pick = pick[~kept[owner[pick]]]
+        y = labels[owner[pick]]
+        share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+        weight = np.sqrt(np.where(y == 1, 0.5 / share, 0.5 / (1 - share))).astype(np.float32)
+        target = (y * (1 - 2 * SMOOTH) + SMOOTH).astype(np.float32)
+        some = rng.random(len(gids)) >= THINNED
+        places = np.concatenate([[0], np.cumsum(some)])[gstart]
+        last = max(epochs * -(-len(pick) // STEP), LEAST_STEPS)
+        for k in range(0, len(pick), STEP):
             step += 1
-            _learn(p, moments, step, wins[pick[k : k + 256]], mask[pick[k : k + 256]], y[k : k + 256], weight[k : k + 256].astype(np.float32), wid, gids, gsizes, gstart, 0.01 * (1 - epoch / epochs) + 0.001, rng)
-    # The documents' own highest windows set the offset, so that 0.5 splits them best; of equal cuts a low one, in favour of recall.
-    got = np.full(len(docs), float(p["bo"][0]))
-    rows = model.projected(types)
-    top = np.full(len(docs), -np.inf)
-    np.maximum.at(top, owner, np.concatenate([model._logits(rows, wins[k : k + BATCH], mask[k : k + BATCH]) for k in range(0, len(wins), BATCH)]))
-    got = np.where(np.isfinite(top), top, got)
-    cuts = np.sort(got)
-    cuts = (cuts[1:] + cuts[:-1]) / 2
-    if len(cuts):
-        pos, neg = np.sort(got[labels == 1]), np.sort(got[labels == 0])
-        hit, wrong = len(pos) - np.searchsorted(pos, cuts), len(neg) - np.searchsorted(neg, cuts)
-        f1 = 2 * hit / np.maximum(1, hit + wrong + len(pos))
-        best = np.flatnonzero(f1 >= f1.max() - 1e-9)
-        p["bo"] = (p["bo"] - np.float32(cuts[best[len(best) // 4]])).astype(np.float32)
-    return model
+            part = pick[k : k + STEP]
+            rate = 0.01 * max(0, 1 - step / last) + 0.0005
+            _learn(p, moments, step, wins[part], mask[part], target[k : k + STEP], weight[k : k + STEP], wid, gids[some], np.diff(places), places, rate, rng, learned)
+            keep = min(0.98, (1 + step) / (10 + step))
+            for name, v in mean.items():
+                v += (1 - keep) * (p[name] - v)
+        epoch += 1
+        if epoch >= EARLY:
+            rank, top = heights()
+            right = ranked_pairs(top[judged], labels[judged])
+            if right >= best[0]:
+                best = right, {k: v.copy() for k, v in mean.items()}, best_cut(top[judged], labels[judged], weights)
+    _, found, cut = best if best[1] is not None else (0, mean, 0.0)
+    found["bo"] = (found["bo"] - np.float32(cut)).astype(np.float32)
+    return ToxicityModel(found)
 
 
 def _gradients(p, wins, mask, y, weight, wid, gids, gsizes, gstart, rng):
@@ -341,10 +401,11 @@ def _gradients(p, wins, mask, y, weight, wid, gids, gsizes, gstart, rng):
     return loss, g, rows
 
 
-def _learn(p, moments, step, wins, mask, y, weight, wid, gids, gsizes, gstart, rate, rng):
+def _learn(p, moments, step, wins, mask, y, weight, wid, gids, gsizes, gstart, rate, rng, learned):
     """One Adam step on a batch of windows."""
     _, g, rows = _gradients(p, wins, mask, y, weight, wid, gids, gsizes, gstart, rng)
     for name, ids, grad in rows:
+        ids, grad = ids[learned[name][ids]], grad[learned[name][ids]]
         where, inv = np.unique(ids, return_inverse=True)
         total = np.zeros((len(where), DIM), dtype=np.float32)
         np.add.at(total, inv, grad)
@@ -366,13 +427,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy(F.col("doc_id").alias("_id"))
         .agg(F.max("toxic").cast("int").alias("_label"))
     )
-    drawn = [known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS // 2) for y in (0, 1)]
+    counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).where("_label in (0, 1)").collect()}  # two rows at most
+    if len(counts) < 2:
+        return ToxicityModel({})
+    ones = min(counts[1], TRAIN_DOCS // 3)
+    taken = {1: ones, 0: min(counts[0], TRAIN_DOCS - ones)}
+    drawn = [known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(taken[y]) for y in (0, 1)]
     found = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(drawn[0].union(drawn[1])), "_id")
     # An id may repeat in any number of rows: its least text counts, so that the sample stays bounded.
     rows = found.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
-    so_far = F.sum(F.char_length("_text")).over(Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id"))  # TRAIN_DOCS rows
-    rows = rows.withColumn("_chars", so_far).where(F.col("_chars") <= TRAIN_CHARS).orderBy("_id").select("_text", "_label").toPandas()
-    return train_numpy(rows["_text"].to_list(), rows["_label"].to_numpy())
+    start = F.pmod(F.xxhash64("_id"), F.greatest(F.lit(1), F.char_length("_text") - TRAIN_TEXT + 1)).cast("int") + 1
+    rows = rows.select("_id", F.substring("_text", start, F.lit(TRAIN_TEXT)).alias("_text"), "_label").orderBy("_id").toPandas()
+    labels_of = rows["_label"].to_numpy()
+    # Labelled ids without a document change nothing: both weights are taken from the labels alone.
+    return train_numpy(rows["_text"].to_list(), labels_of, weights=(counts[0] / taken[0], counts[1] / taken[1]))
 
 
 def scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text"):
