@@ -2,11 +2,12 @@
 
 Each paragraph earns points for its length and its commas; the points go to its ancestors, whole to the parent and half as
 much to each one above, and every container's sum is discounted by the share of its text that stands in links. The best
-container, or the article element around it, is kept together with the siblings that look like more of the same article.
+container (of rows their table, and the article element around it) is kept together with the siblings that look like more of the same article.
 
 Scripts, styles and other parts without text never count. Menus, headers, footers, notices, adverts, forms and comment threads,
 known by their elements, roles or class names, go before containers are scored, unless the page's article is in them: names
-such as `layout header-fixed` or a form around the whole page say nothing if most points of the page are inside.
+such as `layout header-fixed` or a form around the whole page say nothing if most points of the page are inside. A header
+or footer element inside the article goes too, with the title or standfirst that it holds.
 
 Cases: a null, empty or text-free page gives an empty string; broken markup (unclosed or stray tags) is repaired as
 browsers do for paragraphs, lists and cells, within skipped parts too, and unknown declarations are comments; pages without a scored paragraph fall back to the body; equal pages give equal rows;
@@ -32,7 +33,10 @@ NEVER = frozenset("script style noscript template svg math iframe object embed c
 ASIDE = frozenset("nav header footer aside form menu label fieldset".split())
 CLOSES_P = BLOCK - frozenset("body html title tr td th tbody thead tfoot caption li dt dd".split())
 SCOPE = frozenset("html body table td th caption div article section main aside nav header footer form blockquote".split())
-PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_CELL, _ROW, _ROWS = {"td", "th"}, {"tr"}, {"tbody", "thead", "tfoot", "caption"}
+#: What a start tag closes, from the inside out: a cell ends with the next cell, row or group of rows, whether its end tag stands there or not.
+PEERS = {"li": [{"li"}], "dt": [{"dt", "dd"}], "dd": [{"dt", "dd"}], "option": [{"option"}], "td": [_CELL], "th": [_CELL], "tr": [_CELL, _ROW, {"caption"}]}
+PEERS |= {tag: [_CELL, _ROW, _ROWS] for tag in ("tbody", "thead", "tfoot")}
 BOILER = re.compile(
     r"(^|[_-])(ads?|advert\w*|adsense|adbox|sponsor\w*|banner|promo\w*|outbrain|taboola|sidebar|side-?bar|menu|nav|navbar|"
     r"navigation|breadcrumbs?|pagination|pager|footer|foot|header|masthead|topbar|cookies?|consent|gdpr|notice|alert|modal|popup|"
@@ -112,7 +116,8 @@ class _Tree(HTMLParser):
         if tag in CLOSES_P and self.at.p_open:
             self._close_to({"p"}, SCOPE)
         if tag in PEERS:
-            self._close_to(PEERS[tag], {"ul", "ol", "dl", "table", "select"})
+            for tags in PEERS[tag]:
+                self._close_to(tags, {"ul", "ol", "dl", "table", "select"})
         off, attrs = self.at.off, dict(attrs)
         kind = "" if self.dead else kind_of(tag, attrs)
         if not kind and tag in ("html", "body") and (tag == "html" or off or any(isinstance(k, Node) and k.tag == "body" for k in self.root.kids)):
@@ -271,6 +276,8 @@ def kept_parts(best: Node) -> list[Node]:
     while around is not None and around.tag != "article":
         around = around.parent
     best = around or best
+    while best.tag in ("tr", *_ROWS) and best.parent is not None:  # rows of running text: their table
+        best = best.parent
     if best.parent is None or best.tag == "body":
         return [best]
     out = []

@@ -289,6 +289,102 @@ def test_main_text_deep_pages():
         assert time.time() - began < 10
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div><p>Before the table, a paragraph, with commas.</p>{}</div>"])
+def test_main_text_of_unclosed_rows(wrap):
+    """Cells, rows and groups of rows without end tags, as HTML allows, against the same table with all of them."""
+    lines = [f"Row {k}, a cell of running text, with commas, that is long enough to be scored." for k in range(20_000)]
+    loose = "<table><caption>Rows<thead><tr><th>Head<tbody>" + "".join(f"<tr><td>{x}<td>{k}" for k, x in enumerate(lines)) + "<tfoot><tr><td>Foot</table>"
+    tight = "<table><caption>Rows</caption><thead><tr><th>Head</th></tr></thead><tbody>"
+    tight += "".join(f"<tr><td>{x}</td><td>{k}</td></tr>" for k, x in enumerate(lines)) + "</tbody><tfoot><tr><td>Foot</td></tr></tfoot></table>"
+    began = time.time()
+    got = html_text.main_text(wrap.format(loose))
+    assert time.time() - began < 10
+    assert got == html_text.main_text(wrap.format(tight)) and set(lines) <= set(got.split("\n")) and got.endswith("\n19999\nFoot")
+
+
+def slow_scores(root):
+    """(score, node) of every container by plain recursion: points of the paragraphs below, whole for a parent, halved for each level above."""
+
+    def size(n, links=False, inner=True):
+        if links and n.tag == "a":
+            return size(n, False, inner)
+        return sum((0 if links else len(k.strip())) if isinstance(k, str) else size(k, links, inner) if inner or k.tag not in html_text.BLOCK else 0 for k in n.kids or ())
+
+    def commas(n):
+        return sum(len(re.findall("[,،、，]", k)) if isinstance(k, str) else commas(k) if k.tag not in html_text.BLOCK else 0 for k in n.kids or ())
+
+    def points(n):
+        own = size(n, inner=False)
+        if not own or n.tag not in html_text.BLOCK or n.tag.startswith("h") or (own < 25 and n.tag not in html_text.PARAGRAPH):
+            return 0.0
+        return (1 + commas(n) + min(own / 100, 3)) * (1 - size(n, True, False) / own)
+
+    def received(n):
+        """What the nodes below hand to n: a paragraph its points, all what they have received themselves, halved."""
+        total = 0.0
+        for k in n.kids or ():
+            if not isinstance(k, str):
+                paragraph = k.tag in html_text.PARAGRAPH
+                total += (points(k) if paragraph else 0.0) + ((0.0 if paragraph else points(k)) + received(k)) / 2
+        return total
+
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        todo += [k for k in n.kids or () if not isinstance(k, str)]
+        total = received(n) + (0.0 if n.tag in html_text.PARAGRAPH else points(n))
+        named = bool(html_text.ARTICLE.search(f"{n.attrs.get('class') or ''} {n.attrs.get('id') or ''}"))
+        bonus = 25.0 * (n.tag in ("article", "main")) + 15.0 * named
+        if total > 0:
+            out.append(((total + bonus) * (1 - (size(n, True) / size(n) if size(n) else 0.0)), n))
+    return out
+
+
+def test_main_text_scores_by_recursion():
+    rng = random.Random(21)
+
+    def page(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return " ".join(rng.choice(["word", "comma,", "longer-word", "<a href=x>link text</a>", "<b>bold, too</b>"]) for _ in range(rng.randrange(12)))
+        tag = rng.choice(["div", "p", "section", "article", "ul", "li", "td", "blockquote", "h2", "span", "div class=content", "div class=x"])
+        return f"<{tag}>" + "".join(page(depth - 1) for _ in range(rng.randrange(1, 5))) + f"</{tag.split()[0]}>"
+
+    found = 0
+    for _ in range(300):
+        tree = html_text._Tree()
+        tree.feed(page(5))
+        tree.close()
+        html_text.drop_asides(tree.root)
+        order = html_text._walk(tree.root)
+        html_text._measure(order)
+        best, want = html_text.best_container(order), slow_scores(tree.root)
+        assert (best is None) == (not want)
+        if want:
+            found += 1
+            assert best.score == pytest.approx(max(s for s, _ in want)) and best.score == pytest.approx(next(s for s, n in want if n is best))
+    assert found > 200
+
+
+def test_main_text_recall_on_made_pages():
+    """Articles in several layouts: what is kept of the article and of the furniture around it, by lines."""
+    rng = random.Random(22)
+    kept = lost = stayed = gone = 0
+    for _ in range(200):
+        words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) + rng.choice(["", "", "", ","]) for _ in range(n))
+        article = [words(rng.randrange(20, 80)) for _ in range(rng.randrange(3, 12))]
+        side = [words(rng.randrange(2, 12)) for _ in range(12)]
+        nav = "<nav><ul>" + "".join(f"<li><a href=x>{x}</a>" for x in side[:4]) + "</ul></nav>"
+        box = f"<div class={rng.choice(['sidebar', 'related', 'ad-banner', 'cookie-notice', 'newsletter'])}><p>{side[4]}</p><p>{side[5]}</p></div>"
+        end = f"<footer>{side[6]}</footer><div id=comments>" + "".join(f"<div class=comment><p>{x}</p></div>" for x in side[7:]) + "</div>"
+        body = "".join(f"<p>{x}</p>" if rng.random() < 0.9 else f"<blockquote>{x}</blockquote>" for x in article)
+        wrap = rng.choice(["<article>{}</article>", "<div class=post>{}</div>", "<div>{}</div>", "<main><div><div>{}</div></div></main>", "<table><tr><td>{}<td>" + side[0] + "</table>"])
+        got = set(html_text.main_text(f"<html><body>{nav}<div>{box}{wrap.format(body)}</div>{end}</body></html>").split("\n"))
+        kept, lost = kept + sum(x in got for x in article), lost + sum(x not in got for x in article)
+        stayed, gone = stayed + sum(x in got for x in side[1:]), gone + sum(x not in got for x in side[1:])
+    print("article lines kept", kept / (kept + lost), "furniture lines dropped", gone / (gone + stayed))
+    assert kept >= 0.99 * (kept + lost) and gone >= 0.97 * (gone + stayed)
+
+
 def test_main_text_reads_any_markup():
     rng = random.Random(8)
     parts = ["<![", "<!", "<!--", "-->", "]]>", "]>", ">", "<", "</", "<p>", "</p>", "<div class=ad>", "</div>", "<script>", "</script>", "<a href='", "&#", "&#x", "x", " ", '"', "=", "<?", "[if", "doctype", "<td>", "<li>", "/>"]
