@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gridlark.operators import daily as D
 from gridlark.plans.core import _SUM, COLLAPSE, SUMS, pixels
 from gridlark.plans.inputs import OBS, rounded, table
+from gridlark.session import scratch
 from gridlark.sources import store
 
 
-def scratch(spark) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, or in local mode under the warehouse where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{top or spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
-
-
 def partials_on_disk(spark, sf_dir):
     """Daily partials written in two runs, the second of which repeats some days, read back and added up."""
     by_day = D.accumulate(pixels(spark, sf_dir), ["day", "cell"])
