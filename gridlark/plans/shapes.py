@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import base64
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gridlark.operators import overlays as V
 from gridlark.plans.inputs import rounded, table
 from gridlark.plans.statistics import _boxes
+from gridlark.session import scratch
+from gridlark.sources import shapefile
 
 
 def _ring(*points):
@@ -62,7 +67,33 @@ def dissolved_domain(spark, sf_dir):
     return rounded(rings.groupBy("region").agg(F.sum("area").alias("area"), F.sum(F.size("points")).alias("edges")), "area")
 
 
-QUERIES = {f.__name__: f for f in (clipped_shapes, class_areas, repaired_shapes, dissolved_domain)}
+def shapefile_records(spark, sf_dir):
+    """Archives of 64 suppliers' boxes each, written to disk and scanned as files: each record with its state, day and area.
+
+    Text is the only sink of Spark whose files are a row's own bytes, so the archives stand in base64.
+    """
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("shape"), F.col("s_nationkey"))
+    day = F.when(F.col("shape") % 13 == 0, "2021001").when(F.col("shape") % 7 == 0, "someday").otherwise(F.concat(F.lit("2020"), F.lpad((F.col("shape") % 366 + 1).cast("string"), 3, "0")))
+    kind = F.element_at(F.array(F.lit(" light"), F.lit("HEAVY"), F.lit("Medium")), (F.col("s_nationkey") % 3 + 1).cast("int"))
+    flat = _boxes(spark, sf_dir).join(s, "shape").select("shape", (F.col("shape") / 64).cast("int").alias("archive"), F.expr("flatten(transform(rings[0], p -> array(p.x, p.y)))").alias("xy"), day.alias("start"), kind.alias("kind"))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in part.sort_values("shape").itertuples():
+            ring = [(r.xy[k], r.xy[k + 1]) for k in range(0, len(r.xy), 2)]
+            rows.append((None if r.shape % 11 == 0 else [ring], {"Id": str(r.shape), "Start": f"{r.start} 1546", "Density": r.kind}))
+        return pd.DataFrame({"archive": part["archive"].iloc[:1], "value": [base64.b64encode(shapefile.packed(rows)).decode()]})
+
+    path = scratch(spark)
+    flat.groupBy("archive").applyInPandas(pack, "archive int, value string").write.partitionBy("archive").text(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
+    found = shapefile.dated(shapefile.features(files.select("path", F.unbase64(F.decode("content", "UTF-8")).alias("content")), 20), 2020)
+    area = F.when(F.col("state") == "kept", V.ring_area("rings"))
+    out = found.select(F.col("attributes")["Id"].cast("long").alias("shape"), "state", F.when(F.col("state") == "kept", F.col("day").cast("string")).alias("day"), "density", F.abs(area).alias("area"))
+    return rounded(out, "area")
+
+
+QUERIES = {f.__name__: f for f in (clipped_shapes, class_areas, repaired_shapes, dissolved_domain, shapefile_records)}
 
 _DOMAIN = """d AS (SELECT r_regionkey AS part, -124 + r_regionkey * 21 AS px FROM region),
 dp AS (SELECT part, px AS dx0, px + 17 AS dx1, CAST(26.5 AS DOUBLE) AS dy0, CAST(43.25 AS DOUBLE) AS dy1, 1 AS sign FROM d UNION ALL SELECT part, px + 5, px + 9, 30, 36.5, -1 FROM d),
@@ -82,6 +113,9 @@ a AS (SELECT day, class, sum((x2 - x) * (y2 - y)) AS area FROM held GROUP BY ALL
 spine AS (SELECT DISTINCT day, c.class FROM b, (VALUES ('all'), ('light'), ('medium'), ('heavy')) c(class))
 SELECT day, class, round(coalesce(area, 0), 6) AS area, coalesce(n, 0) AS n FROM spine LEFT JOIN a USING (day, class) LEFT JOIN n USING (day, class)""",
     "repaired_shapes": "SELECT s_suppkey AS shape, 2 AS n, round((1 + s_suppkey % 5) * (CAST(0.5 AS DOUBLE) + s_suppkey % 4) / 2, 6) AS area FROM supplier WHERE s_suppkey % 3 <> 0",
+    "shapefile_records": """WITH b AS (SELECT s_suppkey AS shape, CASE WHEN s_suppkey % 11 = 0 THEN 'unreadable' WHEN s_suppkey % 13 = 0 THEN 'other year' WHEN s_suppkey % 7 = 0 THEN 'no date' ELSE 'kept' END AS state,
+  ['Light', 'Heavy', 'Medium'][s_nationkey % 3 + 1] AS density, (1 + s_suppkey % 5) * (CAST(0.5 AS DOUBLE) + s_suppkey % 3) AS area FROM supplier)
+SELECT shape, state, CASE WHEN state = 'kept' THEN CAST(CAST(DATE '2020-01-01' + CAST(shape % 366 AS INT) AS DATE) AS VARCHAR) END AS day, density, CASE WHEN state = 'kept' THEN round(area, 6) END AS area FROM b""",
     "dissolved_domain": f"""WITH q AS (SELECT n_regionkey AS region, s_suppkey % {_WIDE} AS x, s_suppkey // {_WIDE} AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey NOT IN {_LEFT_OUT}),
 e AS (SELECT region, x, y, 0 AS k FROM q UNION ALL SELECT region, x, y + 1, 0 FROM q UNION ALL SELECT region, x, y, 1 FROM q UNION ALL SELECT region, x + 1, y, 1 FROM q),
 o AS (SELECT region FROM e GROUP BY region, x, y, k HAVING count(*) = 1)
