@@ -9,12 +9,13 @@ The ids that a link joins are counted over the whole corpus, then each text's li
 tokens end together, so the bytes of one are a suffix of the other's: the vocabularies bound the different pairs (`most_pairs`,
 about 275,000 for the files used), whatever the corpus. The counts are broadcast up to that proven bound.
 
-Long texts are encoded in pieces. A cut stands between an ASCII letter and a space that a letter follows: the pattern of A ends a
-match there, and no entry of B has a space after another character, so no merge of either crosses it. The space goes to the
-second piece, where it is the one that stands before every text.
+Texts are cut into words: a cut stands between a character that isn't white space and a space. The pattern of A ends a match
+there, and no entry of B has a space after another character, so no merge of either crosses it. Both sides have an end there,
+so groups don't cross it either, and each different word is encoded and aligned once while a worker remembers it. The space
+goes to the word after the cut, where it is the one that B puts before every text.
 
 Cases: null and empty texts, and texts of which either tokenizer doesn't give the bytes back (B writes U+2581 as a space), have
-no tokens: zeros and an empty digest; a text without any cut is encoded in one piece; rows that repeat an id stay rows of their
+no tokens: zeros and an empty digest; a text without any cut is encoded as one word, however long; rows that repeat an id stay rows of their
 own, and each counts; extra columns of the input are ignored; an empty table gives an empty table.
 """
 
@@ -32,14 +33,18 @@ from pyspark.sql import functions as F
 
 from gridlark.llm.common import bounded, text_of, written
 
-#: Code points after which the next cut is taken.
-PIECE = 1 << 15
-#: Code points that are encoded in one call.
-CALL = 1 << 18
+#: So many words a worker remembers, none longer than LONGEST code points; the others are encoded each time.
+REMEMBERED, LONGEST = 400_000, 40
+#: Code points of the texts that are aligned together.
+TOGETHER = 1 << 18
 #: A pair of ids as one number: A's id times this, plus B's id.
 WIDE = 1 << 24
-_CUT = re.compile(r"(?<=[A-Za-z])\x20(?=[A-Za-z])")
+#: A cut has a character after its space: a last space stays with the word before it.
+_CUT = re.compile(r"(?<=\S)\x20(?=[\s\S])")
+#: White space before a space or at the end: elsewhere each space is a cut.
+_UNEVEN = re.compile(r"\s(?:\x20|\Z)")
 _loaded: dict = {}
+_words: dict = {}
 
 
 def files(a_path: str | None = None, b_path: str | None = None) -> tuple[bytes, bytes]:
@@ -103,6 +108,8 @@ def _side_b(model: bytes) -> Side:
     for k in range(coder.get_piece_size()):
         piece = coder.id_to_piece(k)
         entries.append(bytes([int(piece[3:5], 16)]) if coder.is_byte(k) else piece.replace("▁", " ").encode())
+    if any(re.search(rb"[^ ] ", e) for e in entries):
+        raise ValueError("an entry goes on after a space, so texts can't be cut there")
     return Side(lambda texts: coder.encode(texts, num_threads=1), entries)
 
 
@@ -114,17 +121,12 @@ def most_pairs(a: Side, b: Side) -> int:
     return suffixes(a.entries, times[1], 0) + suffixes(b.entries, times[0], 1) + empty[0] * len(b.entries) + empty[1] * len(a.entries)
 
 
-def pieces(text: str, size: int = PIECE) -> list[str]:
-    """The text cut at single spaces, which belong to neither piece; joined by spaces, the pieces are the text."""
-    out, at = [], 0
-    while len(text) - at > size:
-        found = _CUT.search(text, at + size)
-        if not found:
-            break
-        out.append(text[at : found.start()])
-        at = found.end()
-    out.append(text[at:])
-    return out
+def words_of(text: str) -> list[str]:
+    """The text cut at single spaces, which belong to neither word; joined by spaces, the words are the text."""
+    if not _UNEVEN.search(" " + text):
+        return text.split(" ")
+    first, *rest = _CUT.split(" " + text)
+    return [first[1:], *rest]
 
 
 def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,57 +166,111 @@ def written_groups(a: Side, b: Side, ids_a: np.ndarray, ids_b: np.ndarray, upto_
     return b"".join(np.concatenate([a.names[mark_a, ids_a], b.names[mark_b, ids_b]])[order].tolist())
 
 
-def align(a: Side, b: Side, texts: list[str], size: int = PIECE) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+def _ragged(word: str) -> bool:
+    """White space stands at one of its ends, or it is empty."""
+    return not word or word[0].isspace() or word[-1].isspace()
+
+
+class Words:
+    """Words aligned so far: tokens of either side and groups of each, its groups as written, and its linked pairs of ids."""
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b = a, b
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sizes = np.zeros((0, 4), dtype=np.int64)  # A tokens, B tokens, groups, links; -1 where the bytes don't come back
+        self.texts: list[bytes] = []
+        self.pairs: list[bytes] = []  # longs
+
+    def add(self, words: list[str]) -> None:
+        """Aligns all words at once: as each ends with a shared end, they can stand behind one another."""
+        words = sorted(words, key=_ragged)
+        raw = [b" " + w.encode() for w in words]
+        ends = np.cumsum([len(r) for r in raw])
+        ids, good = self._joined(words, raw, ends)
+        if ids is None:
+            ids, good = self._each(words, raw)
+            ends = np.cumsum([len(r) if ok else 0 for r, ok in zip(raw, good)])
+        of_a, of_b = np.cumsum(self.a.lengths[ids[0]]), np.cumsum(self.b.lengths[ids[1]])
+        upto_a, upto_b, link_a, link_b = groups(of_a, of_b)
+        upto = [np.searchsorted(of, ends, "right") for of in (of_a, of_b)]  # tokens of either side up to each word's end
+        upto += [np.searchsorted(upto_a, upto[0], "right"), np.searchsorted(link_a, upto[0])]  # groups and links
+        sizes = np.diff(np.stack(upto, axis=1), axis=0, prepend=0)
+        sizes[~good] = -1
+        written = written_groups(self.a, self.b, *ids, upto_a, upto_b).split(b";")[:-1]
+        pairs = (ids[0][link_a] * WIDE + ids[1][link_b]).tobytes()
+        self.known.update(zip(words, range(len(self.texts), len(self.texts) + len(words))))
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.texts += [b";".join(written[x:y]) for x, y in zip([0, *upto[2].tolist()], upto[2].tolist())]
+        self.pairs += [pairs[8 * x : 8 * y] for x, y in zip([0, *upto[3].tolist()], upto[3].tolist())]
+
+    def _joined(self, words: list[str], raw: list[bytes], ends: np.ndarray) -> tuple[list[np.ndarray] | None, np.ndarray | None]:
+        """Ids of either side, words without white space at their ends encoded in one text; None if the bytes don't come back."""
+        n = sum(not _ragged(w) for w in words)
+        texts = [" ".join(words[:n])] * (n > 0) + words[n:]
+        whole, out = b"".join(raw), []
+        for side in (self.a, self.b):
+            ids = [k for x in side.encode(texts) for k in x]
+            if b"".join([side.entries[k] for k in ids]) != whole:
+                return None, None
+            out.append(np.array(ids, dtype=np.int64))
+            of = np.cumsum(side.lengths[out[-1]])
+            if (of[np.searchsorted(of, ends)] != ends).any():
+                return None, None
+        return out, np.ones(len(words), dtype=bool)
+
+    def _each(self, words: list[str], raw: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The same word by word; those that don't come back get no ids."""
+        coded = [side.encode(words) for side in (self.a, self.b)]
+        good = [all(b"".join([side.entries[k] for k in ids]) == r for side, ids in zip((self.a, self.b), both)) for r, *both in zip(raw, *coded)]
+        return [np.array([k for x, ok in zip(ids, good) if ok for k in x], dtype=np.int64) for ids in coded], np.array(good, dtype=bool)
+
+    def forget(self) -> None:
+        """Keeps within the bounds."""
+        if len(self.known) > REMEMBERED or any(len(w) > LONGEST for w in self.fresh):
+            self.clear()
+
+    def of(self, texts: list[list[str]]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        self.fresh = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in self.known]
+        if self.fresh:
+            self.add(self.fresh)
+        for words in texts:
+            at = np.fromiter((self.known[w] for w in words), dtype=np.int64, count=len(words))
+            n = self.sizes[at].sum(0) if len(at) else np.zeros(4, dtype=np.int64)
+            if not len(at) or (self.sizes[at, 0] < 0).any():
+                yield 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+                continue
+            places = at.tolist()
+            sha = hashlib.sha256(b";".join([self.texts[k] for k in places])).hexdigest()
+            pairs, times = np.unique(np.frombuffer(b"".join([self.pairs[k] for k in places]), dtype=np.int64), return_counts=True)
+            yield *n.tolist(), sha, pairs, times
+        self.forget()
+
+
+def align(words: Words, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
     """For each text (n_a, n_b, n_groups, n_links, groups_sha256, different linked pairs, their numbers of links)."""
-    nothing = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for some in _calls(texts, size):
-        parts = [p for _, ps in some for p in ps]
-        coded = list(zip(parts, a.encode(parts), b.encode(parts)))
-        at = 0
-        for text, ps in some:
-            mine, at = coded[at : at + len(ps)], at + len(ps)
-            yield _aligned(a, b, mine) if text else nothing
-
-
-def _calls(texts: list[str], size: int) -> Iterator[list[tuple[str, list[str]]]]:
-    """Texts with their pieces, in runs of about CALL code points, so that one call's ids stay few."""
     run, n = [], 0
     for t in texts:
-        run.append((t, pieces(t, size) if t else []))
+        run.append(words_of(t) if t else [])
         n += len(t)
-        if n >= CALL:
-            yield run
+        if n >= TOGETHER:
+            yield from words.of(run)
             run, n = [], 0
-    if run:
-        yield run
-
-
-def _aligned(a: Side, b: Side, coded: list) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-    n_a = n_b = n_groups = n_links = 0
-    digest, last, found = hashlib.sha256(), b"", []
-    for part, ids_a, ids_b in coded:
-        bytes_of = b" " + part.encode()
-        if any(b"".join([side.entries[k] for k in ids]) != bytes_of for side, ids in ((a, ids_a), (b, ids_b))):
-            return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids_a, ids_b = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
-        upto_a, upto_b, link_a, link_b = groups(np.cumsum(a.lengths[ids_a]), np.cumsum(b.lengths[ids_b]))
-        digest.update(last)
-        text = written_groups(a, b, ids_a, ids_b, upto_a, upto_b)
-        digest.update(text[:-1])  # the last semicolon only stands before another piece
-        last = text[-1:]
-        n_a, n_b, n_groups, n_links = n_a + len(ids_a), n_b + len(ids_b), n_groups + len(upto_a), n_links + len(link_a)
-        found.append(ids_a[link_a] * WIDE + ids_b[link_b])
-    pairs, times = np.unique(np.concatenate(found), return_counts=True)
-    return n_a, n_b, n_groups, n_links, digest.hexdigest(), pairs, times.astype(np.int64)
-
-
-def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of_files: tuple[bytes, bytes] | None = None, size: int = PIECE) -> DataFrame:
+    yield from words.of(run)
+
+
+def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of_files: tuple[bytes, bytes] | None = None) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of every row; pairs: its different linked id pairs."""
     shipped = docs.sparkSession.sparkContext.broadcast(of_files or files())
 
     @F.pandas_udf("n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(align(*sides(shipped.value), list(texts), size), columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        both = sides(shipped.value)
+        words = _words[id(both)] = _words.get(id(both)) or Words(*both)  # a worker's tasks share what it remembers
+        for texts in batches:
+            yield pd.DataFrame(align(words, list(texts)), columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
     return docs.select(F.col(id_col).alias("_id"), of(text_of(text_col)).alias("_x")).select("_id", "_x.*")
 
@@ -227,11 +283,11 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return links.join(top, "b").select("pair", "count", (F.col("count") == F.col("top")).alias("best"))
 
 
-def link_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of_files: tuple[bytes, bytes] | None = None, size: int = PIECE) -> DataFrame:
+def link_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of_files: tuple[bytes, bytes] | None = None) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row."""
     of_files = of_files or files()
     # A number tells rows of one id apart.
-    rows = written(aligned(docs, id_col, text_col, of_files, size).withColumn("_at", F.monotonically_increasing_id()), "aligned")
+    rows = written(aligned(docs, id_col, text_col, of_files).withColumn("_at", F.monotonically_increasing_id()), "aligned")
     counts = bounded(written(pair_counts(rows), "pair-counts"), most_pairs(*sides(of_files)))
     own = ["_at", "_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     # The pairs of a row are read, looked up and added up again in one task.

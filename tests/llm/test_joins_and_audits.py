@@ -155,21 +155,24 @@ def scored(df):
 def test_alignment_of_awkward_rows(awkward, both):
     docs = [(r.doc_id, r.text) for r in awkward.collect()]
     want = [(i, *x) for (i, _), x in zip(docs, slow_alignment(both, [t for _, t in docs]))]
-    for size in (1 << 15, 7):
-        assert sorted(scored(alignment.link_scores(awkward, size=size)), key=str) == sorted(want, key=str)
+    assert sorted(scored(alignment.link_scores(awkward)), key=str) == sorted(want, key=str)
     by_id = {i: x for i, *x in want}
     assert by_id[11] == [0, 0, 0, 0, 0, 0, ""] and by_id[2] == by_id[1] == by_id[11] and by_id[12][0] > 5
     assert alignment.link_scores(awkward.where("1 = 0")).count() == 0
 
 
-def test_alignment_in_pieces(both):
+def test_alignment_by_words(both, monkeypatch):
+    """Texts cut into remembered words against texts in one piece."""
     rng = random.Random(12)
-    letters = ["a", "Be", "the", " ", "  ", "\n", "é", "日本", "1", "12", "'s", ".", "😀", "\t", "x y", "ing", "\x00", " "]
-    for _ in range(200):
-        t = "".join(rng.choices(letters, k=rng.randrange(1, 60)))
-        assert " ".join(alignment.pieces(t, 3)) == t
-        cut, whole = (list(alignment.align(*both, [t], size))[0] for size in (3, 1 << 20))
-        assert cut[:5] == whole[:5] and cut[5].tolist() == whole[5].tolist() and cut[6].tolist() == whole[6].tolist()
+    letters = ["a", "Be", "the", " ", "  ", "\n", "é", "日本", "1", "12", "'s", ".", "😀", "\t", "x y", "ing", "\x00", " ", "\u00a0", "\u3000", "\x85", "▁"]
+    texts = ["".join(rng.choices(letters[:-1] if rng.random() < 0.9 else letters, k=rng.randrange(60))) for _ in range(600)] + [" ", "a ", " a", "a\n ", "  ", "word " * 50 + "w" * 500]
+    for t in texts:
+        assert " ".join(alignment.words_of(t)) == t
+    want = [(*x[:4], x[6]) for x in slow_alignment(both, texts)]
+    monkeypatch.setattr(alignment, "TOGETHER", 500)
+    monkeypatch.setattr(alignment, "REMEMBERED", 50)
+    got = list(alignment.align(alignment.Words(*both), texts))
+    assert [x[:5] for x in got] == want and all(int(x[6].sum()) == x[3] for x in got) and sum(x[0] > 0 for x in got) > 400
 
 
 def test_overlaps_cover_all_bytes():
