@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.functions.columns import ratio
-from gridlark.functions.grid import Grid, cos_weight
+from gridlark.functions.grid import Albers, Grid, cos_weight, sinusoidal_centres
 
 
 def binned_pairs(points: DataFrame, shapes: DataFrame, bin_size: float) -> DataFrame:
@@ -62,6 +62,17 @@ def covered_area(hits: DataFrame, keys: Sequence[str], cell: str, cell_area: Col
     return hits.select(*keys, cell, cell_area.alias("_area")).distinct().groupBy(*keys).agg(F.sum("_area").alias("area"), F.count("*").alias("cells"))
 
 
+def cell_dimension(tiles: DataFrame, shapes: DataFrame, grid: Grid, pixels: int, bin_size: float = 2.0) -> DataFrame:
+    """(h, v, pixel, cell) of each pixel centre of the tiles (h, v) that lies in one of the shapes (rings, in lon and lat) and on the grid.
+
+    The whole chain: sinusoidal tile, lon and lat, ray cast without the border, Albers, cell. Store it once with store.write_bucketed.
+    """
+    places = tiles.select("h", "v").distinct().withColumn("pixel", F.explode(F.sequence(F.lit(0), F.lit(pixels * pixels - 1))))
+    lon, lat = sinusoidal_centres(F.col("h"), F.col("v"), F.floor(F.col("pixel") / pixels), F.col("pixel") % pixels, pixels)
+    seen = point_in_polygon(places.withColumn("x", lon).withColumn("y", lat), shapes.select("rings"), bin_size, edge=False)
+    return seen.select("h", "v", "pixel", grid.cell(*Albers().forward(F.col("x"), F.col("y"))).alias("cell")).where("cell is not null").distinct()
+
+
 def remap(fine: DataFrame, grid: Grid, x: Column, y: Column, value: str, lat: Column, keys: Sequence[str], in_domain: Column) -> DataFrame:
     """Coarse cells as weighted means of the fine cells whose centre they hold; land: weighted share inside the domain."""
     w = cos_weight(lat)
@@ -71,21 +82,35 @@ def remap(fine: DataFrame, grid: Grid, x: Column, y: Column, value: str, lat: Co
     )
 
 
-def smoothed(cells: DataFrame, value: str, sigma: float, reach: int, least: float = 0.35) -> DataFrame:
-    """Masked Gaussian smoothing: each cell hands its value to its neighbours, sums are divided by the weight that arrived.
+def smoothed(cells: DataFrame, value: str, sigma: float, reach: int, least: float = 0.35, tile: int = 256) -> DataFrame:
+    """Masked Gaussian smoothing: the weighted mean of the values within reach, for the cells whose neighbours have more than the least weight.
 
-    A stencil of (2 reach + 1)^2 shares for each cell and one groupBy; cells that get less than the least weight drop out.
+    Cells are dealt to square tiles, those near a border to the neighbouring tiles too; each tile smooths values and mask along
+    its rows and then along its columns, so the work is in proportion to the reach and a tile's task has a fixed size. A row and
+    column that repeat count as the sum of their values, as many times as they are there.
     """
     steps = np.arange(-reach, reach + 1)
     one = np.exp(-(steps**2) / (2 * sigma**2))
     one = one / one.sum()
-    table = [(int(a), int(b), float(one[i] * one[j])) for i, a in enumerate(steps) for j, b in enumerate(steps)]
-    stencil = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(w).alias("w")) for a, b, w in table]))
-    shares = cells.where(F.col(value).isNotNull()).select("row", "col", F.col(value).alias("_v"), stencil.alias("s"))
-    sums = shares.groupBy((F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col")).agg(
-        F.sum(F.col("_v") * F.col("s.w")).alias("_v"), F.sum("s.w").alias("weight")
-    )
-    return sums.where(F.col("weight") > least).join(cells.select("row", "col"), ["row", "col"], "left_semi").select("row", "col", (F.col("_v") / F.col("weight")).alias("smooth"), "weight")
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile)))
+    dealt = cells.select("row", "col", F.col(value).cast("double").alias("v")).withColumn("_ty", near("row")).withColumn("_tx", near("col"))
+
+    def kernel(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        size = tile + 2 * reach
+        y, x = part["row"].to_numpy() - key[0] * tile + reach, part["col"].to_numpy() - key[1] * tile + reach
+        ok = part["v"].notna().to_numpy()
+        sums = np.zeros((2, size, size))
+        np.add.at(sums[0], (y[ok], x[ok]), part["v"].to_numpy()[ok])
+        np.add.at(sums[1], (y[ok], x[ok]), 1.0)
+        for axis in (1, 2):
+            sums = sum(w * np.roll(sums, k, axis) for w, k in zip(one, steps))  # what rolls around stays in the halo
+        own = (y >= reach) & (y < reach + tile) & (x >= reach) & (x < reach + tile)
+        total, weight = sums[0, y[own], x[own]], sums[1, y[own], x[own]]
+        found = pd.DataFrame({"row": part["row"].to_numpy()[own], "col": part["col"].to_numpy()[own], "smooth": total / np.where(weight > 0, weight, 1), "weight": weight})
+        return found[weight > least].drop_duplicates(["row", "col"])
+
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in ("row", "col"))
+    return dealt.groupBy("_ty", "_tx").applyInPandas(kernel, f"{kinds}, smooth double, weight double")
 
 
 def scattered(values: DataFrame, grid: DataFrame, key: str = "cell") -> DataFrame:

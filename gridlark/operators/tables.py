@@ -191,21 +191,41 @@ def halves(df: DataFrame, value: str, order: str) -> DataFrame:
 
 
 def tail_shares(counts: DataFrame, value: str, thresholds: Sequence[float]) -> DataFrame:
+    """Share of the cells that reach each threshold, by year."""
     return counts.groupBy("year").agg(*[F.avg((F.col(value) >= t).cast("double")).alias(f"share_ge_{t:g}") for t in thresholds])
 
 
+def tail_summary(counts: DataFrame, value: str, thresholds: Sequence[float]) -> DataFrame:
+    """By threshold: mean percent of cells that reach it, of the first and the second half of the years (a middle year belongs to
+    the second) and their ratio, and the first year with the largest percent."""
+    each = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    shares = counts.select("year", value, each).groupBy("threshold", "year").agg((100 * F.avg((F.col(value) >= F.col("threshold")).cast("double"))).alias("p"))
+    half = counts.select("year").distinct().groupBy().agg(F.array_sort(F.collect_list("year")).alias("_y")).select(F.expr("get(_y, size(_y) div 2)").alias("_half"))  # one row a year
+    split = shares.crossJoin(F.broadcast(half))  # one row
+    means = split.groupBy("threshold").agg(
+        F.avg("p").alias("mean_percent"), F.avg(F.when(F.col("year") < F.col("_half"), F.col("p"))).alias("early_percent"), F.avg(F.when(F.col("year") >= F.col("_half"), F.col("p"))).alias("late_percent"),
+        F.max(F.struct("p", (-F.col("year")).alias("k"))).alias("_top"),
+    )
+    ratio_of = F.col("late_percent") / F.greatest("early_percent", F.lit(1e-9))
+    return means.select("threshold", "mean_percent", "early_percent", "late_percent", ratio_of.alias("ratio"), (-F.col("_top.k")).alias("max_year"), F.col("_top.p").alias("max_percent"))
+
+
 def greedy_peaks(df: DataFrame, day: str, value: str, keep: int = 3, apart: int = 183) -> DataFrame:
     """Highest values that lie at least `apart` days from each higher one kept; ties go to the earlier day.
 
-    Each choice depends on all earlier ones, so the series comes together in one array: one row a month, some hundreds.
+    Each choice is a maximum over the days that all choices before it leave, so it takes `keep` passes over the days' highest
+    values; no window and no array holds the series. The choices, `keep` rows at most, come to the driver between passes.
     """
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("v"), F.col(day).alias("d"))))
-    picked = F.aggregate(
-        ranked,
-        F.expr("cast(array() as array<struct<v:double,d:date>>)"),
-        lambda acc, x: F.when((F.size(acc) < keep) & ~F.exists(acc, lambda p: F.abs(F.date_diff(p["d"], x["d"])) < apart), F.concat(acc, F.array(F.struct(x["v"].cast("double").alias("v"), x["d"].alias("d"))))).otherwise(acc),
-    )
-    return df.agg(picked.alias("p")).select(F.posexplode("p").alias("k", "x")).select((F.col("k") + 1).alias("rank"), F.col("x.d").alias("day"), (-F.col("x.v")).alias("value"))
+    left = df.where(F.col(value).isNotNull() & F.col(day).isNotNull()).groupBy(F.col(day).alias("day")).agg(F.max(value).alias("value"))
+    picked = []
+    while len(picked) < keep:
+        best = left.agg(F.max(F.struct("value", (-F.unix_date("day")).alias("k"), "day")).alias("x")).select("x.day", "x.value").first()
+        if best["day"] is None:
+            break
+        picked.append((len(picked) + 1, best["day"], best["value"]))
+        left = left.where(F.abs(F.date_diff("day", F.lit(best["day"]))) >= apart)
+    kind = df.schema[value].dataType.simpleString()
+    return df.sparkSession.createDataFrame(picked, f"rank int, day date, value {kind}")
 
 
 def mid_rank(value: str, keys: Sequence[str]) -> Column:

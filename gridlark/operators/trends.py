@@ -85,11 +85,13 @@ def pair_slopes_join(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
 
 
 def log_trend(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Trend of ln y over positive y: percent a year, and the factor over the whole span of x."""
+    """Trend of ln y over positive y: percent a year with its 95 % bounds, the factor over the whole span of x, tau and its p."""
     span = df.groupBy(*keys).agg((F.max(x) - F.min(x)).cast("double").alias("_span"))
     logs = series(df.where(F.col(y) > 0).withColumn("_ln", F.ln(y)), keys, x, "_ln")
-    got = sen(logs).join(span, list(keys)) if keys else sen(logs).crossJoin(F.broadcast(span))
-    return got.select(*keys, (100 * F.col("slope")).alias("percent_per_year"), F.exp(F.col("slope") * F.col("_span")).alias("factor"), "tau", "n")
+    tests = sen_tests(logs)
+    got = tests.join(span, list(keys)) if keys else tests.crossJoin(F.broadcast(span))  # one row
+    percent = [(100 * F.col(c)).alias(n) for c, n in (("slope", "percent_per_year"), ("slope_lo", "percent_lo"), ("slope_hi", "percent_hi"))]
+    return got.select(*keys, *percent, F.exp(F.col("slope") * F.col("_span")).alias("factor"), "tau", "tau_p", "n")
 
 
 def ols(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridlark.functions import columns as C
 from gridlark.operators import daily as D
 from gridlark.operators import tables as T
-from gridlark.plans.inputs import CUBE, DAILY, MONTHLY, as_text, cube, daily, r6, rounded
+from gridlark.plans.inputs import CUBE, DAILY, MONTHLY, as_text, cube, daily, r6, rounded, table
 
 FIRST, LAST = 1995, 2000
 
@@ -197,9 +197,18 @@ def region_split(spark, sf_dir):
     return by.groupBy("region").agg(r6(F.avg("v")).alias("mean"), r6(e).alias("early"), r6(l).alias("late"), r6(l / e).alias("ratio"), F.max_by("year", F.struct("v", -F.col("year"))).alias("peak_year"))
 
 
+THRESHOLDS = (50, 200, 1000, 2000, 3000)
+
+
 def tail_shares(spark, sf_dir):
     c = D.accumulate(cube(spark, sf_dir), ["cell", "year"])
-    return rounded(T.tail_shares(c, "d", [1000, 2000, 3000]), "share_ge_1000", "share_ge_2000", "share_ge_3000")
+    return rounded(T.tail_shares(c, "d", THRESHOLDS), *[f"share_ge_{t}" for t in THRESHOLDS])
+
+
+def tail_summary(spark, sf_dir):
+    """By threshold: mean share, both halves, their ratio, and the year with the largest."""
+    got = T.tail_summary(D.accumulate(cube(spark, sf_dir), ["cell", "year"]), "d", THRESHOLDS)
+    return rounded(got, "mean_percent", "early_percent", "late_percent", "ratio", "max_percent")
 
 
 def coverage_bins(spark, sf_dir):
@@ -243,9 +252,9 @@ def scattered(spark, sf_dir):
 
 
 def grid_check(spark, sf_dir):
-    a = spark.range(40).select("id", (F.col("id") * 25.0).alias("x"), (F.col("id") * 2.0).alias("y"))
-    b = spark.range(3, 42).select("id", (F.col("id") * 25.0 + F.when(F.col("id") % 7 == 0, 0.5).otherwise(0.0)).alias("x"), (F.col("id") * 2.0).alias("y"))
-    return T.same_grid(a, b, "id", ["x", "y"])
+    """The cells of two products, customers' and suppliers', compared: some only one has, some lie a little apart."""
+    at = lambda name, key, shift: table(spark, sf_dir, name).select(F.col(key).alias("id"), (F.col(key) * 25.0 + shift).alias("x"), (F.col(key) * 2.0).alias("y"))
+    return T.same_grid(at("customer", "c_custkey", F.lit(0.0)), at("supplier", "s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, 0.5).otherwise(0.0)), "id", ["x", "y"])
 
 
 def strided(spark, sf_dir):
@@ -255,7 +264,7 @@ def strided(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     monthly_area, annual_peak, annual_median, month_spine_zero_fill, day_spine_conditional_fill, missing_months, climatology_quartiles, year_coverage, skip_partial, greedy_peaks,
     seasonality, season_halves, centroid, last_years_share, rank_years, half_means, cell_year_frequency, annual_table, flag_days, domain_every_year, domain_monthly, domain_annual,
-    merged_monthly, period_mean_diff, window_frequency_change, window_summary, diagnostics, validate_rules, region_split, tail_shares, coverage_bins, step_contrast, top_cells,
+    merged_monthly, period_mean_diff, window_frequency_change, window_summary, diagnostics, validate_rules, region_split, tail_shares, tail_summary, coverage_bins, step_contrast, top_cells,
     bottom_months, top_full_years, pooled_percentiles, scattered, grid_check, strided,
 )} | {"bounding_box": bounding}
 
@@ -332,7 +341,11 @@ SELECT min(row) FILTER (row > 0 AND col < 4) AS min_row, max(row) FILTER (row >
     "region_split": f"""{Q}, s AS (SELECT cell, year, sum(a) AS a FROM cube WHERE {SPAN} GROUP BY ALL), g AS (SELECT CASE WHEN -125 + cell * 2 < -105 THEN 'West' WHEN -125 + cell * 2 < -90 THEN 'Central' ELSE 'East' END AS region, year, avg(a) AS v FROM s GROUP BY ALL)
 SELECT region, round(avg(v), 6) AS mean, round(avg(v) FILTER (year < 1998), 6) AS early, round(avg(v) FILTER (year >= 1998), 6) AS late, round(avg(v) FILTER (year >= 1998) / avg(v) FILTER (year < 1998), 6) AS ratio, arg_max(year, v) AS peak_year FROM g GROUP BY region""",
     "tail_shares": f"""{Q}, s AS (SELECT cell, year, sum(d) AS d FROM cube GROUP BY ALL)
-SELECT year, {', '.join(f'CAST(round(avg(CASE WHEN d >= {t} THEN 1.0 ELSE 0 END), 6) AS DOUBLE) AS share_ge_{t}' for t in (1000, 2000, 3000))} FROM s GROUP BY year""",
+SELECT year, {', '.join(f'CAST(round(avg(CASE WHEN d >= {t} THEN 1.0 ELSE 0 END), 6) AS DOUBLE) AS share_ge_{t}' for t in THRESHOLDS)} FROM s GROUP BY year""",
+    "tail_summary": f"""{Q}, s AS (SELECT cell, year, sum(d) AS d FROM cube GROUP BY ALL), p AS (SELECT CAST(t AS DOUBLE) AS threshold, year, 100 * avg(CASE WHEN d >= t THEN CAST(1 AS DOUBLE) ELSE 0 END) AS p FROM s, (SELECT unnest({list(THRESHOLDS)}) AS t) GROUP BY ALL),
+h AS (SELECT list_sort(list(DISTINCT year)) AS y FROM s), g AS (SELECT p.*, year < y[len(y) // 2 + 1] AS early FROM p, h)
+SELECT threshold, round(avg(p), 6) AS mean_percent, round(avg(p) FILTER (early), 6) AS early_percent, round(avg(p) FILTER (NOT early), 6) AS late_percent, round(avg(p) FILTER (NOT early) / greatest(avg(p) FILTER (early), 1e-9), 6) AS ratio,
+  arg_max(year, p - year * 1e-9) AS max_year, round(max(p), 6) AS max_percent FROM g GROUP BY threshold""",
     "coverage_bins": f"""{Q}, s AS (SELECT cell, sum(a) AS a, sum(b) AS b FROM cube GROUP BY ALL), q AS (SELECT a, b / (SELECT median(b) FROM s) AS q FROM s)
 SELECT CAST(CASE WHEN q < 0 THEN NULL WHEN q < 0.9 THEN 0 WHEN q < 0.97 THEN 1 WHEN q < 1.03 THEN 2 WHEN q < 1.1 THEN 3 WHEN q < 5 THEN 4 END AS INT) AS bin, count(*) AS n, round(avg(a), 6) AS mean FROM q GROUP BY ALL""",
     "step_contrast": f"""{Q}, m AS (SELECT year, month, sum(b) AS b FROM cube GROUP BY ALL), p AS (SELECT sum(b) FILTER (year = 1995) / count(*) FILTER (year = 1995) AS one, sum(b) FILTER (year BETWEEN 1997 AND 1998) / count(*) FILTER (year BETWEEN 1997 AND 1998) AS two FROM m)
@@ -342,7 +355,8 @@ SELECT round(one, 6) AS before, round(two, 6) AS after, round(100 * (two / one -
     "top_full_years": f"{Q}, {FULL.format('cube')} SELECT year, round(sum(d) / nullif(sum(b), 0), 6) AS fraction FROM cube WHERE year IN (SELECT year FROM full_years) GROUP BY year ORDER BY fraction DESC, year LIMIT 4",
     "pooled_percentiles": f"{Q}, s AS (SELECT sum(a) AS a FROM cube GROUP BY cell, year) SELECT round(quantile_cont(a, 0.99), 6) AS p99, round(quantile_cont(a, 0.995), 6) AS p995, round(quantile_cont(a, 0.02), 6) AS p02, CAST(ceil(max(a)) AS BIGINT) AS ceiling FROM s",
     "scattered": f"{Q}, s AS (SELECT cell, round(sum(a), 6) AS a FROM cube GROUP BY cell) SELECT CAST(i AS INT) AS cell, a FROM range(30) g(i) LEFT JOIN s ON s.cell = i",
-    "grid_check": "SELECT CAST(5 AS BIGINT) AS unmatched, count(*) AS differing FROM range(3, 40) t(i) WHERE i % 7 = 0",
+    "grid_check": """SELECT count(*) FILTER (c_custkey IS NULL OR s_suppkey IS NULL) AS unmatched, count(*) FILTER (c_custkey IS NOT NULL AND s_suppkey % 7 = 0) AS differing
+FROM customer FULL JOIN supplier ON c_custkey = s_suppkey""",
     "strided": f"{M}, k AS (SELECT year * 100 + month AS ym, n_days, row_number() OVER (ORDER BY year * 100 + month) AS k FROM monthly) SELECT ym, n_days FROM k WHERE (k - 1) % 2 = 0",
 }
 

@@ -12,7 +12,7 @@ from gridlark.operators import trends as X
 from gridlark.plans.archive import FIRST, LAST, SPAN
 from gridlark.plans.inputs import CUBE, DAILY, YEARLY, cube, daily, r6, rounded, table, yearly_cells
 from gridlark.plans.statistics import ANN, PAIRS, T_P, TESTS, _annual, _boxes
-from gridlark.plans.storage import scratch
+from gridlark.session import scratch
 from gridlark.sources import store
 
 
@@ -107,7 +107,9 @@ def nested_field(spark, sf_dir):
 
 
 def month_list(spark, sf_dir):
-    listed = C.month_list(spark, ["2023-02", "2024-02", "2023-02", "2022-12"])
+    """The months of the shipments of the largest quantity, each once, with their last days."""
+    labels = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.date_format("l_shipdate", "yyyy-MM").alias("m")).distinct().orderBy("m").collect()  # months
+    listed = C.month_list(spark, [r["m"] for r in labels])
     return listed.withColumns({c: F.col(c).cast("string") for c in ("month", "last_day")})
 
 
@@ -226,7 +228,7 @@ SELECT c AS choice, round(mean, 6) AS mean, round(slope, 6) AS slope, round(lo,
 r AS (SELECT rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0 AS rq, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0 AS rm FROM j) SELECT count(*) AS n, round(corr(rq, rm), 6) AS spearman_r FROM r""",
     "aligned_products": f"""WITH {YEARLY}, o AS (SELECT CAST(o_custkey % 30 AS INT) AS cell, CAST(year(o_orderdate) AS INT) AS year, sum(o_totalprice) / 1000 AS other FROM orders GROUP BY ALL) SELECT year, cell, round(v, 6) AS v, round(other, 6) AS other FROM yearly JOIN o USING (year, cell)""",
     "nested_field": """SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 'unit-' || json_extract_string(props, '$.k') END, CAST(event_id AS VARCHAR)) AS name FROM events""",
-    "month_list": "SELECT m AS month, CAST(last_day(CAST(m AS DATE)) AS VARCHAR) AS last_day, left(m, 7) AS label FROM (VALUES ('2023-02-01'), ('2024-02-01'), ('2022-12-01')) t(m)",
+    "month_list": "SELECT DISTINCT strftime(l_shipdate, '%Y-%m-01') AS month, CAST(last_day(CAST(l_shipdate AS DATE)) AS VARCHAR) AS last_day, strftime(l_shipdate, '%Y-%m') AS label FROM lineitem WHERE l_quantity = 50",
     "seasons_by_map": "SELECT CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'winter' WHEN month(o_orderdate) IN (6, 7, 8) THEN 'summer' ELSE 'other' END AS season, count(*) AS n FROM orders GROUP BY ALL",
     "optional_link": "SELECT r_regionkey AS region, r_name, CASE WHEN r_regionkey <> 2 THEN (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) END AS found, CAST(NULL AS BIGINT) AS absent FROM region",
     "finished_runs": "SELECT * FROM (VALUES ('whole', true), ('broken', false), ('absent', false)) t(name, finished)",

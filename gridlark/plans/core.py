@@ -124,7 +124,9 @@ NAMES = """SELECT event_id, CAST(2020 + event_id % 4 AS INT) AS year, CAST(event
 
 
 def month_range(spark, sf_dir):
-    return C.months(spark, "2000-02", "2025-07")
+    """All months from the first to the last order, with the months in between that have none."""
+    span = table(spark, sf_dir, "orders").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM").alias("a"), F.date_format(F.max("o_orderdate"), "yyyy-MM").alias("b")).first()
+    return C.months(spark, span["a"], span["b"])
 
 
 def doy_date(spark, sf_dir):
@@ -195,7 +197,7 @@ ORACLES = {
     "version_dedup": VERSION,
     "exact_dedup": "SELECT event_type || '-' || user_id AS name, min(event_id) AS seq FROM events GROUP BY ALL",
     "name_parse": NAMES,
-    "month_range": "SELECT CAST(m AS DATE) AS month, last_day(m) AS last_day, strftime(m, '%Y-%m') AS label FROM (SELECT unnest(generate_series(DATE '2000-02-01', DATE '2025-07-01', INTERVAL 1 MONTH)) AS m)",
+    "month_range": "SELECT CAST(m AS DATE) AS month, last_day(m) AS last_day, strftime(m, '%Y-%m') AS label FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders)",
     "doy_date": "SELECT DISTINCT CAST(1996 + event_id % 30 AS INT) AS year, CAST(event_id % 365 + 1 AS INT) AS doy, make_date(1996 + event_id % 30, 1, 1) + CAST(event_id % 365 AS INT) AS day FROM events",
     "stamps": "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(ts AS DATE) END AS day, CAST(CASE WHEN event_id % 7 <> 0 THEN hour(ts) ELSE -1 END AS INT) AS hour FROM events",
     "json_metadata_sum": """WITH k AS (SELECT event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)

@@ -1,17 +1,20 @@
-"""Exact polygon plans: clips, dissolved areas by day and class, repaired shapes, and a domain dissolved out of administrative ones."""
+"""Exact polygon plans: clips, dissolved areas by day and class, repaired shapes, a domain dissolved out of administrative ones, archives, and stored tables that joins read without moving them."""
 
 from __future__ import annotations
 
 import base64
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from gridlark.functions import grid as G
 from gridlark.operators import overlays as V
+from gridlark.operators import spatial as S
 from gridlark.plans.inputs import rounded, table
-from gridlark.plans.statistics import _boxes
+from gridlark.plans.statistics import ALBERS, _boxes
 from gridlark.session import scratch
-from gridlark.sources import shapefile
+from gridlark.sources import shapefile, store
 
 
 def _ring(*points):
@@ -93,7 +96,31 @@ def shapefile_records(spark, sf_dir):
     return rounded(out, "area")
 
 
-QUERIES = {f.__name__: f for f in (clipped_shapes, class_areas, repaired_shapes, dissolved_domain, shapefile_records)}
+_PIXELS = 20  # along a tile's side
+
+
+def pixel_cells(spark, sf_dir):
+    """Quantities by cell, over a stored dimension of pixels inside the domain; both sides are bucketed, so the join moves nothing."""
+    c = table(spark, sf_dir, "customer").select((8 + F.col("c_nationkey") % 6).alias("h"), (4 + F.col("c_nationkey") % 3).alias("v"))
+    domain = _domain(spark, sf_dir).select(F.slice("domain_rings", 1, 1).alias("rings"))
+    name, keys = f"pixels_{uuid.uuid4().hex}", ["h", "v", "pixel"]
+    dimension = store.write_bucketed(S.cell_dimension(c, domain, G.TARGET, _PIXELS), name, keys, 8)
+    li = table(spark, sf_dir, "lineitem")
+    t = (F.col("l_suppkey") % 6).cast("int")
+    facts = li.select((8 + t).alias("h"), (4 + t % 3).alias("v"), (F.col("l_partkey") % _PIXELS**2).cast("int").alias("pixel"), F.col("l_quantity").alias("q"))
+    facts = store.write_bucketed(facts, f"facts_{name}", keys, 8)
+    return rounded(facts.join(dimension, keys).groupBy("cell").agg(F.count("*").alias("n"), F.sum("q").alias("q")), "q")
+
+
+def pruned_partitions(spark, sf_dir):
+    """Orders stored by tile; a join with the useful tiles decides which folders are read."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).cast("int").alias("tile"), "o_totalprice")
+    stored = store.write_by(o, scratch(spark), "tile")
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select((F.col("c_custkey") % 50).cast("int").alias("tile")).distinct()
+    return rounded(stored.join(F.broadcast(c), "tile").groupBy("tile").agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("n")), "total")  # 50 tiles at most
+
+
+QUERIES = {f.__name__: f for f in (clipped_shapes, class_areas, repaired_shapes, dissolved_domain, shapefile_records, pixel_cells, pruned_partitions)}
 
 _DOMAIN = """d AS (SELECT r_regionkey AS part, -124 + r_regionkey * 21 AS px FROM region),
 dp AS (SELECT part, px AS dx0, px + 17 AS dx1, CAST(26.5 AS DOUBLE) AS dy0, CAST(43.25 AS DOUBLE) AS dy1, 1 AS sign FROM d UNION ALL SELECT part, px + 5, px + 9, 30, 36.5, -1 FROM d),
@@ -113,6 +140,13 @@ a AS (SELECT day, class, sum((x2 - x) * (y2 - y)) AS area FROM held GROUP BY ALL
 spine AS (SELECT DISTINCT day, c.class FROM b, (VALUES ('all'), ('light'), ('medium'), ('heavy')) c(class))
 SELECT day, class, round(coalesce(area, 0), 6) AS area, coalesce(n, 0) AS n FROM spine LEFT JOIN a USING (day, class) LEFT JOIN n USING (day, class)""",
     "repaired_shapes": "SELECT s_suppkey AS shape, 2 AS n, round((1 + s_suppkey % 5) * (CAST(0.5 AS DOUBLE) + s_suppkey % 4) / 2, 6) AS area FROM supplier WHERE s_suppkey % 3 <> 0",
+    "pixel_cells": f"""WITH t AS (SELECT DISTINCT 8 + c_nationkey % 6 AS h, 4 + c_nationkey % 3 AS v FROM customer),
+s AS (SELECT h, v, CAST(i AS INT) AS pixel, (pi() / 2 - (v + (i // {_PIXELS} + CAST(0.5 AS DOUBLE)) / {_PIXELS}) * pi() / 18) AS phi, (-pi() + (h + (i % {_PIXELS} + CAST(0.5 AS DOUBLE)) / {_PIXELS}) * pi() / 18) AS sx FROM t, range({_PIXELS**2}) r(i)),
+places AS (SELECT h, v, pixel, degrees(sx / cos(phi)) AS lon, degrees(phi) AS lat FROM s), {ALBERS},
+d AS (SELECT h, v, pixel, cell FROM cells WHERE cell IS NOT NULL AND lat > 26.5 AND lat < 43.25 AND EXISTS (SELECT 1 FROM region WHERE lon > -124 + r_regionkey * 21 AND lon < -107 + r_regionkey * 21)),
+f AS (SELECT 8 + l_suppkey % 6 AS h, 4 + l_suppkey % 6 % 3 AS v, l_partkey % {_PIXELS**2} AS pixel, l_quantity AS q FROM lineitem)
+SELECT cell, count(*) AS n, round(sum(q), 6) AS q FROM f JOIN d USING (h, v, pixel) GROUP BY cell""",
+    "pruned_partitions": """SELECT CAST(o_custkey % 50 AS INT) AS tile, round(sum(o_totalprice), 6) AS total, count(*) AS n FROM orders WHERE o_custkey % 50 IN (SELECT c_custkey % 50 FROM customer WHERE c_acctbal > 9000) GROUP BY ALL""",
     "shapefile_records": """WITH b AS (SELECT s_suppkey AS shape, CASE WHEN s_suppkey % 11 = 0 THEN 'unreadable' WHEN s_suppkey % 13 = 0 THEN 'other year' WHEN s_suppkey % 7 = 0 THEN 'no date' ELSE 'kept' END AS state,
   ['Light', 'Heavy', 'Medium'][s_nationkey % 3 + 1] AS density, (1 + s_suppkey % 5) * (CAST(0.5 AS DOUBLE) + s_suppkey % 3) AS area FROM supplier)
 SELECT shape, state, CASE WHEN state = 'kept' THEN CAST(CAST(DATE '2020-01-01' + CAST(shape % 366 AS INT) AS DATE) AS VARCHAR) END AS day, density, CASE WHEN state = 'kept' THEN round(area, 6) END AS area FROM b""",

@@ -40,7 +40,7 @@ def spearman_time(spark, sf_dir):
 
 
 def log_trend(spark, sf_dir):
-    return rounded(X.log_trend(yearly_cells(spark, sf_dir), ["cell"], "year", "v"), "percent_per_year", "factor", "tau")
+    return rounded(X.log_trend(yearly_cells(spark, sf_dir), ["cell"], "year", "v"), "percent_per_year", "percent_lo", "percent_hi", "factor", "tau", "tau_p")
 
 
 def _annual(spark, sf_dir):
@@ -105,7 +105,8 @@ def spatial_summary(spark, sf_dir):
 
 def log_line(spark, sf_dir):
     a = _annual(spark, sf_dir).select("year", F.col("a").alias("v"))
-    return rounded(X.log_line(a, "year", "v", F.lit(0.05)).select("year", "line"), "line")
+    rate = X.log_trend(a, [], "year", "v").select((F.col("percent_per_year") / 100).alias("rate"))
+    return rounded(X.log_line(a.crossJoin(F.broadcast(rate)), "year", "v", F.col("rate")).select("year", "line"), "line")  # one row
 
 
 def slope_band(spark, sf_dir):
@@ -156,13 +157,15 @@ def cell_index(spark, sf_dir):
 
 
 def target_grid(spark, sf_dir):
-    return G.TARGET.cells(spark)
+    """Places on the whole target grid: every cell with its centre and the number of places that it holds."""
+    return S.scattered(cell_index(spark, sf_dir).groupBy("cell").agg(F.count("*").alias("n")), G.TARGET.cells(spark))
 
 
 def sinusoidal(spark, sf_dir):
-    s = spark.range(0, 1200, 100).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(1100), F.lit(100))).alias("col"))
-    lon, lat = G.sinusoidal_centres(F.lit(9), F.lit(4), F.col("row"), F.col("col"))
-    return s.select("row", "col", r6(lon).alias("lon"), r6(lat).alias("lat"))
+    """Pixel centres of the tiles and pixels that the customers' numbers name."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", (8 + F.col("c_nationkey") % 6).alias("h"), (4 + F.col("c_nationkey") % 3).alias("v"), (F.col("c_custkey") * 7919 % 1200).alias("row"), (F.col("c_custkey") % 1200).alias("col"))
+    lon, lat = G.sinusoidal_centres(F.col("h"), F.col("v"), F.col("row"), F.col("col"))
+    return c.select("c_custkey", r6(lon).alias("lon"), r6(lat).alias("lat"))
 
 
 def grid_remap_weighted(spark, sf_dir):
@@ -265,17 +268,17 @@ FROM lv JOIN (SELECT cell, s AS o FROM lv WHERE k = 0) USING (cell) GROUP BY cel
 f AS (SELECT k, count(*) AS n, count(*) FILTER (abs(s) >= bar) AS h, count(*) FILTER (s > 0) AS u FROM lv JOIN bar USING (cell) GROUP BY k), o AS (SELECT n AS n_cells, h AS oh, u AS ou FROM f WHERE k = 0)
 SELECT n_cells, round(oh / CAST(n_cells AS DOUBLE), 6) AS significant, round(ou / CAST(n_cells AS DOUBLE), 6) AS up, round(quantile_cont(h / CAST(n AS DOUBLE), 0.95), 6) AS null_significant_p95, round((1 + count(*) FILTER (h >= oh)) / CAST(2001 AS DOUBLE), 6) AS significant_p,
   round(quantile_cont(u / CAST(n AS DOUBLE), 0.95), 6) AS null_up_p95, round((1 + count(*) FILTER (u >= ou)) / CAST(2001 AS DOUBLE), 6) AS up_p FROM f, o WHERE k > 0 GROUP BY ALL""",
-    "sinusoidal": f"""WITH s AS (SELECT r.i * 100 AS row, CAST(c.i * 100 AS INT) AS col FROM range(12) r(i), range(12) c(i)), y AS (SELECT row, col, (pi() / 2 - (4 + (row + 0.5) / 1200) * pi() / 18) AS lat, (-pi() + (9 + (col + 0.5) / 1200) * pi() / 18) AS x FROM s)
-SELECT row, col, round(degrees(x / cos(lat)), 6) AS lon, round(degrees(lat), 6) AS lat FROM y""",
+    "sinusoidal": """WITH s AS (SELECT c_custkey, 8 + c_nationkey % 6 AS h, 4 + c_nationkey % 3 AS v, c_custkey * 7919 % 1200 AS row, c_custkey % 1200 AS col FROM customer),
+y AS (SELECT c_custkey, (pi() / 2 - (v + (row + CAST(0.5 AS DOUBLE)) / 1200) * pi() / 18) AS lat, (-pi() + (h + (col + CAST(0.5 AS DOUBLE)) / 1200) * pi() / 18) AS x FROM s)
+SELECT c_custkey, round(degrees(x / cos(lat)), 6) AS lon, round(degrees(lat), 6) AS lat FROM y""",
     "seeded_sample": "SELECT c_custkey FROM customer ORDER BY md5(c_custkey || ':0'), c_custkey LIMIT 100",
     "sen_slope": f"""{Y}, {PAIRS.format('cell', 'yearly')}, s AS (SELECT k AS cell, median((y1 - y0) / (x1 - x0)) AS slope FROM p GROUP BY k), m AS (SELECT cell, median(year) AS mx, median(v) AS my, count(*) AS n FROM yearly GROUP BY cell)
 SELECT cell, round(slope, 6) AS slope, round(my - slope * mx, 6) AS intercept, n FROM s JOIN m USING (cell)""",
     "sen_slope_join": f"{Y}, {PAIRS.format('cell', 'yearly')} SELECT k AS cell, round(median((y1 - y0) / (x1 - x0)), 6) AS slope FROM p GROUP BY k",
     "kendall_tau": f"{Y}, {PAIRS.format('cell', 'yearly')} SELECT k AS cell, round(sum(sign(y1 - y0)) / nullif(sqrt(CAST(count(*) AS DOUBLE) * sum(abs(sign(y1 - y0)))), 0), 6) AS tau FROM p GROUP BY k",
     "spearman_time": f"{Y}, r AS (SELECT cell, year, rank() OVER (PARTITION BY cell ORDER BY v) + (count(*) OVER (PARTITION BY cell, v) - 1) / 2.0 AS r FROM yearly) SELECT cell, round(corr(year, r), 6) AS rho FROM r GROUP BY cell",
-    "log_trend": f"""{Y}, l AS (SELECT cell, year, ln(v) AS v FROM yearly WHERE v > 0), {PAIRS.format('cell', 'l')}, n AS (SELECT cell, count(*) AS n FROM l GROUP BY cell), sp AS (SELECT cell, max(year) - min(year) AS s FROM yearly GROUP BY cell)
-SELECT cell, round(100 * median((y1 - y0) / (x1 - x0)), 6) AS percent_per_year, round(exp(median((y1 - y0) / (x1 - x0)) * any_value(s)), 6) AS factor,
-  round(sum(sign(y1 - y0)) / nullif(sqrt(CAST(count(*) AS DOUBLE) * sum(abs(sign(y1 - y0)))), 0), 6) AS tau, any_value(n) AS n FROM p JOIN n ON n.cell = p.k JOIN sp USING (cell) GROUP BY cell""",
+    "log_trend": f"""{Y}, l AS (SELECT cell, year, ln(v) AS v FROM yearly WHERE v > 0), {PAIRS.format('cell', 'l')}, {TESTS}, n AS (SELECT cell, count(*) AS n FROM l GROUP BY cell), sp AS (SELECT cell, max(year) - min(year) AS s FROM yearly GROUP BY cell)
+SELECT cell, round(100 * slope, 6) AS percent_per_year, round(100 * lo, 6) AS percent_lo, round(100 * hi, 6) AS percent_hi, round(exp(slope * s), 6) AS factor, round(tau, 6) AS tau, round(tau_p, 6) AS tau_p, n.n FROM t JOIN n ON n.cell = t.k JOIN sp USING (cell)""",
     "growth_decomposition": f"""{ANN}, l AS (UNPIVOT (SELECT year, fraction, intensity, flag_index, mean_value, background FROM ann) ON fraction, intensity, flag_index, mean_value, background INTO NAME s VALUE y),
 z AS (SELECT s, year, ln(y) AS v FROM l), {PAIRS.format('s', 'z')}, r AS (SELECT k, 100 * median((y1 - y0) / (x1 - x0)) AS r FROM p GROUP BY k),
 w AS (SELECT max(r) FILTER (k = 'fraction') AS f, max(r) FILTER (k = 'intensity') AS i, max(r) FILTER (k = 'flag_index') AS x, max(r) FILTER (k = 'mean_value') AS m, max(r) FILTER (k = 'background') AS b FROM r)
@@ -287,11 +290,12 @@ SELECT count(*) AS n, round(corr(a, b), 6) AS pearson_r, round(corr(ra, rb), 6)
     "bh_fdr": """WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 11 <> 0 THEN pow(CAST(c_custkey % 997 AS DOUBLE) / 997, 3) END AS p FROM customer),
 k AS (SELECT p, row_number() OVER (ORDER BY p) AS k, (SELECT count(*) FROM t) AS n FROM t WHERE p IS NOT NULL), c AS (SELECT max(p) AS cut FROM k WHERE p <= 0.05 * k / n)
 SELECT c_custkey, coalesce(p <= cut, false) AS rejected FROM t, c""",
-    "log_line": f"{ANN} SELECT year, round(exp(avg(ln(a)) OVER () + CAST(0.05 AS DOUBLE) * (year - avg(year) OVER ())), 6) AS line FROM ann",
+    "log_line": f"{ANN}, r AS (SELECT median((ln(q.a) - ln(p.a)) / (q.year - p.year)) AS rate FROM ann p JOIN ann q ON p.year < q.year) SELECT year, round(exp(avg(ln(a)) OVER () + rate * (year - avg(year) OVER ())), 6) AS line FROM ann, r",
     "albers_forward": f"WITH {PLACES}, {ALBERS} SELECT id, round(x, 3) AS x, round(y, 3) AS y FROM cells",
     "albers_inverse": f"WITH {PLACES} SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM places",
     "cell_index": f"WITH {PLACES}, {ALBERS} SELECT id, cell FROM cells WHERE cell IS NOT NULL",
-    "target_grid": "SELECT CAST(i AS INT) AS cell, CAST(i // 242 AS INT) AS row, CAST(i % 242 AS INT) AS col, CAST(-3000000 + (i % 242 + 0.5) * 25000 AS DOUBLE) AS x, CAST(3350000 - (i // 242 + 0.5) * 25000 AS DOUBLE) AS y FROM range(31460) t(i)",
+    "target_grid": f"""WITH {PLACES}, {ALBERS}, k AS (SELECT cell, count(*) AS n FROM cells WHERE cell IS NOT NULL GROUP BY cell), g AS (SELECT CAST(i AS INT) AS cell, CAST(i // 242 AS INT) AS row, CAST(i % 242 AS INT) AS col,
+  CAST(-3000000 + (i % 242 + 0.5) * 25000 AS DOUBLE) AS x, CAST(3350000 - (i // 242 + 0.5) * 25000 AS DOUBLE) AS y FROM range(31460) t(i)) SELECT g.*, n FROM g LEFT JOIN k USING (cell)""",
     "grid_remap_weighted": f"""WITH {PLACES}, {ALBERS}, k AS (SELECT *, CAST(floor((3350000 - y) / 250000) * 25 + floor((x + 3000000) / 250000) AS INT) AS big, cos(radians(lat)) AS w FROM cells
   WHERE floor((x + 3000000) / 250000) BETWEEN 0 AND 24 AND floor((3350000 - y) / 250000) BETWEEN 0 AND 12), s AS (SELECT big AS cell, sum(v * w) FILTER (land) / nullif(sum(w) FILTER (land), 0) AS value, coalesce(sum(w) FILTER (land), 0) / sum(w) AS land FROM k GROUP BY big)
 SELECT cell, round(value, 6) AS value, round(land, 6) AS land FROM s WHERE land >= 0.5""",

@@ -21,12 +21,14 @@ def partials_on_disk(spark, sf_dir):
 
 
 def manifest_collate(spark, sf_dir):
+    """Run records of the months of orders, written one file a month with a field that readers don't know and an unreadable file among them."""
     path = scratch(spark)
-    for month, days in (("2001-02", 28), ("2001-01", 31)):
-        records = spark.range(1).select(F.lit(month).alias("month"), F.lit("complete").alias("status"), F.lit(days).cast("long").alias("days"), F.lit("x").alias("unknown"))
-        store.write_records(records.coalesce(1), path)
-    spark.range(1).select(F.lit("{broken").alias("value")).coalesce(1).write.mode("append").text(path)
-    return store.read_records(spark, path).select("month", "status", "days")
+    o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.dayofmonth("o_orderdate").alias("d"))
+    months = o.groupBy("month").agg(F.count_distinct("d").alias("days"), F.count("*").alias("granules"))
+    records = months.select("month", F.when(F.col("days") > 27, "complete").otherwise("partial").alias("status"), "days", "granules", F.lit("x").alias("unknown"))
+    store.write_records(records, path)
+    months.limit(1).select(F.lit("{broken").alias("value")).coalesce(1).write.mode("append").text(path)
+    return store.read_records(spark, path).select("month", "status", "days", "granules")
 
 
 def checksum_verify(spark, sf_dir):
@@ -44,6 +46,7 @@ def checksum_verify(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (partials_on_disk, manifest_collate, checksum_verify)}
 ORACLES = {
     "partials_on_disk": f"WITH {OBS}, {COLLAPSE} SELECT cell, {_SUM} FROM px GROUP BY cell",
-    "manifest_collate": "SELECT * FROM (VALUES ('2001-01', 'complete', CAST(31 AS BIGINT)), ('2001-02', 'complete', 28)) t(month, status, days)",
+    "manifest_collate": """WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(DISTINCT day(o_orderdate)) AS days, count(*) AS granules FROM orders GROUP BY 1)
+SELECT month, CASE WHEN days > 27 THEN 'complete' ELSE 'partial' END AS status, days, granules FROM m""",
     "checksum_verify": "SELECT c_mktsegment AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'differs' ELSE 'ok' END AS state FROM customer GROUP BY ALL UNION ALL SELECT 'absent', 'missing'",
 }

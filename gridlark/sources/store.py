@@ -34,6 +34,18 @@ def read_cubes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(*paths)
 
 
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """df as a table of the catalogue, dealt to buckets by its keys and sorted within them: joins of such tables on the keys need no exchange."""
+    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def write_by(df: DataFrame, path: str, by: str) -> DataFrame:
+    """df in one folder for each value of a column, read back: filters and joins on the column choose the folders that are read."""
+    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, order: Sequence[str]) -> None:
     df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
 
@@ -49,7 +61,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
+    records.write.option("maxRecordsPerFile", 1).mode("append").json(path)  # one object a file, as read_records() expects
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Hand-checked statistics, and brute force where no closed answer exists."""
 
 import itertools
+import math
+import random
 
 import numpy as np
 import pytest
@@ -104,3 +106,27 @@ def test_smoothing_keeps_constants(spark):
     cells = spark.range(25).select((F.col("id") / 5).cast("int").alias("row"), (F.col("id") % 5).cast("int").alias("col"), F.when(F.col("id") != 12, 3.0).alias("v"))
     got = P.smoothed(cells, "v", 1.0, 2).collect()
     assert got and all(r.smooth == pytest.approx(3.0) for r in got)
+
+
+def slow_smooth(values, sigma, reach, least):
+    """The whole stencil at every cell."""
+    one = {k: math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)}
+    total = sum(one.values())
+    out = {}
+    for r, c in values:
+        near = [(one[i] * one[j] / total**2, values[r + i, c + j]) for i in one for j in one if values.get((r + i, c + j)) is not None]
+        weight = sum(w for w, _ in near)
+        if weight > least:
+            out[r, c] = (sum(w * v for w, v in near) / weight, weight)
+    return out
+
+
+@pytest.mark.parametrize("tile", [3, 7, 256])
+def test_smoothing_by_tiles(spark, tile):
+    rng = random.Random(tile)
+    values = {(r, c): rng.random() * 9 if rng.random() < 0.6 else None for r in range(-4, 17) for c in range(30) if rng.random() < 0.9}
+    cells = spark.createDataFrame([(r, c, v) for (r, c), v in values.items()], "row int, col int, v double")
+    got = {(r.row, r.col): (r.smooth, r.weight) for r in P.smoothed(cells, "v", 1.3, 4, 0.35, tile).collect()}
+    want = slow_smooth(values, 1.3, 4, 0.35)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert P.smoothed(cells.where("1 = 0"), "v", 1.3, 4).count() == 0
