@@ -34,17 +34,24 @@ _SIGNS = """aggregate(flatten(transform(pts, (p, i) -> transform(slice(pts, i +
   named_struct('s', 0D, 'x', 0D, 'y', 0D), (a, v) -> named_struct('s', a.s + v.s, 'x', a.x + v.x, 'y', a.y + v.y))"""
 
 
+def middle_of(array: str) -> str:
+    """Median of an array that is sorted already."""
+    return f"(get({array}, (size({array}) - 1) div 2) + get({array}, size({array}) div 2)) / 2"
+
+
 def median_of(array: str) -> str:
-    return f"if(size({array}) = 0, null, (get(array_sort({array}), (size({array}) - 1) div 2) + get(array_sort({array}), size({array}) div 2)) / 2)"
+    """Median of an array, which is sorted once; null if it is empty."""
+    return f"get(transform(array(array_sort({array})), a -> {middle_of('a')}), 0)"
 
 
 def sen(df: DataFrame) -> DataFrame:
     """Adds slope (median of the pair slopes), intercept and tau-b to series rows; constant series have no tau."""
     xs, ys = "transform(pts, p -> p.x)", "transform(pts, p -> p.y)"
     out = df.withColumn("_s", F.array_sort(F.expr(_SLOPES))).withColumn("_k", F.expr(_SIGNS))
-    out = out.withColumn("slope", F.expr(median_of("_s")))
+    out = out.withColumn("slope", F.expr(middle_of("_s")))
     tau = F.col("_k.s") / F.nullif(F.sqrt(F.col("_k.x") * F.col("_k.y")), F.lit(0.0))
-    intercept = F.expr(f"{median_of(ys)} - slope * {median_of(xs)}")
+    # Points are in order of x already.
+    intercept = F.expr(f"{median_of(ys)} - slope * {middle_of(xs)}")
     return out.withColumn("intercept", intercept).withColumn("tau", tau).withColumn("n", F.size("pts").cast("long"))
 
 

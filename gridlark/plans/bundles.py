@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gridlark.functions import columns as C
@@ -13,7 +17,7 @@ from gridlark.plans.archive import FIRST, LAST, SPAN
 from gridlark.plans.inputs import CUBE, DAILY, YEARLY, cube, daily, r6, rounded, table, yearly_cells
 from gridlark.plans.statistics import ANN, PAIRS, T_P, TESTS, _annual, _boxes
 from gridlark.session import scratch
-from gridlark.sources import store
+from gridlark.sources import granules, store
 
 
 def record_and_trend(spark, sf_dir):
@@ -162,23 +166,40 @@ def json_summary(spark, sf_dir):
     return store.summary_json(n, "n_nationkey")
 
 
+#: Side of the granules that the plans write.
+_SIDE = 6
+
+
 def _files(spark, sf_dir):
-    """One binary record by nation: planes of 2 by 3 pixels, as many as the region's number tells; none means a single flat plane."""
-    word = lambda v: F.lpad(F.hex(v), 4, "0")
-    n = table(spark, sf_dir, "nation")
-    planes = F.col("n_regionkey")
-    places = F.sequence(F.lit(0), F.greatest(planes, F.lit(1)) * 6 - 1)
-    raw, quality = F.transform(places, lambda i: word(F.col("n_nationkey") * 100 + i)), F.transform(places, lambda i: word(i % 5))
-    text = F.concat(word(planes), word(F.lit(2)), word(F.lit(3)), F.array_join(raw, ""), F.array_join(quality, ""))
-    return n.select(F.concat(F.lit("file:/x/"), "n_name").alias("path"), F.unhex(text).alias("content"))
+    """One granule by nation, written to disk and scanned as files: as many planes as the region's number tells, none for a single flat one.
+
+    Text is the only sink of Spark whose files are a row's own bytes, so the containers stand in base64.
+    """
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for n, planes in zip(part["n_nationkey"], part["n_regionkey"]):
+            shape = (planes, _SIDE, _SIDE) if planes else (_SIDE, _SIDE)
+            i = np.arange(max(planes, 1) * _SIDE * _SIDE)
+            content = granules.packed({"grid1km:Optical_Depth_055": (n * 100 + i).astype("i2").reshape(shape), "grid1km:AOD_QA": (i % 5).astype("u2").reshape(shape), "grid5km:AOD_QA": i[:1].astype("u2")}, (1, 4, 4))
+            out.append((n, base64.b64encode(content).decode()))
+        return pd.DataFrame(out, columns=["granule", "value"])
+
+    path, n = scratch(spark), table(spark, sf_dir, "nation")
+    n.select("n_nationkey", "n_regionkey").groupBy("n_nationkey").applyInPandas(pack, "granule int, value string").write.partitionBy("granule").text(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
+    number = F.regexp_extract("path", "granule=([0-9]+)", 1).cast("int").alias("n_nationkey")
+    return files.select(number, F.unbase64(F.decode("content", "UTF-8")).alias("content")).join(F.broadcast(n), "n_nationkey").select(F.col("n_name").alias("path"), "content")  # 25 nations
 
 
 def granule_pixels(spark, sf_dir):
-    return store.granule_pixels(_files(spark, sf_dir))
+    return granules.pixels(_files(spark, sf_dir), side=_SIDE).withColumnRenamed("path", "name")
 
 
 def granule_shapes(spark, sf_dir):
-    return store.granule_shapes(_files(spark, sf_dir))
+    """What each granule holds, without taking its pixels out."""
+    found = granules.described(_files(spark, sf_dir))
+    return found.select(F.col("path").alias("name"), F.array_join("variables", ",").alias("variables"), F.array_join("shape", "x").alias("shape"), "problem")
 
 
 def domain_cells(spark, sf_dir):
@@ -235,8 +256,9 @@ r AS (SELECT rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2
     "csv_round_trip": f"WITH {DAILY} SELECT CAST(day AS VARCHAR) AS day, round(value, 3) AS value, CASE WHEN day(day) > 1 THEN round(total, 3) END AS total FROM daily",
     "cube_round_trip": f"WITH {CUBE} SELECT year, cell, sum(b) AS b, sum(d) AS d, 'counts' AS title FROM cube WHERE year BETWEEN 1996 AND 1997 GROUP BY ALL",
     "json_summary": "SELECT CAST(to_json({n_nationkey: n_nationkey, n_name: n_name, n_regionkey: nullif(n_regionkey, 0)}) AS VARCHAR) AS value FROM nation",
-    "granule_pixels": """SELECT n_name AS name, CAST(i // 6 AS INT) AS obs, CAST(i % 6 // 3 AS INT) AS "row", CAST(i % 3 AS INT) AS col, CAST(n_nationkey * 100 + i AS INT) AS raw, CAST(i % 5 AS INT) AS quality FROM nation, range(24) t(i) WHERE i < greatest(n_regionkey, 1) * 6""",
-    "granule_shapes": """SELECT n_name AS name, CAST(n_regionkey AS INT) AS planes, 2 AS "rows", 3 AS cols, CAST(6 + greatest(n_regionkey, 1) * 24 AS BIGINT) AS length FROM nation""",
+    "granule_pixels": f"""SELECT n_name AS name, CAST(i // {_SIDE**2} AS INT) AS obs, CAST(i % {_SIDE**2} // {_SIDE} AS INT) AS "row", CAST(i % {_SIDE} AS INT) AS col, CAST(n_nationkey * 100 + i AS INT) AS raw, CAST(i % 5 AS INT) AS quality
+FROM nation, range({4 * _SIDE**2}) t(i) WHERE i < greatest(n_regionkey, 1) * {_SIDE**2}""",
+    "granule_shapes": f"""SELECT n_name AS name, 'grid1km:AOD_QA,grid1km:Optical_Depth_055,grid5km:AOD_QA' AS variables, CASE WHEN n_regionkey > 0 THEN n_regionkey || 'x' ELSE '' END || '{_SIDE}x{_SIDE}' AS shape, CAST(NULL AS VARCHAR) AS problem FROM nation""",
     "domain_cells": """WITH g AS (SELECT CAST(i AS INT) AS cell, CAST(-125 AS DOUBLE) + (i % 590 + CAST(0.5 AS DOUBLE)) * CAST(0.1 AS DOUBLE) AS x, CAST(50 AS DOUBLE) - (i // 590 + CAST(0.5 AS DOUBLE)) * CAST(0.1 AS DOUBLE) AS y FROM range(153400) t(i)),
 b AS (SELECT CAST(-124.013 AS DOUBLE) + s_suppkey * CAST(1.37 AS DOUBLE) AS x0, 25 + s_suppkey * 7 % 20 AS y0, 1 + s_suppkey % 5 AS w, CAST(0.5 AS DOUBLE) + s_suppkey % 3 AS h FROM supplier WHERE s_nationkey NOT IN (0, 3, 7))
 SELECT DISTINCT cell FROM g JOIN b ON x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + h""",
