@@ -46,6 +46,17 @@ def filled_days(df: DataFrame, day: str, always: Sequence[str], since: dict[str,
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in always} | known).select(day, *always, *since)
 
 
+def fixed_columns(df: DataFrame, layout: dict[str, str]) -> DataFrame:
+    """The columns of a layout (name to type) in its order: those that df lacks are null, those that the layout lacks go."""
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in layout.items()])
+
+
+def class_columns(df: DataFrame, keys: Sequence[str], kind: str, kinds: Sequence[str], names: dict[str, str]) -> DataFrame:
+    """One row a key with a column for each class and value: names gives the new name of each value, in which {} stands for the class."""
+    wide = df.groupBy(*keys).pivot(kind, list(kinds)).agg(*[F.first(c).alias(c) for c in names])
+    return wide.select(*keys, *[F.col(f"{k}_{c}" if len(names) > 1 else k).alias(n.format(k)) for c, n in names.items() for k in kinds])
+
+
 def missing(expected: DataFrame, found: DataFrame, on: Sequence[str]) -> DataFrame:
     return expected.join(found.select(*on).distinct(), list(on), "left_anti")
 

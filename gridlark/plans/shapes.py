@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridlark.functions import grid as G
 from gridlark.operators import overlays as V
 from gridlark.operators import spatial as S
+from gridlark.operators import tables as T
 from gridlark.plans.inputs import rounded, table
 from gridlark.plans.statistics import ALBERS, _boxes
 from gridlark.session import scratch
@@ -47,6 +48,15 @@ def class_areas(spark, sf_dir):
     return rounded(got.withColumnRenamed("shapes", "n"), "area")
 
 
+_LAYOUT = {"day": "int", "all_km2": "double", "light_km2": "double", "medium_km2": "double", "heavy_km2": "double", "n_heavy_polys": "long", "heavy_max_poly_km2": "double"}
+
+
+def daily_layout(spark, sf_dir):
+    """The areas as the daily table: columns by class under their own names, in a fixed order, null where nothing was measured."""
+    wide = T.class_columns(class_areas(spark, sf_dir), ["day"], "class", ["all", "light", "heavy"], {"area": "{}_km2", "n": "n_{}_polys"})
+    return T.fixed_columns(wide, _LAYOUT)
+
+
 def repaired_shapes(spark, sf_dir):
     """Bow ties: rings that cross themselves come back as two triangles; of every third nothing is left."""
     s = table(spark, sf_dir, "supplier")
@@ -120,7 +130,7 @@ def pruned_partitions(spark, sf_dir):
     return rounded(stored.join(F.broadcast(c), "tile").groupBy("tile").agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("n")), "total")  # 50 tiles at most
 
 
-QUERIES = {f.__name__: f for f in (clipped_shapes, class_areas, repaired_shapes, dissolved_domain, shapefile_records, pixel_cells, pruned_partitions)}
+QUERIES = {f.__name__: f for f in (clipped_shapes, class_areas, daily_layout, repaired_shapes, dissolved_domain, shapefile_records, pixel_cells, pruned_partitions)}
 
 _DOMAIN = """d AS (SELECT r_regionkey AS part, -124 + r_regionkey * 21 AS px FROM region),
 dp AS (SELECT part, px AS dx0, px + 17 AS dx1, CAST(26.5 AS DOUBLE) AS dy0, CAST(43.25 AS DOUBLE) AS dy1, 1 AS sign FROM d UNION ALL SELECT part, px + 5, px + 9, 30, 36.5, -1 FROM d),
@@ -155,3 +165,5 @@ e AS (SELECT region, x, y, 0 AS k FROM q UNION ALL SELECT region, x, y + 1, 0 FR
 o AS (SELECT region FROM e GROUP BY region, x, y, k HAVING count(*) = 1)
 SELECT region, (SELECT CAST(count(*) AS DOUBLE) FROM q WHERE q.region = o.region) AS area, count(*) AS edges FROM o GROUP BY region""",
 }
+ORACLES["daily_layout"] = f"""SELECT CAST(day AS INT) AS day, max(area) FILTER (class = 'all') AS all_km2, max(area) FILTER (class = 'light') AS light_km2, CAST(NULL AS DOUBLE) AS medium_km2, max(area) FILTER (class = 'heavy') AS heavy_km2,
+  max(n) FILTER (class = 'heavy') AS n_heavy_polys, CAST(NULL AS DOUBLE) AS heavy_max_poly_km2 FROM ({ORACLES["class_areas"]}) GROUP BY day"""
