@@ -147,28 +147,32 @@ def links_outside(placed: DataFrame, sets: DataFrame, meet: DataFrame, docs: Dat
     tagged = meet.select("key", "at").join(bounded(placed), "at")
     roots = tagged.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("top"))
     roots = bounded(written(roots.where("roots > 1").select("key", F.col("top.root").alias("top")), "join-mixed"))
-    # Rows of the matrix for these keys: (key, group), and whether the group has one of the key's largest component there.
-    tagged = written(tagged.join(roots, "key").select("key", "at", "group", "root", (F.col("root") == F.col("top")).alias("in_top")), "join-tagged")
-    rows = tagged.groupBy("key", "group").agg(F.max("in_top").alias("has_top"))
-    members = placed.join(bounded(tagged.select("group").distinct()), "group", "left_semi")
-    whole = members.groupBy("group").agg(F.min("root").alias("r"), F.max("root").alias("s"))
-    columns = group_columns(sets.select("at", "n", "band", "bits").join(members, "at"))
-    groups = written(columns.join(whole, "group").select("group", F.when(F.col("r") == F.col("s"), F.col("r")).alias("only"), F.struct("band", "least_n", "most_n", "bits").alias("y")), "join-columns")
-    queries = sets.select("at", F.struct("n", "band", "bits").alias("x"))
+    sizes = bounded(written(sets.select("at", "n", "band"), "join-sizes"))
+    tagged = tagged.join(roots, "key").join(sizes, "at")
+    tagged = written(tagged.select("key", "at", "group", "root", "n", "band", (F.col("root") == F.col("top")).alias("in_top")), "join-tagged")
+    # Rows of the matrix for these keys, (key, group), each with what its members there are like.
+    inside = tagged.groupBy("key", "group").agg(
+        F.max("in_top").alias("has_top"), F.first("band").alias("gb"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("root").alias("r"), F.max("root").alias("s")
+    )
     # Of two sets outside the key's largest component, the one in the lesser group asks.
-    asks = tagged.where("not in_top").select("key", F.col("at").alias("q"), "root", F.col("group").alias("own"))
-    pairs = asks.join(rows.withColumnRenamed("group", "g"), "key").where("has_top or own <= g").select("q", "root", "g").distinct()
-    chances = pairs.join(groups.withColumnRenamed("group", "g"), "g").where("only is null or only <> root").drop("only").join(queries.withColumnRenamed("at", "q"), "q")
-    chances = written(chances.where(may_hold("x", "y", share)).select("q", "g"), "join-chances")
+    asks = tagged.where("not in_top").select("key", F.col("at").alias("q"), "root", "n", "band", F.col("group").alias("own"))
+    fits = (F.abs(F.col("band") - F.col("gb")) <= 1) & (F.col("most_n") >= share * F.col("n") - 1e-9) & (share * F.col("least_n") <= F.col("n") + 1e-9)
+    useful = F.expr("(has_top or own <= group) and (r <> s or r <> root)")
+    pairs = written(asks.join(inside, "key").where(useful & fits).select("q", F.col("group").alias("g")).distinct(), "join-met")
+    members = placed.join(bounded(pairs.select(F.col("g").alias("group")).distinct()), "group", "left_semi")
+    columns = group_columns(sets.select("at", "n", "band", "bits").join(members, "at"))
+    groups = columns.select(F.col("group").alias("g"), F.struct("band", "least_n", "most_n", "bits").alias("y"))
+    queries = sets.select(F.col("at").alias("q"), F.struct("n", "band", "bits").alias("x"))
+    chances = written(pairs.join(groups, "g").join(queries, "q").where(may_hold("x", "y", share)).select("q", "g"), "join-chances")
     opened = qualifying(chances, placed.select("group", "at"), sets, docs, text_col, width, share)
     of = bounded(written(placed.join(sets.select("at", F.struct("n", "sketch").alias("s")), "at"), "join-placed"), 100_000)
     x, y = of.select(F.col("at").alias("q"), F.col("root").alias("ra"), F.col("s").alias("x")), of.select(F.col("at").alias("b"), F.col("group").alias("g"), F.col("root").alias("rb"), F.col("s").alias("y"))
-    inside = opened.join(x, "q").join(y, "g").where((F.col("ra") != F.col("rb")) & _possible("x", "y", share)).select(F.col("q").alias("a"), "b").distinct()
-    inside = written(inside, "join-pairs")
-    found = verified(inside, sets, docs, text_col, width, share)
+    near = opened.join(x, "q").join(y, "g").where((F.col("ra") != F.col("rb")) & _possible("x", "y", share)).select(F.col("q").alias("a"), "b").distinct()
+    near = written(near, "join-pairs")
+    found = verified(near, sets, docs, text_col, width, share)
     at = bounded(placed.select("at", "root"))
     out = written(found.join(at.withColumnsRenamed({"at": "a", "root": "ra"}), "a").join(at.withColumnsRenamed({"at": "b", "root": "rb"}), "b").select("ra", "rb"), "join-far")
-    for done in (roots, tagged, groups, chances, opened, of, inside, found):
+    for done in (roots, sizes, tagged, pairs, chances, opened, of, near, found):
         dropped(done)
     return out
 
