@@ -9,14 +9,15 @@ others. Any partition gives the same links; a good one opens fewer groups. The l
 and the components that they make spare all later comparisons inside a component.
 
 Matrix. Token by group: a group has a token if any member has it. A query set Q that links with a member shares at least
-ceil(SHARE |Q|) tokens with it, so with the group's union too. The matrix is kept in three widths, each of which may only
+ceil(SHARE |Q|) tokens with it, so with the group's union too. The matrix is kept in two forms, each of which may only
 discard groups without any such member:
 
 1. its rows of keys. Under one order of all tokens, rare ones first, a set of n keeps the first n - ceil(SHARE n) + 1 as its
-   keys; two linked sets have a key in common, so Q meets only groups that have one of its keys;
-2. its columns folded to some bits for each group (the union of its members' folded sets, about a quarter of the bits to a
-   set). A bit of Q that the group lacks is at least one token of Q outside the union;
-3. its rows for the tokens of the queries left, joined with those tokens and counted: the exact overlap with the union.
+   keys; two linked sets have a key in common, so Q meets only groups that have one of its keys, and of these only those
+   whose members with that key have sizes that allow the similarity and aren't all in Q's component;
+2. its columns, each group's token union, folded to `CLASSES` bits for each token of a set. A bit of Q that the group lacks
+   is at least one token of Q outside the union, which bounds their overlap. (The unions as rows of tokens gave the exact
+   overlap, but at 0.5 GB of texts 25,000 pairs of query and group asked for 75 million of them.)
 
 Qualifying groups are opened: Q meets the members that are not in its component and whose sizes and sketches allow the
 similarity, and these pairs are verified on the sets themselves, made again from the texts.
@@ -44,6 +45,8 @@ from gridlark.llm.near_copies import BITS, _possible, _text_hashes, crowded, key
 
 WIDTH = 5
 SHARE = 0.8
+#: Bits of a folded column for each token of a set, at least.
+CLASSES = 8
 
 
 def band_of(n: int, share: float = SHARE) -> int:
@@ -53,7 +56,7 @@ def band_of(n: int, share: float = SHARE) -> int:
 
 def folded(hashes: np.ndarray, share: float = SHARE) -> np.ndarray:
     """A set's column of the matrix folded: one bit for each class of tokens, as many classes for all sets of a band."""
-    bits = max(256, 1 << (4 * math.ceil(share ** -(band_of(len(hashes), share) + 1))).bit_length())
+    bits = max(256, 1 << (CLASSES * math.ceil(share ** -(band_of(len(hashes), share) + 1))).bit_length())
     seen = np.zeros(bits, dtype=np.uint8)
     seen[hashes >> 9 & (bits - 1)] = 1
     return np.packbits(seen).view("<i8")
@@ -121,27 +124,6 @@ def may_hold(q: str, g: str, share: float) -> Column:
     return sizes & (lacking <= n - F.ceil(share * n - 1e-9))
 
 
-def qualifying(chances: DataFrame, members: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, width: int, share: float) -> DataFrame:
-    """The pairs (q, g) of chances whose exact overlap of q with the token union of g allows a link; members: (group, at)."""
-
-    @F.pandas_udf("array<long>")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, width) for t in texts], dtype=object)
-
-    asked = written(members.join(bounded(chances.select(F.col("g").alias("group")).distinct()), "group").select("group", "at"), "join-members")
-    need = asked.select("at").union(chances.select("q")).distinct()
-    need = bounded(written(sets.join(need, "at", "left_semi").select("at", "t1", "t2"), "join-asked"))
-    texts = docs.select(text_of(text_col).alias("t")).select("t", *_text_hashes("t")).join(need, ["t1", "t2"]).groupBy("at").agg(F.any_value("t").alias("t"))
-    of = written(texts.select("at", tokens("t").alias("h")), "join-tokens")
-    matrix = asked.join(of, "at").select(F.col("group").alias("g"), F.explode("h").alias("h")).distinct()
-    asking = chances.join(of.withColumnRenamed("at", "q"), "q").select("q", "g", F.size("h").alias("n"), F.explode("h").alias("h"))
-    shared = asking.join(matrix, ["g", "h"]).groupBy("q", "g", "n").agg(F.count("*").alias("shared"))
-    out = written(shared.where(F.col("shared") >= F.ceil(share * F.col("n") - 1e-9)).select("q", "g"), "join-open")
-    for done in (asked, need, of):
-        dropped(done)
-    return out
-
-
 def links_outside(placed: DataFrame, sets: DataFrame, meet: DataFrame, docs: DataFrame, text_col: str, width: int, share: float) -> DataFrame:
     """(a, b): roots of components that hold linked sets; placed: (at, group, root) of every set."""
     tagged = meet.select("key", "at").join(bounded(placed), "at")
@@ -164,15 +146,14 @@ def links_outside(placed: DataFrame, sets: DataFrame, meet: DataFrame, docs: Dat
     groups = columns.select(F.col("group").alias("g"), F.struct("band", "least_n", "most_n", "bits").alias("y"))
     queries = sets.select(F.col("at").alias("q"), F.struct("n", "band", "bits").alias("x"))
     chances = written(pairs.join(groups, "g").join(queries, "q").where(may_hold("x", "y", share)).select("q", "g"), "join-chances")
-    opened = qualifying(chances, placed.select("group", "at"), sets, docs, text_col, width, share)
     of = bounded(written(placed.join(sets.select("at", F.struct("n", "sketch").alias("s")), "at"), "join-placed"), 100_000)
     x, y = of.select(F.col("at").alias("q"), F.col("root").alias("ra"), F.col("s").alias("x")), of.select(F.col("at").alias("b"), F.col("group").alias("g"), F.col("root").alias("rb"), F.col("s").alias("y"))
-    near = opened.join(x, "q").join(y, "g").where((F.col("ra") != F.col("rb")) & _possible("x", "y", share)).select(F.col("q").alias("a"), "b").distinct()
+    near = chances.join(x, "q").join(y, "g").where((F.col("ra") != F.col("rb")) & _possible("x", "y", share)).select(F.col("q").alias("a"), "b").distinct()
     near = written(near, "join-pairs")
     found = verified(near, sets, docs, text_col, width, share)
     at = bounded(placed.select("at", "root"))
     out = written(found.join(at.withColumnsRenamed({"at": "a", "root": "ra"}), "a").join(at.withColumnsRenamed({"at": "b", "root": "rb"}), "b").select("ra", "rb"), "join-far")
-    for done in (roots, sizes, tagged, pairs, chances, opened, of, near, found):
+    for done in (roots, sizes, tagged, pairs, chances, of, near, found):
         dropped(done)
     return out
 
