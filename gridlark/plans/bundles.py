@@ -14,7 +14,7 @@ from gridlark.operators import spatial as S
 from gridlark.operators import tables as T
 from gridlark.operators import trends as X
 from gridlark.plans.archive import FIRST, LAST, SPAN
-from gridlark.plans.inputs import CUBE, DAILY, YEARLY, cube, daily, r6, rounded, table, yearly_cells
+from gridlark.plans.inputs import CUBE, DAILY, YEARLY, cube, daily, rounded, table, yearly_cells
 from gridlark.plans.statistics import ANN, PAIRS, T_P, TESTS, _annual, _boxes
 from gridlark.session import scratch
 from gridlark.sources import granules, store

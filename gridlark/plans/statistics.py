@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridlark.functions import columns as C
 from gridlark.functions import grid as G
 from gridlark.functions.tests_of_significance import inversions
 from gridlark.operators import daily as D
