@@ -229,7 +229,11 @@ class Words:
 
     def forget(self) -> None:
         """Keeps within the bounds."""
-        if len(self.known) > REMEMBERED or any(len(w) > LONGEST for w in self.fresh):
+        for w in self.fresh:
+            if len(w) > LONGEST:
+                k = self.known.pop(w)
+                self.texts[k] = self.pairs[k] = b""
+        if len(self.texts) > REMEMBERED:
             self.clear()
 
     def of(self, texts: list[list[str]]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
