@@ -19,8 +19,8 @@ discard groups without any such member:
    is at least one token of Q outside the union, which bounds their overlap. (The unions as rows of tokens gave the exact
    overlap, but at 0.5 GB of texts 25,000 pairs of query and group asked for 75 million of them.)
 
-Qualifying groups are opened: Q meets the members that are not in its component and whose sizes and sketches allow the
-similarity, and these pairs are verified on the sets themselves, made again from the texts.
+Qualifying groups are opened: Q meets the members that share a key with it, are not in its component and whose sizes and sketches
+allow the similarity, and these pairs are verified on the sets themselves, made again from the texts.
 
 A hot group of copies costs no pairs: equal sets are one set, near copies meet their leader only, and groups that are wholly in
 the query's component aren't asked.
@@ -146,14 +146,19 @@ def links_outside(placed: DataFrame, sets: DataFrame, meet: DataFrame, docs: Dat
     groups = columns.select(F.col("group").alias("g"), F.struct("band", "least_n", "most_n", "bits").alias("y"))
     queries = sets.select(F.col("at").alias("q"), F.struct("n", "band", "bits").alias("x"))
     chances = written(pairs.join(groups, "g").join(queries, "q").where(may_hold("x", "y", share)).select("q", "g"), "join-chances")
-    of = bounded(written(placed.join(sets.select("at", F.struct("n", "sketch").alias("s")), "at"), "join-placed"), 100_000)
-    x, y = of.select(F.col("at").alias("q"), F.col("root").alias("ra"), F.col("s").alias("x")), of.select(F.col("at").alias("b"), F.col("group").alias("g"), F.col("root").alias("rb"), F.col("s").alias("y"))
-    near = chances.join(x, "q").join(y, "g").where((F.col("ra") != F.col("rb")) & _possible("x", "y", share)).select(F.col("q").alias("a"), "b").distinct()
-    near = written(near, "join-pairs")
+    # Opened groups: the query meets the members that have one of its keys, of which either asks the other once.
+    sketch = bounded(written(sets.select("at", F.struct("n", "sketch").alias("s")), "join-sketches"), 100_000)
+    x = tagged.where("not in_top").join(bounded(chances.select(F.col("q").alias("at")).distinct()), "at", "left_semi").join(sketch, "at")
+    y = tagged.join(bounded(chances.select(F.col("g").alias("group")).distinct()), "group", "left_semi").join(sketch, "at")
+    x = x.select("key", F.col("at").alias("q"), F.col("group").alias("own"), F.col("root").alias("ra"), F.col("s").alias("x"))
+    y = y.select("key", F.col("at").alias("b"), F.col("group").alias("g"), F.col("root").alias("rb"), "in_top", F.col("s").alias("y"))
+    once = F.expr("ra <> rb and (in_top or own < g or (own = g and q < b))")
+    near = x.join(y, "key").where(once & _possible("x", "y", share)).select("q", "g", "b").distinct()
+    near = written(near.join(bounded(chances), ["q", "g"], "left_semi").select(F.col("q").alias("a"), "b").distinct(), "join-pairs")
     found = verified(near, sets, docs, text_col, width, share)
     at = bounded(placed.select("at", "root"))
     out = written(found.join(at.withColumnsRenamed({"at": "a", "root": "ra"}), "a").join(at.withColumnsRenamed({"at": "b", "root": "rb"}), "b").select("ra", "rb"), "join-far")
-    for done in (roots, sizes, tagged, pairs, chances, of, near, found):
+    for done in (roots, sizes, tagged, pairs, chances, sketch, near, found):
         dropped(done)
     return out
 
@@ -181,3 +186,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     for done in (often, meet, led, least):
         dropped(done)
     return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

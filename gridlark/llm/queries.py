@@ -74,4 +74,4 @@ QUERIES = {
     "op13_ngram_join": op13_ngram_join,
 }
 
-ORACLES = {"op5_secret_scan": secret_scan.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
+ORACLES = {"op5_secret_scan": secret_scan.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op13_ngram_join": ngram_join.ORACLE}
