@@ -13,8 +13,9 @@ ceil(SHARE |Q|) tokens with it, so with the group's union too. The matrix is kep
 discard groups without any such member:
 
 1. its rows of keys. Under one order of all tokens, rare ones first, a set of n keeps the first n - ceil(SHARE n) + 1 as its
-   keys; two linked sets have a key in common, so Q meets only groups that have one of its keys, and of these only those
-   whose members with that key have sizes that allow the similarity and aren't all in Q's component;
+   keys; two linked sets have keys in common, the more the nearer their sizes are (`least_keys`). So Q meets only groups that
+   have enough of its keys, counting those whose members with that key have sizes that allow the similarity and of which one is
+   in a larger component than Q (of equal ones, the one with the greater name), so that of two sets only one asks;
 2. its columns, each group's token union, folded to `CLASSES` bits for each token of a set. A bit of Q that the group lacks
    is at least one token of Q outside the union, which bounds their overlap. (The unions as rows of tokens gave the exact
    overlap, but at 0.5 GB of texts 25,000 pairs of query and group asked for 75 million of them.)
@@ -124,23 +125,32 @@ def may_hold(q: str, g: str, share: float) -> Column:
     return sizes & (lacking <= n - F.ceil(share * n - 1e-9))
 
 
+def least_keys(n: str, least: str, most: str, share: float) -> Column:
+    """So many keys at least a set of n shares with any set of least to most tokens that it links with.
+
+    They share a = ceil(share / (1 + share) (n + m)) tokens or more, of which the first a - ceil(share n) + 1 in the order of all
+    tokens are keys of the one and the first a - ceil(share m) + 1 keys of the other; the former grows with m, the latter falls.
+    """
+    up = lambda c: F.ceil(share * c - 1e-9)
+    all_ = lambda m: F.ceil(share / (1 + share) * (F.col(n) + m) - 1e-9)
+    low, high = F.greatest(F.col(least), up(F.col(n))), F.least(F.col(most), F.floor(F.col(n) / share + 1e-9))
+    return F.greatest(F.lit(1), F.least(all_(low) - up(F.col(n)) + 1, all_(high) - up(high) + 1))
+
+
 def links_outside(placed: DataFrame, sets: DataFrame, meet: DataFrame, docs: DataFrame, text_col: str, width: int, share: float) -> DataFrame:
     """(a, b): roots of components that hold linked sets; placed: (at, group, root) of every set."""
-    tagged = meet.select("key", "at").join(bounded(placed), "at")
-    roots = tagged.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("top"))
-    roots = bounded(written(roots.where("roots > 1").select("key", F.col("top.root").alias("top")), "join-mixed"))
-    sizes = bounded(written(sets.select("at", "n", "band"), "join-sizes"))
-    tagged = tagged.join(roots, "key").join(sizes, "at")
-    tagged = written(tagged.select("key", "at", "group", "root", "n", "band", (F.col("root") == F.col("top")).alias("in_top")), "join-tagged")
+    # Of two components the smaller one asks: `order` is a component's size, then its name.
+    order = placed.groupBy("root").agg(F.count("*").alias("c"))
+    known = bounded(written(placed.join(order, "root").join(sets.select("at", "n", "band"), "at").select("at", "group", "n", "band", F.struct("c", "root").alias("order")), "join-placed"))
+    tagged = meet.select("key", "at").join(known, "at")
+    mixed = bounded(written(tagged.groupBy("key").agg(F.min("order.root").alias("r"), F.max("order.root").alias("s")).where("r <> s").select("key"), "join-mixed"))
+    tagged = written(tagged.join(mixed, "key"), "join-tagged")
     # Rows of the matrix for these keys, (key, group), each with what its members there are like.
-    inside = tagged.groupBy("key", "group").agg(
-        F.max("in_top").alias("has_top"), F.first("band").alias("gb"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("root").alias("r"), F.max("root").alias("s")
-    )
-    # Of two sets outside the key's largest component, the one in the lesser group asks.
-    asks = tagged.where("not in_top").select("key", F.col("at").alias("q"), "root", "n", "band", F.col("group").alias("own"))
-    fits = (F.abs(F.col("band") - F.col("gb")) <= 1) & (F.col("most_n") >= share * F.col("n") - 1e-9) & (share * F.col("least_n") <= F.col("n") + 1e-9)
-    useful = F.expr("(has_top or own <= group) and (r <> s or r <> root)")
-    pairs = written(asks.join(inside, "key").where(useful & fits).select("q", F.col("group").alias("g")).distinct(), "join-met")
+    inside = tagged.groupBy("key", F.col("group").alias("g")).agg(F.max("order").alias("top"), F.first("band").alias("gb"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    n = F.col("n")
+    fits = (F.abs(F.col("band") - F.col("gb")) <= 1) & (F.col("most_n") >= share * n - 1e-9) & (share * F.col("least_n") <= n + 1e-9)
+    met = tagged.join(inside, "key").where((F.col("top") > F.col("order")) & fits).groupBy(F.col("at").alias("q"), "n", "g").agg(F.count("*").alias("keys"), F.min("least_n").alias("l"), F.max("most_n").alias("m"))
+    pairs = written(met.where(F.col("keys") >= least_keys("n", "l", "m", share)).select("q", "g"), "join-met")
     members = placed.join(bounded(pairs.select(F.col("g").alias("group")).distinct()), "group", "left_semi")
     columns = group_columns(sets.select("at", "n", "band", "bits").join(members, "at"))
     groups = columns.select(F.col("group").alias("g"), F.struct("band", "least_n", "most_n", "bits").alias("y"))
@@ -148,17 +158,16 @@ def links_outside(placed: DataFrame, sets: DataFrame, meet: DataFrame, docs: Dat
     chances = written(pairs.join(groups, "g").join(queries, "q").where(may_hold("x", "y", share)).select("q", "g"), "join-chances")
     # Opened groups: the query meets the members that have one of its keys, of which either asks the other once.
     sketch = bounded(written(sets.select("at", F.struct("n", "sketch").alias("s")), "join-sketches"), 100_000)
-    x = tagged.where("not in_top").join(bounded(chances.select(F.col("q").alias("at")).distinct()), "at", "left_semi").join(sketch, "at")
+    x = tagged.join(bounded(chances.select(F.col("q").alias("at")).distinct()), "at", "left_semi").join(sketch, "at")
     y = tagged.join(bounded(chances.select(F.col("g").alias("group")).distinct()), "group", "left_semi").join(sketch, "at")
-    x = x.select("key", F.col("at").alias("q"), F.col("group").alias("own"), F.col("root").alias("ra"), F.col("s").alias("x"))
-    y = y.select("key", F.col("at").alias("b"), F.col("group").alias("g"), F.col("root").alias("rb"), "in_top", F.col("s").alias("y"))
-    once = F.expr("ra <> rb and (in_top or own < g or (own = g and q < b))")
-    near = x.join(y, "key").where(once & _possible("x", "y", share)).select("q", "g", "b").distinct()
+    x = x.select("key", F.col("at").alias("q"), F.col("order").alias("ox"), F.col("s").alias("x"))
+    y = y.select("key", F.col("at").alias("b"), F.col("group").alias("g"), F.col("order").alias("oy"), F.col("s").alias("y"))
+    near = x.join(y, "key").where((F.col("oy") > F.col("ox")) & _possible("x", "y", share)).select("q", "g", "b").distinct()
     near = written(near.join(bounded(chances), ["q", "g"], "left_semi").select(F.col("q").alias("a"), "b").distinct(), "join-pairs")
     found = verified(near, sets, docs, text_col, width, share)
     at = bounded(placed.select("at", "root"))
     out = written(found.join(at.withColumnsRenamed({"at": "a", "root": "ra"}), "a").join(at.withColumnsRenamed({"at": "b", "root": "rb"}), "b").select("ra", "rb"), "join-far")
-    for done in (roots, sizes, tagged, pairs, chances, sketch, near, found):
+    for done in (known, mixed, tagged, pairs, chances, sketch, near, found):
         dropped(done)
     return out
 
