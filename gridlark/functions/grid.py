@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import atanh, cos, pi, radians, sin, sqrt
+from math import atanh, cos, radians, sin, sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +36,10 @@ class Grid:
         return [self.xmin + k * self.res for k in range(self.nx + 1)], [self.ymax - k * self.res for k in range(self.ny + 1)]
 
 
-# The 25 km equal-area target grid, the 0.1 degree grid, and the sphere of the sinusoidal tiles.
+# The 25 km equal-area target grid, the 0.1 degree grid, and the sinusoidal tiles.
 TARGET = Grid(-3_000_000.0, 3_350_000.0, 25_000.0, 242, 130)
 TENTH_DEGREE = Grid(-125.0, 50.0, 0.1, 590, 260)
-SPHERE, TILE_PIXELS, TILE_COLUMNS = 6371007.181, 1200, 36
+TILE_PIXELS, TILE_COLUMNS = 1200, 36
 
 
 @dataclass(frozen=True)
@@ -85,12 +85,11 @@ class Albers:
 
 
 def sinusoidal_centres(h: Column, v: Column, row: Column, col: Column, pixels: int = TILE_PIXELS) -> tuple[Column, Column]:
-    """(lon, lat) of a tile's pixel centre on the sphere."""
-    width = 2 * pi * SPHERE / TILE_COLUMNS
-    x = -pi * SPHERE + (h + (col + 0.5) / pixels) * width
-    y = pi / 2 * SPHERE - (v + (row + 0.5) / pixels) * width
-    lat = y / SPHERE
-    return F.degrees(x / (SPHERE * F.cos(lat))), F.degrees(lat)
+    """(lon, lat) of a tile's pixel centre on the sphere, in degrees throughout: the radius cancels out, and latitudes such as 43.25 come out exact, so that a centre on a border is told from one beside it."""
+    width = 360 / TILE_COLUMNS
+    x = (h + (col + 0.5) / pixels) * width - 180
+    lat = 90 - v * width - (row + 0.5) * width / pixels
+    return x / F.cos(F.radians(lat)), lat
 
 
 def cos_weight(lat: Column) -> Column:

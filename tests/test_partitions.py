@@ -40,6 +40,14 @@ def test_dimension_joins_without_exchange(spark):
         spark.sql(f"DROP TABLE {t}")
 
 
+def test_dimension_leaves_out_centres_on_the_border(spark):
+    tiles = spark.createDataFrame([(8, 4), (11, 4)], "h int, v int")
+    box = [[{"x": -124.0, "y": 41.75}, {"x": -85.0, "y": 41.75}, {"x": -85.0, "y": 43.25}, {"x": -124.0, "y": 43.25}]]
+    shapes = spark.createDataFrame([(box,)], "rings array<array<struct<x:double,y:double>>>")
+    found = P.cell_dimension(tiles, shapes, G.TARGET, 20)
+    assert sorted(r[0] for r in found.select(F.floor(F.col("pixel") / 20)).distinct().collect()) == [14, 15]  # 42.75 and 42.25; rows 13 and 16 lie on the border
+
+
 def test_folders_chosen_by_a_join(spark, tmp_path):
     o = spark.range(2000).select((F.col("id") % 40).cast("int").alias("tile"), F.col("id").alias("a"))
     facts = store.write_by(o, str(tmp_path / "facts"), "tile")
