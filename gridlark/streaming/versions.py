@@ -8,66 +8,97 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegralType, LongType, StringType, StructField, StructType
 
 #: What keyed state needs; other stores don't keep timers.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
+#: Groups of keys that share a call and a state value, so that a call handles many keys at once; a stream's checkpoint fixes it.
+BUCKETS = 1024
+
+
 class LatestVersion(StatefulProcessor):
     """Of a key's rows the one with the highest version, of equal ones the first in sequence; sent when it changes.
 
     A key's state is dropped when no row of it has come for `keep` milliseconds of event time. Later rows of it begin anew.
+    A state value holds the keys of one bucket as arrays, with a timer for the first of them to expire.
     """
 
-    def __init__(self, version: str, seq: str, ts: str, columns: Sequence[str], keep: int):
-        self.version, self.seq, self.ts, self.columns, self.keep = version, seq, ts, list(columns), keep
+    def __init__(self, keys: Sequence[StructField], columns: Sequence[str], keep: int):
+        self.fields, self.keys, self.columns, self.keep = list(keys), [f.name for f in keys], list(columns), keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        whole = lambda *names: StructType([StructField(n, LongType()) for n in names])
-        self.best = handle.getValueState("best", whole("version", "seq"))
-        self.until = handle.getValueState("until", whole("at"))
+        numbers = [StructField(n, ArrayType(LongType())) for n in ("by_version", "by_seq", "by_until")]
+        self.known = handle.getValueState("known", StructType([StructField(f.name, ArrayType(f.dataType)) for f in self.fields] + numbers))
+
+    def _load(self) -> pd.DataFrame:
+        names = [*self.keys, "by_version", "by_seq", "by_until"]
+        old = self.known.get() if self.known.exists() else [[] for _ in names]
+        types = [object] * len(self.keys) + ["int64"] * 3
+        return pd.DataFrame({n: pd.Series(list(v), dtype=t) for n, v, t in zip(names, old, types)})
+
+    def _store(self, rows: pd.DataFrame, before: int | None, watermark: int) -> None:
+        """Keeps the rows whose time isn't over; before: the timer that is set, if any."""
+        rows = rows[rows["by_until"] > watermark]
+        due = int(rows["by_until"].min()) if len(rows) else None
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if due is None:
+            self.known.clear()
+        else:
+            self.known.update(tuple(rows[n].tolist() for n in [*self.keys, "by_version", "by_seq", "by_until"]))
+
+    def _best(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The first of each key's rows by version and sequence, of equal ones the first in order, with its key's latest time."""
+        until = rows.groupby(self.keys, sort=False, dropna=False)["by_until"].transform("max")
+        return rows.assign(by_until=until).sort_values(["by_version", "by_seq"], ascending=[False, True], kind="stable").drop_duplicates(self.keys)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        old = self.best.get() if self.best.exists() else None
-        best, found, at = (int(old[0]), -int(old[1])) if old is not None else None, None, 0
+        old = self._load()
+        best = old.assign(by_new=False)
         for part in rows:
-            at = max(at, int(part[self.ts].max().timestamp() * 1000))
-            top = part.sort_values([self.version, self.seq], ascending=[False, True]).iloc[:1]
-            rank = (int(top[self.version].iloc[0]), -int(top[self.seq].iloc[0]))
-            if best is None or rank > best:
-                best, found = rank, top
-        until = int(self.until.get()[0]) if self.until.exists() else None
-        due = at + self.keep
-        if until is None or due > until:
-            if until is not None:
-                self.handle.deleteTimer(until)
-            self.handle.registerTimer(due)
-            self.until.update((due,))
-        if found is not None:
-            self.best.update((best[0], -best[1]))
-            yield found[self.columns]
+            part = part.assign(by_until=part["by_at"] + self.keep, by_new=True).astype({k: object for k in self.keys})
+            best = self._best(pd.concat([best, part], ignore_index=True) if len(best) else part)
+        self._store(best, int(old["by_until"].min()) if len(old) else None, timerValues.getCurrentWatermarkInMs())
+        sent = best[best["by_new"].astype(bool)]
+        if len(sent):
+            yield sent[self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.best.clear()
-        self.until.clear()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        self._store(self._load(), None, now)  # the timer that called is gone
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def latest_versions(stream: DataFrame, keys: Sequence[str], version: str, seq: str, ts: str, late: str = "1 day", keep: int = 86_400_000) -> DataFrame:
+def latest_versions(
+    stream: DataFrame, keys: Sequence[str], version: str, seq: str, ts: str, late: str = "1 day", keep: int = 86_400_000, buckets: int = BUCKETS
+) -> DataFrame:
     """The stream's rows that are the latest version of their key when they come (append output); state lives for `keep` ms of event time.
 
     Needs the settings of STATE_STORE. Rows later than `late` are dropped by the watermark, so with keep no shorter than that a
-    key's state outlives all rows that can still come for its last one.
+    key's state outlives all rows that can still come for its last one. A null version comes before all others, a null
+    sequence after.
     """
-    processor = LatestVersion(version, seq, ts, stream.columns, keep)
-    return stream.withWatermark(ts, late).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=stream.schema, outputMode="Append", timeMode="EventTime"
-    )
+    # Python calls lose names that begin with an underscore. Whole numbers pass pandas as text, where nulls beside them don't make them floats.
+    text = lambda f: isinstance(f.dataType, IntegralType)
+    passed = [F.col(f.name).cast("string").alias(f.name) if text(f) else F.col(f.name) for f in stream.schema]
+    schema = StructType([StructField(f.name, StringType() if text(f) else f.dataType) for f in stream.schema])
+    ranks = [
+        F.coalesce(F.col(version).cast("long"), F.lit(-(1 << 63))).alias("by_version"), F.coalesce(F.col(seq).cast("long"), F.lit((1 << 63) - 1)).alias("by_seq"),
+        F.unix_millis(ts).alias("by_at"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("by_bucket"),
+    ]
+    rows = stream.withWatermark(ts, late).select(*passed, *ranks)
+    processor = LatestVersion([schema[k] for k in keys], stream.columns, keep)
+    sent = rows.groupBy("by_bucket").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return sent.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if text(f) else F.col(f.name) for f in stream.schema])
 
 
 # ---- partial sums of days that arrive in several batches ---------------------------------------------------------------

@@ -102,3 +102,28 @@ def test_stream_of_day_sums(spark, tmp_path):
         S.day_sums(stream, str(tmp_path / "days"), str(tmp_path / "check"), ["cell"], ["n"]).awaitTermination()
     got = {(r.day.day, r.cell): r.n for r in S.read_days(spark, str(tmp_path / "days")).collect()}
     assert got == {(1, 0): 111, (2, 1): 7, (3, 1): 7, (4, 1): 7}
+
+
+def test_latest_versions_many_keys_share_a_call(state, tmp_path):
+    """Thousands of keys in two batches within seconds (a call for each key took minutes); nulls and large whole numbers stay exact."""
+    n, schema = 20_000, "tile long, version long, seq long, ts timestamp, payload long"
+    big = 2**53 + 1
+    for k in range(2):
+        rows = state.range(n).select(
+            F.when(F.col("id") > 0, F.col("id") + big).alias("tile"), F.when(F.col("id") % 7 > 0, (F.col("id") * 3 + k) % 5).alias("version"), (F.col("id") + k).alias("seq"),
+            F.lit(T0).alias("ts"), F.when(F.col("id") % 3 > 0, F.col("id") + big).alias("payload"),
+        )
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = S.latest_versions(state.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), ["tile"], "version", "seq", "ts")
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90) and q.exception() is None
+    got = sorted((r.tile or 0, -1 if r.version is None else r.version, r.seq, r.payload) for r in state.read.schema(schema).parquet(str(tmp_path / "out")).collect())
+    want = []
+    for i in range(n):
+        best = None
+        for k in range(2):
+            v = (i * 3 + k) % 5 if i % 7 else -1
+            if best is None or v > best:
+                best = v
+                want.append((i + big if i else 0, v, i + k, i + big if i % 3 else None))
+    assert got == sorted(want)
