@@ -1,10 +1,13 @@
 """Near copies by the exact Jaccard similarity of word shingles, with SimHash's words and hashes.
 
 A text is the set of its word shingles' 64-bit hashes (simhash.py's words and hashes). Texts are linked if their sets' Jaccard
-similarity is at least `SHARE`, and components of links are the groups. Fingerprints of 64 bits can't find such pairs: at a
-similarity of 0.8 they differ in about ten places.
+similarity is at least `SHARE`, and components of links are the groups.
 
-The search loses no link. Under one order of all shingles, a set of n keeps the first n - ceil(SHARE n) + 1 as its keys; two
+SimHash comes first (simhash.py): sets whose fingerprints of the same shingles chain by at most four differing places, found
+through its pivot tables, are verified against the first of their chain. That finds the close copies only: at a similarity of
+0.8 fingerprints differ in about ten places. An exact search finds the rest.
+
+That search loses no link. Under one order of all shingles, a set of n keeps the first n - ceil(SHARE n) + 1 as its keys; two
 linked sets share at least ceil(SHARE n) shingles of either, so they have a key in common (prefix filter). Any order will do;
 shingles in crowded buckets of a count of all shingles come last, so that common passages are seldom keys.
 
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import bounded, components, dropped, text_of, written
-from gridlark.llm.simhash import shingle_hashes
+from gridlark.llm.simhash import fingerprint_of, linked, shingle_hashes, signed
 
 WIDTH = 5
 SHARE = 0.8
@@ -45,7 +48,11 @@ BUCKETS = 1 << 18
 
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     """The sorted different shingle hashes, as signed longs."""
-    return np.unique(np.array(shingle_hashes(text, width), dtype="<u8").view("<i8"))
+    return different(shingle_hashes(text, width))
+
+
+def different(hashes: list[int]) -> np.ndarray:
+    return np.unique(np.array(hashes, dtype="<u8").view("<i8"))
 
 
 def crowded(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
@@ -65,8 +72,8 @@ def crowded(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     counts = written(docs.select(text_of(text_col).alias("t")).mapInPandas(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")), "shingle-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     out = np.zeros(BUCKETS, dtype=np.int64)
-    for b, n in counts.where(F.col("n") > 2 * total / BUCKETS).collect():  # half of BUCKETS at most
-        out[b] = n
+    some = counts.where(F.col("n") > 2 * total / BUCKETS).toArrow()  # half of BUCKETS at most, as columns: rows of Python objects take ten times the memory
+    out[some["b"].to_numpy()] = some["n"].to_numpy()
     dropped(counts)
     return out
 
@@ -84,20 +91,21 @@ def parities(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, crowds: np.ndarray, text_col: str, width: int, share: float) -> Column:
-    """Column expression: struct of a text's set: its size, two hashes of it, its sketches, its keys."""
+    """Column expression: struct of a text's set: its size, two hashes of it, its fingerprint, its sketches, its keys."""
     import xxhash
 
     shipped = docs.sparkSession.sparkContext.broadcast(crowds)
 
-    @F.pandas_udf("n int, s1 long, s2 long, sketch array<long>, wide array<long>, keys array<long>")
+    @F.pandas_udf("n int, s1 long, s2 long, fp long, sketch array<long>, wide array<long>, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            h = shingle_set(t, width)
+            hashes = shingle_hashes(t, width)
+            h = different(hashes)
             s = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype="<i8")
             wide = parities(h, 1 << (2 * len(h) - 1).bit_length()) if len(h) > BITS // 2 else None
-            rows.append((len(h), s[0], s[1], parities(h, BITS), wide, keys_of(h, shipped.value, share)))
-        return pd.DataFrame(rows, columns=["n", "s1", "s2", "sketch", "wide", "keys"])
+            rows.append((len(h), s[0], s[1], signed(fingerprint_of(hashes)), parities(h, BITS), wide, keys_of(h, shipped.value, share)))
+        return pd.DataFrame(rows, columns=["n", "s1", "s2", "fp", "sketch", "wide", "keys"])
 
     return of(text_of(text_col))
 
@@ -152,6 +160,15 @@ def _text_hashes(col: str) -> list[Column]:
     return [F.xxhash64(col).alias("t1"), F.xxhash64(F.lit(1), F.col(col)).alias("t2")]
 
 
+def alike(sets: DataFrame) -> DataFrame:
+    """(a, b): each set of a chain of fingerprints with the chain's first set."""
+    prints = written(sets.select("at", "fp"), "copy-prints")
+    placed = written(linked(prints.groupBy("fp").agg(F.min("at").alias("first"))), "copy-chains")
+    first = placed.groupBy("root").agg(F.min("first").alias("b"))
+    out = prints.join(placed.select("fp", "root"), "fp").join(first, "root").where("at <> b").select(F.col("at").alias("a"), "b")
+    return written(out, "copy-alike")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """(id, component_id) of every row."""
     crowds = crowded(docs, text_col, width)
@@ -177,9 +194,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     asked = ranked.join(lead, ["key", "band"]).where(F.col("at") != F.col("top.at")).select(F.col("at").alias("a"), F.col("top.weight").alias("weight"), F.col("top.at").alias("b")).distinct()
     asked = written(asked, "copy-chances")
     best = possible(asked).groupBy("a").agg(F.max(F.struct("weight", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
-    best = written(best, "copy-pairs")
+    close = alike(sets)
+    best = written(best.union(possible(close).select("a", "b")).distinct(), "copy-pairs")
     near = verified(best, sets, docs, text_col, width, share)
-    for done in (often, weight, lead, asked, best):
+    for done in (often, weight, lead, asked, close, best):
         dropped(done)
     roots = components(near)
     placed = written(known.join(roots.withColumnRenamed("node", "at"), "at", "left").select("s1", "s2", "at", "first", F.coalesce("root", "at").alias("root")), "copy-roots")

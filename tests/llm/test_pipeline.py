@@ -66,6 +66,26 @@ def test_near_copies(spark):
     assert near_copies.groups(df.where("1 = 0")).count() == 0
 
 
+def test_fingerprints_link_copies_without_the_exact_search(spark, monkeypatch):
+    """With no keys for the exact search, the pairs that SimHash links are left, if they are near copies; with them, all are there."""
+    rng = random.Random(4)
+    texts = []
+    for size in (200, 400, 800):
+        for _ in range(8):
+            base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            texts += [" ".join(base), " ".join(["changed", *base[1:]])]
+    texts += ["few words here", "few words here too", "a b c a b c a b c a b", "A  b c a b c a b c a b c"]
+    prints, want, every = [simhash.fingerprint(t, 5) for t in texts], list(range(len(texts))), brute_groups(texts)
+    for a in range(0, len(texts), 2):
+        if (prints[a] ^ prints[a + 1]).bit_count() <= 4 and jaccard(sets_of(texts[a]), sets_of(texts[a + 1])) >= 0.8:
+            want[a + 1] = a
+    assert 8 < sum(a != k for k, a in enumerate(want)) < sum(a != k for k, a in enumerate(every))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.groups(df).collect()} == dict(enumerate(every))
+    monkeypatch.setattr(near_copies, "keys_of", lambda h, crowds, share: h[:0])
+    assert {r.doc_id: r.component_id for r in near_copies.groups(df).collect()} == dict(enumerate(want))
+
+
 def test_near_copies_awkward(spark):
     rows = [(None, "x y z"), (4, "x y z"), (4, "X  y z"), (None, "alone"), (5, None), (6, "")]
     got = near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
