@@ -5,8 +5,8 @@ have at least `MIN_CHARS` characters. Every long distinct line is split into EDI
 within EDITS edits must share one of the shorter line's segments at nearly its place. The index holds (length, segment
 number, segment) of each line; a line probes it, for each length up to EDITS below its own, with the substrings whose place is
 possible (multi-match-aware selection). Lines of a segment that many lines share meet only if one of several parts of their
-neighbouring characters agrees as well. Candidate pairs of which too few pieces agree are dropped; the rest are verified by a
-banded bit-parallel edit distance on what is left between their common start and end. Classes are
+neighbouring characters agrees as well. Candidate pairs of which too few pieces agree are dropped; the rest are verified by the
+edit distance within a band (the built-in one) on what is left between their common start and end. Classes are
 connected components of links, and the first line of a class, by document and place, stays.
 
 Only 64-bit hashes travel in the join; a pair's texts are fetched for verification by reading the documents again. Lines count
@@ -198,7 +198,7 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_co
     head, tail, core_a, core_b = core("_a", "_b")
     likely = both.where(plausible("_a", "_b", edits)).select("a", "b", _second("_a").alias("a2"), _second("_b").alias("b2"), "_a", "_b", head, tail)
     cores = written(likely.select("a", "b", "a2", "b2", core_a.alias("_a"), core_b.alias("_b")), "line-cores")
-    out = written(cores.repartition("a", "b").where(within("_a", "_b", edits) <= edits).select("a", "b", "a2", "b2"), "line-links")
+    out = written(cores.repartition("a", "b").where(F.levenshtein("_a", "_b", edits) >= 0).select("a", "b", "a2", "b2"), "line-links")
     dropped(cores)
     dropped(pairs)
     dropped(texts)
