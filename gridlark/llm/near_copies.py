@@ -28,7 +28,7 @@ long texts count whole.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,14 +55,14 @@ def different(hashes: list[int]) -> np.ndarray:
     return np.unique(np.array(hashes, dtype="<u8").view("<i8"))
 
 
-def crowded(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """For each bucket, the number of all texts' shingles in it if that is more than twice the average, else 0."""
+def crowded(docs: DataFrame, text_col: str, width: int, set_of: Callable[[str, int], np.ndarray] = shingle_set, least: float = 2) -> np.ndarray:
+    """For each bucket, the number of all texts' shingles in it if that is more than `least` times the average, else 0."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for t in batch["t"]:
-                h = shingle_set(t, width) & (BUCKETS - 1)
+                h = set_of(t, width) & (BUCKETS - 1)
                 seen += np.bincount(h, minlength=BUCKETS) if len(h) > BUCKETS // 16 else 0
                 if len(h) <= BUCKETS // 16:
                     np.add.at(seen, h, 1)
@@ -72,7 +72,7 @@ def crowded(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     counts = written(docs.select(text_of(text_col).alias("t")).mapInPandas(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")), "shingle-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     out = np.zeros(BUCKETS, dtype=np.int64)
-    some = counts.where(F.col("n") > 2 * total / BUCKETS).toArrow()  # half of BUCKETS at most, as columns: rows of Python objects take ten times the memory
+    some = counts.where(F.col("n") > least * total / BUCKETS).toArrow()  # BUCKETS at most, as columns: rows of Python objects take ten times the memory
     out[some["b"].to_numpy()] = some["n"].to_numpy()
     dropped(counts)
     return out
@@ -133,7 +133,9 @@ def sifted(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return written(both.where(fits).select("a", "b"), "copy-sifted")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, width: int, share: float) -> DataFrame:
+def verified(
+    pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, width: int, share: float, set_of: Callable[[str, int], np.ndarray] = shingle_set
+) -> DataFrame:
     """The pairs (a, b) of sets whose similarity is at least `share`; written to the shared folder.
 
     The sets of these pairs are made again from their texts, each once.
@@ -143,7 +145,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, width) for t in texts], dtype=object)
+        return pd.Series([set_of(t, width) for t in texts], dtype=object)
 
     asked = bounded(written(sets.join(bounded(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct()), "at", "left_semi").select("at", "t1", "t2"), "copy-asked"))
     texts = docs.select(text_of(text_col).alias("t")).select("t", *_text_hashes("t")).join(asked, ["t1", "t2"]).groupBy("at").agg(F.any_value("t").alias("t"))

@@ -12,7 +12,7 @@ Matrix. Token by group: a group has a token if any member has it. A query set Q
 ceil(SHARE |Q|) tokens with it, so with the group's union too. The matrix is kept in two forms, each of which may only
 discard groups without any such member:
 
-1. its rows of keys. Under one order of all tokens, rare ones first, a set of n keeps the first n - ceil(SHARE n) + 1 as its
+1. its rows of keys. Under one order of all tokens, rare ones first (by a count of all tokens in buckets), a set of n keeps the first n - ceil(SHARE n) + 1 as its
    keys; two linked sets have keys in common, the more the nearer their sizes are (`least_keys`). So Q meets only groups that
    have enough of its keys, counting those whose members with that key have sizes that allow the similarity and of which one is
    in a larger component than Q (of equal ones, the one with the greater name), so that of two sets only one asks;
@@ -21,7 +21,11 @@ discard groups without any such member:
    overlap, but at 0.5 GB of texts 25,000 pairs of query and group asked for 75 million of them.)
 
 Qualifying groups are opened: Q meets the members that share a key with it, are not in its component and whose sizes and sketches
-allow the similarity, and these pairs are verified on the sets themselves, made again from the texts.
+allow the similarity, and these pairs are verified on the sets themselves, made again from the texts. A group of one member has met
+Q by its keys already.
+
+Whatever grows with the corpus is dealt out by its key at any size (windows instead of a table of counts that is broadcast while
+it is short), so that small runs tell how large ones grow.
 
 A hot group of copies costs no pairs: equal sets are one set, near copies meet their leader only, and groups that are wholly in
 the query's component aren't asked.
@@ -38,16 +42,72 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import bounded, components, dropped, text_of, written
-from gridlark.llm.near_copies import BITS, _possible, _text_hashes, crowded, keys_of, parities, shingle_set, verified
+from gridlark.llm.near_copies import BITS, _possible, _text_hashes, crowded, keys_of, parities, verified
+from gridlark.llm.simhash import SEED
 
 WIDTH = 5
 SHARE = 0.8
 #: Bits of a folded column for each token of a set, at least.
 CLASSES = 8
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+_FACTOR = 0x9E3779B97F4A7C15
+_BLANKS = bytes([9, 10, 11, 12, 13, 32])
+
+
+def _byte_values() -> np.ndarray:
+    """A number for each byte: none for blanks, the same for both cases of A-Z."""
+    import xxhash
+
+    return np.array([0 if b in _BLANKS else xxhash.xxh64_intdigest(bytes([b]).lower(), SEED) for b in range(256)], dtype="<u8")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ x >> np.uint64(32)) * np.uint64(_FACTOR)
+
+
+def word_hashes(text: str, values: np.ndarray = _byte_values()) -> np.ndarray:
+    """The 64-bit hashes of a text's words in order, A-Z lowered.
+
+    A word's hash is a polynomial in its bytes' numbers, as a difference of sums over the text; such polynomials know long words
+    of some patterns badly, so long words get a digest each.
+    """
+    import xxhash
+
+    data = text.encode()
+    numbers = values[np.frombuffer(data, dtype=np.uint8)]
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = numbers != 0
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, dtype="<u8")
+    powers, inverse = (np.multiply.accumulate(np.full(len(data), f, dtype="<u8")) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+    sums = np.zeros(len(data) + 1, dtype="<u8")
+    np.cumsum(numbers * powers, out=sums[1:])
+    out = (sums[ends] - sums[starts]) * inverse[starts]
+    out = _mixed(out)
+    out ^= out >> np.uint64(29)
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].lower(), SEED)
+    return out
+
+
+def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
+    """The sorted different hashes of a whole text's shingles, as signed longs; none without words."""
+    words = word_hashes(text)
+    n = max(1, len(words) - width + 1)
+    out = words[:n]
+    for k in range(1, min(width, len(words))):
+        out = _mixed(out) + words[k : k + n]
+    out = np.sort(out.view("<i8"))
+    first = np.ones(len(out), dtype=bool)
+    first[1:] = out[1:] != out[:-1]
+    return out[first]
 
 
 def band_of(n: int, share: float = SHARE) -> int:
@@ -86,21 +146,33 @@ def described(docs: DataFrame, crowds: np.ndarray, text_col: str, width: int, sh
 def token_groups(sets: DataFrame, meet: DataFrame, share: float) -> DataFrame:
     """(a, b): each set with the leader whose group it joins; sets without a leader that they can link with aren't listed.
 
-    meet: (key, at, times), the keys that several sets have.
+    meet: (key, at, band, times), the keys that several sets have.
     """
-    sketches = bounded(written(sets.select("at", "n", "band", "sketch"), "join-sketches"), 100_000)
     weight = bounded(written(meet.groupBy("at").agg(F.sum("times").alias("weight")), "join-weights"))
-    ranked = meet.join(weight, "at").join(sketches.select("at", "band"), "at")
-    lead = bounded(written(ranked.groupBy("key", "band").agg(F.max(F.struct("weight", "at")).alias("top")), "join-leads"))
-    asked = ranked.join(lead, ["key", "band"]).where(F.col("at") != F.col("top.at")).select(F.col("at").alias("a"), F.col("top.weight").alias("weight"), F.col("top.at").alias("b")).distinct()
-    x, y = (sketches.select(F.col("at").alias(c), F.struct("n", "sketch").alias(p)) for c, p in (("a", "x"), ("b", "y")))
-    able = asked.join(x, "a").join(y, "b").where(_possible("x", "y", share))
-    out = written(able.groupBy("a").agg(F.max(F.struct("weight", "b")).alias("top")).select("a", F.col("top.b").alias("b")), "join-groups")
-    for done in (sketches, weight, lead):
+    top = F.max(F.struct("weight", "at")).over(Window.partitionBy("key", "band"))
+    ranked = meet.select("key", "at", "band").join(weight, "at").withColumn("top", top)
+    asked = written(ranked.where(F.col("at") != F.col("top.at")).select(F.col("at").alias("a"), F.col("top.weight").alias("weight"), F.col("top.at").alias("b")).distinct(), "join-asked")
+    out = written(possible(asked, sets, share).groupBy("a").agg(F.max(F.struct("weight", "b")).alias("top")).select("a", F.col("top.b").alias("b")), "join-groups")
+    for done in (weight, asked):
         dropped(done)
     return out
 
 
+def only(sets: DataFrame, *ats: DataFrame) -> DataFrame:
+    """The sets that these columns of pairs name."""
+    named = ats[0]
+    for more in ats[1:]:
+        named = named.union(more)
+    return sets.join(bounded(written(named.toDF("at").distinct(), "join-asked")), "at", "left_semi")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Of the pairs (a, b, ...), those that sizes and sketches allow."""
+    some = sets.select("at", "n", "sketch")
+    x, y = (some.select(F.col("at").alias(c), F.struct("n", "sketch").alias(p)) for c, p in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(_possible("x", "y", share)).drop("x", "y")
+
+
 def group_columns(members: DataFrame) -> DataFrame:
     """(group, band, least_n, most_n, bits) from (group, n, band, bits): each group's sizes and the folded union of its members' tokens.
 
@@ -141,50 +213,54 @@ def links_outside(placed: DataFrame, sets: DataFrame, meet: DataFrame, docs: Dat
     """(a, b): roots of components that hold linked sets; placed: (at, group, root) of every set."""
     # Of two components the smaller one asks: `order` is a component's size, then its name.
     order = placed.groupBy("root").agg(F.count("*").alias("c"))
-    known = bounded(written(placed.join(order, "root").join(sets.select("at", "n", "band"), "at").select("at", "group", "n", "band", F.struct("c", "root").alias("order")), "join-placed"))
-    tagged = meet.select("key", "at").join(known, "at")
-    mixed = bounded(written(tagged.groupBy("key").agg(F.min("order.root").alias("r"), F.max("order.root").alias("s")).where("r <> s").select("key"), "join-mixed"))
-    tagged = written(tagged.join(mixed, "key"), "join-tagged")
+    known = bounded(written(placed.join(order, "root").join(sets.select("at", "n"), "at").select("at", "group", "n", F.struct("c", "root").alias("order")), "join-placed"))
+    by_key = Window.partitionBy("key")
+    tagged = meet.select("key", "at", "band").join(known, "at")
+    tagged = tagged.withColumns({"r": F.min("order.root").over(by_key), "s": F.max("order.root").over(by_key)}).where("r <> s").drop("r", "s")
+    tagged = written(tagged, "join-tagged")
     # Rows of the matrix for these keys, (key, group), each with what its members there are like.
     inside = tagged.groupBy("key", F.col("group").alias("g")).agg(F.max("order").alias("top"), F.first("band").alias("gb"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     n = F.col("n")
     fits = (F.abs(F.col("band") - F.col("gb")) <= 1) & (F.col("most_n") >= share * n - 1e-9) & (share * F.col("least_n") <= n + 1e-9)
     met = tagged.join(inside, "key").where((F.col("top") > F.col("order")) & fits).groupBy(F.col("at").alias("q"), "n", "g").agg(F.count("*").alias("keys"), F.min("least_n").alias("l"), F.max("most_n").alias("m"))
     pairs = written(met.where(F.col("keys") >= least_keys("n", "l", "m", share)).select("q", "g"), "join-met")
-    members = placed.join(bounded(pairs.select(F.col("g").alias("group")).distinct()), "group", "left_semi")
-    columns = group_columns(sets.select("at", "n", "band", "bits").join(members, "at"))
+    asked = bounded(written(pairs.select(F.col("g").alias("group")).distinct(), "join-asked"))
+    members = written(placed.select("at", "group").join(asked, "group", "left_semi"), "join-members")
+    many = bounded(written(members.groupBy("group").agg(F.count("*").alias("c")).where("c > 1").select("group"), "join-many"))
+    described = only(sets, members.select("at")).select("at", "n", "band", "bits").join(bounded(members), "at").select("group", "band", "n", "bits")
+    columns = group_columns(described.join(many, "group", "left_semi"))
+    columns = columns.union(described.join(many, "group", "left_anti").select("group", "band", F.col("n").alias("least_n"), F.col("n").alias("most_n"), "bits"))
     groups = columns.select(F.col("group").alias("g"), F.struct("band", "least_n", "most_n", "bits").alias("y"))
-    queries = sets.select(F.col("at").alias("q"), F.struct("n", "band", "bits").alias("x"))
+    queries = only(sets, pairs.select("q")).select(F.col("at").alias("q"), F.struct("n", "band", "bits").alias("x"))
     chances = written(pairs.join(groups, "g").join(queries, "q").where(may_hold("x", "y", share)).select("q", "g"), "join-chances")
     # Opened groups: the query meets the members that have one of its keys, of which either asks the other once.
-    sketch = bounded(written(sets.select("at", F.struct("n", "sketch").alias("s")), "join-sketches"), 100_000)
-    x = tagged.join(bounded(chances.select(F.col("q").alias("at")).distinct()), "at", "left_semi").join(sketch, "at")
-    y = tagged.join(bounded(chances.select(F.col("g").alias("group")).distinct()), "group", "left_semi").join(sketch, "at")
-    x = x.select("key", F.col("at").alias("q"), F.col("order").alias("ox"), F.col("s").alias("x"))
-    y = y.select("key", F.col("at").alias("b"), F.col("group").alias("g"), F.col("order").alias("oy"), F.col("s").alias("y"))
-    near = x.join(y, "key").where((F.col("oy") > F.col("ox")) & _possible("x", "y", share)).select("q", "g", "b").distinct()
-    near = written(near.join(bounded(chances), ["q", "g"], "left_semi").select(F.col("q").alias("a"), "b").distinct(), "join-pairs")
-    found = verified(near, sets, docs, text_col, width, share)
+    opened = bounded(written(chances.join(many.withColumnRenamed("group", "g"), "g", "left_semi").select("q", "g"), "join-opened"))
+    x = tagged.join(bounded(opened.select(F.col("q").alias("at")).distinct()), "at", "left_semi").select("key", F.col("at").alias("q"), F.col("order").alias("ox"))
+    y = tagged.join(bounded(opened.select(F.col("g").alias("group")).distinct()), "group", "left_semi").select("key", F.col("at").alias("b"), F.col("group").alias("g"), F.col("order").alias("oy"))
+    inner = x.join(y, "key").where(F.col("oy") > F.col("ox")).join(opened, ["q", "g"], "left_semi").select(F.col("q").alias("a"), "b").distinct()
+    alone = chances.join(many.withColumnRenamed("group", "g"), "g", "left_anti").select(F.col("q").alias("a"), F.col("g").alias("b"))
+    both = written(inner.union(alone), "join-both")
+    near = written(possible(both, only(sets, both.select("a"), both.select("b")), share), "join-pairs")
+    found = verified(near, only(sets, near.select("a"), near.select("b")), docs, text_col, width, share, shingle_set)
     at = bounded(placed.select("at", "root"))
     out = written(found.join(at.withColumnsRenamed({"at": "a", "root": "ra"}), "a").join(at.withColumnsRenamed({"at": "b", "root": "rb"}), "b").select("ra", "rb"), "join-far")
-    for done in (known, mixed, tagged, pairs, chances, sketch, near, found):
+    for done in (known, tagged, pairs, asked, members, many, chances, opened, both, near, found):
         dropped(done)
     return out
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
-    crowds = crowded(docs, text_col, width)
+    crowds = crowded(docs, text_col, width, shingle_set, 0)
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("t")).select("_id", *_text_hashes("t"), described(docs, crowds, "t", width, share).alias("_s"))
     # A number tells rows apart, so that one row stands for all of an equal set whatever their ids.
     rows = written(rows.select(F.monotonically_increasing_id().alias("_at"), "_id", "t1", "t2", "_s.*"), "join-rows")
     known = written(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("first"), F.min("_at").alias("at")), "join-known")
     sets = rows.withColumnRenamed("_at", "at").join(bounded(known.select("at")), "at", "left_semi")
-    keys = sets.select("at", F.explode("keys").alias("key"))
-    often = bounded(written(keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "join-keys"))
-    meet = written(keys.join(often, "key"), "join-meet")
+    keys = sets.select("at", "band", F.explode("keys").alias("key"))
+    meet = written(keys.withColumn("times", F.count("*").over(Window.partitionBy("key"))).where("times > 1"), "join-meet")
     led = token_groups(sets, meet, share)
-    roots = components(verified(led, sets, docs, text_col, width, share))
+    roots = components(verified(led, only(sets, led.select("a"), led.select("b")), docs, text_col, width, share, shingle_set))
     placed = known.select("at", "first").join(led.select(F.col("a").alias("at"), "b"), "at", "left").join(roots.withColumnRenamed("node", "at"), "at", "left")
     placed = written(placed.select("at", "first", F.coalesce("b", "at").alias("group"), F.coalesce("root", "at").alias("root")), "join-roots")
     far = components(links_outside(placed.select("at", "group", "root"), sets, meet, docs, text_col, width, share), "ra", "rb")
@@ -192,7 +268,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     least = bounded(written(named.groupBy("root").agg(F.min("first").alias("component_id")), "join-first"))
     named = written(known.select("s1", "s2", "at").join(named.join(least, "root").select("at", "component_id"), "at").select("s1", "s2", "component_id"), "join-named")
     out = rows.select("_id", "s1", "s2", "n").join(bounded(named), ["s1", "s2"], "left")
-    for done in (often, meet, led, least):
+    for done in (meet, led, least):
         dropped(done)
     return out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
 

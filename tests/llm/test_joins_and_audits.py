@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.llm import alignment, filter_audit, ngram_join
+from gridlark.llm.common import settings
 from gridlark.llm.queries import ORACLES
 
 AWKWARD = [
@@ -267,3 +268,45 @@ def test_folded_columns_never_discard_a_link(spark):
     shape = "struct<n int, band int, least_n int, most_n int, bits array<long>>"
     df = spark.createDataFrame(rows, f"k int, q {shape}, g {shape}")
     assert len(rows) > 60 and df.where(ngram_join.may_hold("q", "g", 0.8)).count() == len(rows)
+
+
+def test_shingle_sets_of_odd_words():
+    """Equal shingles, and only those, have equal hashes: letters of either case, all blanks, bytes beyond ASCII, long words of patterns."""
+    rng = random.Random(3)
+    pattern = "".join("ab"[k.bit_count() & 1] for k in range(4096))
+    words = ["A", "a", "É", "é", "\x00", "\x00\x00", "ab", "ba", "\x1c", " ", "x" * 64, "x" * 65, "X" * 65, pattern, pattern.translate(str.maketrans("ab", "ba")), "日本"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "\t", "\n ", "\x0b", "\x0c", "\r"]) for _ in range(n)) for n in (0, 1, 2, 4, 5, 6, 40, 400) for _ in range(6)] + ["", " ", "\n\t"]
+    seen = {}
+    for t in texts:
+        w = t.encode().lower().split()
+        plain = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        hashes = ngram_join.shingle_set(t)
+        assert len(hashes) == len(plain) and (np.diff(hashes.astype(object)) > 0).all()
+        seen[t] = plain, set(hashes.tolist())
+    for (p, h), (q, g) in itertools.combinations(seen.values(), 2):
+        assert len(p & q) == len(h & g)
+
+
+def test_keys_are_dealt_out_once(spark, monkeypatch):
+    """Where no table is short enough to be broadcast, the keys of all sets, which are most of what the join moves, are shuffled once."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(404))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    docs.count()
+    monkeypatch.setattr(ngram_join, "crowded", lambda *a: np.zeros(1 << 18, dtype=np.int64))
+    monkeypatch.setattr(ngram_join, "bounded", lambda df, *a: df)
+    monkeypatch.setattr("gridlark.llm.near_copies.bounded", lambda df, *a: df)
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+
+    def dealt():
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    start = dealt()
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        assert ngram_join.join(docs).where("doc_id = component_id").count() == 60
+    keys = 60 * (400 - 320 + 1)
+    assert keys <= dealt() - start < 1.5 * keys
+    docs.unpersist()
