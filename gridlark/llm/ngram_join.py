@@ -39,6 +39,7 @@ texts count whole.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import bounded, components, dropped, text_of, written
-from gridlark.llm.near_copies import BITS, _possible, _text_hashes, crowded, keys_of, parities, verified
+from gridlark.llm.near_copies import BITS, _allowed, _possible, _text_hashes, crowded, keys_of, parities, verified
 from gridlark.llm.simhash import SEED
 
 WIDTH = 5
@@ -209,19 +210,28 @@ def least_keys(n: str, least: str, most: str, share: float) -> Column:
     return F.greatest(F.lit(1), F.least(all_(low) - up(F.col(n)) + 1, all_(high) - up(high) + 1))
 
 
+def _halved(col: str, k: int) -> Column:
+    """Word k of a sketch halved to two words, each the exclusive or of every other word of the whole sketch."""
+    return reduce(Column.bitwiseXOR, [F.col(col)[j] for j in range(k, BITS // 64, 2)])
+
+
 def links_outside(placed: DataFrame, sets: DataFrame, meet: DataFrame, docs: DataFrame, text_col: str, width: int, share: float) -> DataFrame:
     """(a, b): roots of components that hold linked sets; placed: (at, group, root) of every set."""
     # Of two components the smaller one asks: `order` is a component's size, then its name.
     order = placed.groupBy("root").agg(F.count("*").alias("c"))
-    known = bounded(written(placed.join(order, "root").join(sets.select("at", "n"), "at").select("at", "group", "n", F.struct("c", "root").alias("order")), "join-placed"))
+    short = [_halved("sketch", k).alias(f"s{k}") for k in range(2)]
+    known = bounded(written(placed.join(order, "root").join(sets.select("at", "n", *short), "at").select("at", "group", "n", "s0", "s1", F.struct("c", "root").alias("order")), "join-placed"))
     by_key = Window.partitionBy("key")
     tagged = meet.select("key", "at", "band").join(known, "at")
     tagged = tagged.withColumns({"r": F.min("order.root").over(by_key), "s": F.max("order.root").over(by_key)}).where("r <> s").drop("r", "s")
     tagged = written(tagged, "join-tagged")
     # Rows of the matrix for these keys, (key, group), each with what its members there are like.
-    inside = tagged.groupBy("key", F.col("group").alias("g")).agg(F.max("order").alias("top"), F.first("band").alias("gb"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    inside = tagged.groupBy("key", F.col("group").alias("g")).agg(F.max("order").alias("top"), F.first("band").alias("gb"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count("*").alias("members"), F.first("s0").alias("g0"), F.first("s1").alias("g1"))
     n = F.col("n")
     fits = (F.abs(F.col("band") - F.col("gb")) <= 1) & (F.col("most_n") >= share * n - 1e-9) & (share * F.col("least_n") <= n + 1e-9)
+    # Where one member has the key, no other can link with the query by it, so short sketches of the two may discard the row.
+    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("g1")))
+    fits &= (F.col("members") > 1) | (apart <= _allowed(n, F.col("most_n"), share))
     met = tagged.join(inside, "key").where((F.col("top") > F.col("order")) & fits).groupBy(F.col("at").alias("q"), "n", "g").agg(F.count("*").alias("keys"), F.min("least_n").alias("l"), F.max("most_n").alias("m"))
     pairs = written(met.where(F.col("keys") >= least_keys("n", "l", "m", share)).select("q", "g"), "join-met")
     asked = bounded(written(pairs.select(F.col("g").alias("group")).distinct(), "join-asked"))
@@ -235,9 +245,11 @@ def links_outside(placed: DataFrame, sets: DataFrame, meet: DataFrame, docs: Dat
     chances = written(pairs.join(groups, "g").join(queries, "q").where(may_hold("x", "y", share)).select("q", "g"), "join-chances")
     # Opened groups: the query meets the members that have one of its keys, of which either asks the other once.
     opened = bounded(written(chances.join(many.withColumnRenamed("group", "g"), "g", "left_semi").select("q", "g"), "join-opened"))
-    x = tagged.join(bounded(opened.select(F.col("q").alias("at")).distinct()), "at", "left_semi").select("key", F.col("at").alias("q"), F.col("order").alias("ox"))
-    y = tagged.join(bounded(opened.select(F.col("g").alias("group")).distinct()), "group", "left_semi").select("key", F.col("at").alias("b"), F.col("group").alias("g"), F.col("order").alias("oy"))
-    inner = x.join(y, "key").where(F.col("oy") > F.col("ox")).join(opened, ["q", "g"], "left_semi").select(F.col("q").alias("a"), "b").distinct()
+    sketch = sets.select("at", F.struct("n", "sketch").alias("s"))
+    x = tagged.join(bounded(opened.select(F.col("q").alias("at")).distinct()), "at", "left_semi").join(sketch, "at").select("key", F.col("at").alias("q"), F.col("order").alias("ox"), F.col("s").alias("x"))
+    y = tagged.join(bounded(opened.select(F.col("g").alias("group")).distinct()), "group", "left_semi").join(sketch, "at")
+    y = y.select("key", F.col("at").alias("b"), F.col("group").alias("g"), F.col("order").alias("oy"), F.col("s").alias("y"))
+    inner = x.join(y, "key").where((F.col("oy") > F.col("ox")) & _possible("x", "y", share)).join(opened, ["q", "g"], "left_semi").select(F.col("q").alias("a"), "b").distinct()
     alone = chances.join(many.withColumnRenamed("group", "g"), "g", "left_anti").select(F.col("q").alias("a"), F.col("g").alias("b"))
     both = written(inner.union(alone), "join-both")
     near = written(possible(both, only(sets, both.select("a"), both.select("b")), share), "join-pairs")
